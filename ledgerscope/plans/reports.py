@@ -18,8 +18,13 @@ from ledgerscope.schemas import DAYPARTS
 TOTAL, AVERAGE, BALANCE = "total_transaction_amount", "average_transaction_amount", "average_account_balance"
 RATIO, COUNT = "balance_to_total_spend_ratio", "transaction_count"
 
-ROWS = F.count(F.lit(1))
-CUSTOMERS = ROWS.alias("customer_count")
+
+def rows(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
+
+
+def customers() -> Column:
+    return rows("customer_count")
 
 
 def mean(column: str, name: str, digits: int = 2) -> Column:
@@ -30,10 +35,20 @@ def rounded(column: str, name: str, digits: int = 2) -> Column:
     return round_half_up(F.col(column), digits).alias(name)
 
 
-MEAN_TOTAL = mean(TOTAL, "average_total_amount_inr")
-MEAN_VALUE = mean(AVERAGE, "average_transaction_value_inr")
-MEAN_BALANCE = mean(BALANCE, "average_account_balance_inr")
-MEAN_COUNT = mean(COUNT, "average_transaction_count", 3)
+def mean_total() -> Column:
+    return mean(TOTAL, "average_total_amount_inr")
+
+
+def mean_value() -> Column:
+    return mean(AVERAGE, "average_transaction_value_inr")
+
+
+def mean_balance() -> Column:
+    return mean(BALANCE, "average_account_balance_inr")
+
+
+def mean_count() -> Column:
+    return mean(COUNT, "average_transaction_count", 3)
 
 
 def with_share(grouped: DataFrame, count: str, name: str, after: str) -> DataFrame:
@@ -55,33 +70,33 @@ def largest_first(df: DataFrame, label: str, count: str = "customer_count") -> D
 
 def portfolio_overview(wh: Warehouse) -> DataFrame:
     return wh.fact_transaction.agg(
-        ROWS.alias(COUNT), F.count_distinct("customer_id").alias("unique_customers"),
+        rows(COUNT), F.count_distinct("customer_id").alias("unique_customers"),
         F.count_distinct("location_id").alias("represented_locations"), *money_columns(),
         F.min("transaction_date").alias("first_transaction_date"),
         F.max("transaction_date").alias("last_transaction_date"))
 
 
 def transaction_frequency(wh: Warehouse) -> DataFrame:
-    per_count = wh.customer_feature_mart.groupBy(COUNT).agg(CUSTOMERS)
+    per_count = wh.customer_feature_mart.groupBy(COUNT).agg(customers())
     return with_share(per_count, "customer_count", "customer_pct", "customer_count").orderBy(COUNT)
 
 
 def single_vs_repeat(wh: Warehouse) -> DataFrame:
     kinds = by_label(wh.customer_feature_mart, "customer_type", bands.customer_type(F.col(COUNT)),
-                     CUSTOMERS, MEAN_TOTAL, MEAN_VALUE, MEAN_BALANCE)
+                     customers(), mean_total(), mean_value(), mean_balance())
     return largest_first(with_share(kinds, "customer_count", "customer_pct", "customer_count"), "customer_type")
 
 
 def gender_profile(wh: Warehouse) -> DataFrame:
     people = wh.customer_feature_mart.join(wh.dim_customer.select("customer_id", "gender"), "customer_id")
-    out = by_label(people, "gender", bands.known_or(F.col("gender")), CUSTOMERS,
-                   mean("customer_age", "average_age"), MEAN_COUNT, MEAN_TOTAL, MEAN_BALANCE)
+    out = by_label(people, "gender", bands.known_or(F.col("gender")), customers(),
+                   mean("customer_age", "average_age"), mean_count(), mean_total(), mean_balance())
     return largest_first(out, "gender")
 
 
 def age_profile(wh: Warehouse) -> DataFrame:
     out = by_label(wh.customer_feature_mart, "age_band", bands.band(F.col("customer_age"), bands.AGE_BANDS),
-                   CUSTOMERS, MEAN_COUNT, MEAN_TOTAL, MEAN_VALUE, MEAN_BALANCE)
+                   customers(), mean_count(), mean_total(), mean_value(), mean_balance())
     return out.orderBy(bands.band_order(F.col("age_band"), bands.AGE_BANDS))
 
 
@@ -105,7 +120,7 @@ def locations_by_value(wh: Warehouse, top: int = 25) -> DataFrame:
 def location_customer_value(wh: Warehouse, min_customers: int = 100, top: int = 25) -> DataFrame:
     """Customers are reduced per location id first, then named; unlocated customers form a group."""
     per_place = wh.customer_feature_mart.groupBy("primary_location_id").agg(
-        CUSTOMERS, mean(TOTAL, "average_customer_total_inr"), MEAN_VALUE, MEAN_BALANCE, MEAN_COUNT)
+        customers(), mean(TOTAL, "average_customer_total_inr"), mean_value(), mean_balance(), mean_count())
     named = per_place.where(F.col("customer_count") >= min_customers).join(
         wh.dim_location.withColumnRenamed("location_id", "primary_location_id"), "primary_location_id", "left")
     return (named.orderBy(F.desc("average_customer_total_inr"), F.asc_nulls_first("location_name")).limit(top)
@@ -116,7 +131,7 @@ def location_customer_value(wh: Warehouse, min_customers: int = 100, top: int =
 
 def _activity(wh: Warehouse, key: str, customers: str = "unique_customers") -> DataFrame:
     return wh.fact_transaction.where(F.col(key).isNotNull()).groupBy(key).agg(
-        ROWS.alias(COUNT), F.count_distinct("customer_id").alias(customers), *money_columns(average_balance=False))
+        rows(COUNT), F.count_distinct("customer_id").alias(customers), *money_columns(average_balance=False))
 
 
 def daily_trend(wh: Warehouse) -> DataFrame:
@@ -147,35 +162,35 @@ def daypart_activity(wh: Warehouse) -> DataFrame:
 def amount_distribution(wh: Warehouse) -> DataFrame:
     known = wh.fact_transaction.where(F.col("transaction_amount_inr").isNotNull())
     out = by_label(known, "amount_band", bands.band(F.col("transaction_amount_inr"), bands.AMOUNT_BANDS),
-                   ROWS.alias(COUNT), money_columns()[0])
+                   rows(COUNT), money_columns()[0])
     return with_share(out, COUNT, "transaction_pct", COUNT).orderBy(
         bands.band_order(F.col("amount_band"), bands.AMOUNT_BANDS))
 
 
 def _customer_bands(wh: Warehouse, label: str, source: str, table: list, *measures: Column,
                     share: bool = True) -> DataFrame:
-    out = by_label(wh.customer_feature_mart, label, bands.band(F.col(source), table), CUSTOMERS, *measures)
+    out = by_label(wh.customer_feature_mart, label, bands.band(F.col(source), table), customers(), *measures)
     if share:
         out = with_share(out, "customer_count", "customer_pct", "customer_count")
     return out.orderBy(bands.band_order(F.col(label), table))
 
 
 def balance_distribution(wh: Warehouse) -> DataFrame:
-    return _customer_bands(wh, "balance_band", BALANCE, bands.BALANCE_BANDS, MEAN_TOTAL, MEAN_COUNT)
+    return _customer_bands(wh, "balance_band", BALANCE, bands.BALANCE_BANDS, mean_total(), mean_count())
 
 
 def ratio_distribution(wh: Warehouse) -> DataFrame:
-    return _customer_bands(wh, "ratio_band", RATIO, bands.RATIO_BANDS, MEAN_TOTAL, MEAN_BALANCE)
+    return _customer_bands(wh, "ratio_band", RATIO, bands.RATIO_BANDS, mean_total(), mean_balance())
 
 
 def activity_span(wh: Warehouse) -> DataFrame:
-    return _customer_bands(wh, "active_span", "active_days", bands.SPAN_BANDS, MEAN_COUNT, MEAN_TOTAL, share=False)
+    return _customer_bands(wh, "active_span", "active_days", bands.SPAN_BANDS, mean_count(), mean_total(), share=False)
 
 
 def _deciles(wh: Warehouse, source: str, label: str, columns: list[str], *measures: Column) -> DataFrame:
     known = wh.customer_feature_mart.where(F.col(source).isNotNull()).select("customer_id", *columns)
     tiled = global_ntile(known, [F.col(source), F.col("customer_id")], 10, label)
-    return tiled.groupBy(label).agg(CUSTOMERS, *measures).orderBy(label)
+    return tiled.groupBy(label).agg(customers(), *measures).orderBy(label)
 
 
 def spend_deciles(wh: Warehouse) -> DataFrame:
@@ -183,7 +198,7 @@ def spend_deciles(wh: Warehouse) -> DataFrame:
         wh, TOTAL, "spend_decile", [TOTAL, COUNT, BALANCE],
         round_half_up(F.min(TOTAL), 2).alias("minimum_total_inr"),
         round_half_up(F.max(TOTAL), 2).alias("maximum_total_inr"),
-        mean(TOTAL, "average_total_inr"), MEAN_COUNT, MEAN_BALANCE)
+        mean(TOTAL, "average_total_inr"), mean_count(), mean_balance())
 
 
 def balance_deciles(wh: Warehouse) -> DataFrame:
@@ -191,7 +206,7 @@ def balance_deciles(wh: Warehouse) -> DataFrame:
         wh, BALANCE, "balance_decile", [BALANCE, TOTAL, AVERAGE],
         round_half_up(F.min(BALANCE), 2).alias("minimum_balance_inr"),
         round_half_up(F.max(BALANCE), 2).alias("maximum_balance_inr"),
-        mean(BALANCE, "average_balance_inr"), MEAN_TOTAL, MEAN_VALUE)
+        mean(BALANCE, "average_balance_inr"), mean_total(), mean_value())
 
 
 # --- customer lists ----------------------------------------------------------
@@ -209,29 +224,36 @@ def _top_customers(wh: Warehouse, keep: Column, order: list[Column], columns: li
                                                        *columns)
 
 
-_TOTAL_OUT = rounded(TOTAL, "total_transaction_amount_inr")
-_BALANCE_OUT = rounded(BALANCE, "average_account_balance_inr")
-_RATIO_OUT = rounded(RATIO, "balance_to_spend_ratio", 4)
+def _total_out() -> Column:
+    return rounded(TOTAL, "total_transaction_amount_inr")
+
+
+def _balance_out() -> Column:
+    return rounded(BALANCE, "average_account_balance_inr")
+
+
+def _ratio_out() -> Column:
+    return rounded(RATIO, "balance_to_spend_ratio", 4)
 
 
 def top_by_value(wh: Warehouse, top: int = 100) -> DataFrame:
     return _top_customers(wh, F.lit(True), [F.desc_nulls_last(TOTAL)],
-                          [COUNT, _TOTAL_OUT, rounded(AVERAGE, "average_transaction_amount_inr"), _BALANCE_OUT], top)
+                          [COUNT, _total_out(), rounded(AVERAGE, "average_transaction_amount_inr"), _balance_out()], top)
 
 
 def top_by_balance(wh: Warehouse, top: int = 100) -> DataFrame:
     return _top_customers(wh, F.col(BALANCE).isNotNull(), [F.desc(BALANCE)],
-                          [COUNT, _BALANCE_OUT, _TOTAL_OUT, _RATIO_OUT], top)
+                          [COUNT, _balance_out(), _total_out(), _ratio_out()], top)
 
 
 def high_value_low_balance(wh: Warehouse, min_total: float = 10000, top: int = 100) -> DataFrame:
     keep = (F.col(TOTAL) >= min_total) & F.col(RATIO).isNotNull()
-    return _top_customers(wh, keep, [F.asc(RATIO), F.desc(TOTAL)], [COUNT, _TOTAL_OUT, _BALANCE_OUT, _RATIO_OUT], top)
+    return _top_customers(wh, keep, [F.asc(RATIO), F.desc(TOTAL)], [COUNT, _total_out(), _balance_out(), _ratio_out()], top)
 
 
 def high_balance_low_activity(wh: Warehouse, top: int = 100) -> DataFrame:
     keep = (F.col(COUNT) == 1) & F.col(BALANCE).isNotNull()
-    return _top_customers(wh, keep, [F.desc(BALANCE)], [_BALANCE_OUT, _TOTAL_OUT], top)
+    return _top_customers(wh, keep, [F.desc(BALANCE)], [_balance_out(), _total_out()], top)
 
 
 def amount_outliers(wh: Warehouse, top: int = 100) -> DataFrame:
@@ -249,27 +271,27 @@ def amount_outliers(wh: Warehouse, top: int = 100) -> DataFrame:
 
 def repeat_profile(wh: Warehouse) -> DataFrame:
     return wh.customer_feature_mart.where(F.col(COUNT) >= 2).groupBy(COUNT).agg(
-        CUSTOMERS, mean("active_days", "average_active_days"), MEAN_TOTAL,
+        customers(), mean("active_days", "average_active_days"), mean_total(),
         mean("transaction_amount_cv", "average_amount_variability", 4),
         mean("account_balance_cv", "average_balance_variability", 4)).orderBy(COUNT)
 
 
 def multi_location(wh: Warehouse) -> DataFrame:
     return wh.customer_feature_mart.where(F.col("distinct_locations") >= 2).groupBy("distinct_locations").agg(
-        CUSTOMERS, MEAN_COUNT, MEAN_TOTAL, MEAN_BALANCE).orderBy("distinct_locations")
+        customers(), mean_count(), mean_total(), mean_balance()).orderBy("distinct_locations")
 
 
 def daypart_preferences(wh: Warehouse) -> DataFrame:
     shares = {p: F.col(f"{p}_transaction_share") for p in DAYPARTS}
     out = by_label(wh.customer_feature_mart, "preferred_daypart", bands.preferred_daypart(shares),
-                   CUSTOMERS, MEAN_TOTAL, MEAN_BALANCE)
+                   customers(), mean_total(), mean_balance())
     return largest_first(with_share(out, "customer_count", "customer_pct", "customer_count"), "preferred_daypart")
 
 
 def weekend_oriented(wh: Warehouse) -> DataFrame:
     known = wh.customer_feature_mart.where(F.col("weekend_transaction_share").isNotNull())
     out = by_label(known, "weekend_profile", bands.weekend_profile(F.col("weekend_transaction_share")),
-                   CUSTOMERS, MEAN_COUNT, MEAN_TOTAL, MEAN_BALANCE)
+                   customers(), mean_count(), mean_total(), mean_balance())
     return largest_first(out, "weekend_profile")
 
 
@@ -290,7 +312,7 @@ def value_matrix(wh: Warehouse, reference: str = "average") -> DataFrame:
     else:
         raise ValueError("reference must be 'average' or 'median'")
     quadrant = bands.value_quadrant(F.col(TOTAL), F.col(BALANCE), spend_ref, balance_ref)
-    out = by_label(known, "value_quadrant", quadrant, CUSTOMERS, MEAN_COUNT, MEAN_TOTAL, MEAN_BALANCE)
+    out = by_label(known, "value_quadrant", quadrant, customers(), mean_count(), mean_total(), mean_balance())
     return largest_first(with_share(out, "customer_count", "customer_pct", "customer_count"), "value_quadrant")
 
 
@@ -310,7 +332,7 @@ SUMMARY_MEANS = {
 
 
 def feature_summary(wh: Warehouse) -> DataFrame:
-    return wh.customer_feature_mart.agg(CUSTOMERS, *[mean(c, name, 4) for name, c in SUMMARY_MEANS.items()])
+    return wh.customer_feature_mart.agg(customers(), *[mean(c, name, 4) for name, c in SUMMARY_MEANS.items()])
 
 
 @dataclass(frozen=True)

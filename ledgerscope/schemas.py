@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "date": T.DateType(), "int": T.IntegerType(),
+    "bigint": T.LongType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """``name type, ...`` as a schema; needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[dtype]) for name, dtype in pairs])
+
+
 # Raw column -> (canonical name, Spark type).
 RAW_CONTRACT = {
     "TransactionID": ("transaction_id", T.StringType()),
@@ -20,7 +32,7 @@ RAW_COLUMNS = list(RAW_CONTRACT)
 CANONICAL_NAMES = {raw: name for raw, (name, _) in RAW_CONTRACT.items()}
 RAW_SCHEMA = T.StructType([T.StructField(raw, dtype) for raw, (_, dtype) in RAW_CONTRACT.items()])
 
-CLEAN_SCHEMA = T.StructType.fromDDL(
+CLEAN_SCHEMA = _schema(
     "transaction_id string, customer_id string, customer_dob date, customer_age double, "
     "gender string, customer_location string, account_balance_inr double, "
     "transaction_date date, transaction_time string, transaction_datetime timestamp_ntz, "
@@ -30,7 +42,7 @@ CLEAN_SCHEMA = T.StructType.fromDDL(
 )
 CLEAN_COLUMNS = CLEAN_SCHEMA.fieldNames()
 
-FEATURE_SCHEMA = T.StructType.fromDDL(
+FEATURE_SCHEMA = _schema(
     "customer_id string, gender string, customer_age double, primary_location string, "
     "distinct_locations bigint, transaction_count bigint, total_transaction_amount double, "
     "average_transaction_amount double, median_transaction_amount double, "

@@ -11,8 +11,9 @@ def export_csv(df: DataFrame, path: str, sort_by: list[str] | None = None, mode:
     """CSV with header and ISO dates. ``sort_by`` gives a total order, missing values last."""
     if sort_by:
         df = df.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by])
-    (df.write.mode(mode).option("header", True).option("dateFormat", "yyyy-MM-dd")
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("dateFormat", "yyyy-MM-dd")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, overwrite: bool = True) -> None:
