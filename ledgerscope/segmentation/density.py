@@ -1,0 +1,79 @@
+"""Density clusters of a bounded sample.
+
+Rows with enough neighbours inside a radius are core rows; core rows that reach
+each other share a cluster; a row next to a core joins it; the rest is noise.
+Neighbours are recomputed block by block in the tasks that need them, so no list
+of pairs is ever stored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+NOISE = -1
+
+
+def _neighbour_pass(spark, shared, rows: int, radius: float, answer, schema: str) -> pd.DataFrame:
+    """Run ``answer(positions, near)`` over blocks of rows, ``near`` being the block's neighbour mask."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, state = shared.value
+        norms = (x * x).sum(axis=1)
+        for batch in batches:
+            for at in np.array_split(batch["id"].to_numpy(), max(1, len(batch) // 256)):
+                gap = norms[at][:, None] + norms[None, :] - 2 * x[at] @ x.T
+                near = gap <= radius * radius + 1e-12
+                near[np.arange(len(at)), at] = True
+                yield pd.DataFrame({"position": at, "value": answer(at, near, state)})
+
+    parts = max(1, min(64, rows // 500))
+    return spark.range(0, rows, 1, parts).mapInPandas(work, schema).toPandas()
+
+
+def density_labels(sample: DataFrame, columns: list[str], id_column: str, radius: float,
+                   min_neighbours: int = 25) -> DataFrame:
+    """``sample`` with ``label`` 0..n-1, or -1 for noise. The sample must be bounded in size."""
+    spark = sample.sparkSession
+    local = sample.select(id_column, *columns).orderBy(id_column).toPandas()
+    x = local[columns].to_numpy(dtype=np.float64)
+    n = len(x)
+    middle = x - x.mean(axis=0)
+    schema = "position bigint, value bigint"
+
+    def run(state, answer) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((middle, state))
+        done = _neighbour_pass(spark, shared, n, radius, answer, schema)
+        shared.unpersist()
+        out = np.empty(n, dtype=np.int64)
+        out[done["position"].to_numpy()] = done["value"].to_numpy()
+        return out
+
+    core = run(None, lambda at, near, _: near.sum(axis=1)) >= min_neighbours
+
+    def smallest_near(at, near, state):
+        label, is_core = state
+        best = np.where(near & is_core[None, :], label[None, :], n).min(axis=1)
+        return best
+
+    label = np.where(core, np.arange(n), n)
+    while True:
+        reached = np.where(core, np.minimum(run((label, core), smallest_near), label), n)
+        # Follow labels to their own label until they stay put.
+        target = np.append(reached, n)
+        while True:
+            hopped = target[reached]
+            if (hopped == reached).all():
+                break
+            reached = hopped
+            target = np.append(reached, n)
+        if (reached == label).all():
+            break
+        label = reached
+    final = np.where(core, label, run((label, core), smallest_near))
+    numbers = {v: i for i, v in enumerate(np.unique(final[final < n]))}
+    local["label"] = [numbers.get(v, NOISE) for v in final]
+    found = spark.createDataFrame(local[[id_column, "label"]], f"{id_column} string, label int")
+    return sample.drop("label").join(found, id_column)
