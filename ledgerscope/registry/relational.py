@@ -260,15 +260,6 @@ def customer_ntile(wh) -> DataFrame:
     return tiled.select("customer_id", "decile")
 
 
-def competition_rank(wh) -> DataFrame:
-    """Competition ranks of locations on three measures; locations are already aggregated."""
-    per_place = wh.fact_transaction.where(F.col("location_id").isNotNull()).groupBy("location_id").agg(
-        _rows("transactions"), F.max(AMOUNT).alias("largest"), F.min(AMOUNT).alias("smallest"))
-    rank = lambda order: F.rank().over(Window.orderBy(order)).cast("bigint")
-    return per_place.select("location_id", rank(F.desc("transactions")).alias("by_transactions"),
-                            rank(F.desc("largest")).alias("by_largest"), rank(F.asc("smallest")).alias("by_smallest"))
-
-
 def first_transaction(ws: Workspace) -> DataFrame:
     rows = ws.clean.where(F.col("transaction_datetime").isNotNull()).select(
         "customer_id", "transaction_datetime", "transaction_id", "daypart")
@@ -389,7 +380,6 @@ QUERIES = {
     # windows
     "total_over_groups": on_warehouse(total_over_groups),
     "customer_ntile": on_warehouse(customer_ntile),
-    "competition_rank": on_warehouse(competition_rank),
     "first_transaction": on_workspace(first_transaction),
     "surrogate_location_ids": on_workspace(lambda ws: wh_ops.build_dim_location(ws.clean, ws.features)),
     # sorts and top-k

@@ -14,10 +14,8 @@ from ledgerscope.workspace import Workspace
 
 def _written_catalogue(ws: Workspace) -> tuple[str, list[dict]]:
     """Run the catalogue once per workspace and keep its records."""
-    if not hasattr(ws, "_catalogue"):
-        folder = f"{ws.root}/reports"
-        ws._catalogue = (folder, catalogue.run_catalogue(ws.warehouse, folder))
-    return ws._catalogue
+    folder = f"{ws.root}/reports"
+    return folder, ws.once("catalogue", lambda: catalogue.run_catalogue(ws.warehouse, folder))
 
 
 def _run_records(ws: Workspace) -> DataFrame:

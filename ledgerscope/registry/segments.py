@@ -1 +1,253 @@
-QUERIES = {}
+"""Segmentation and statistics queries.
+
+What is exact for a given labelling runs on two fixed labellings, so that it can
+be checked: customers assigned to the mean scaled profile of their gender group,
+and the labelled ``embeddings`` table. Fitted models run on the customers.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+from ledgerscope.registry.common import on_workspace, rounded
+from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
+from ledgerscope.segmentation import candidates as cand, display, final, job, metrics, prepare
+from ledgerscope.segmentation.bundle import assign_with_bundle
+from ledgerscope.operators.sampling import sample_rows
+from ledgerscope.session import write_and_read
+from ledgerscope.stats import rank_tests
+from ledgerscope.workspace import Workspace
+
+DIMENSIONS = 64
+POSITIONS = [f"e{i}" for i in range(DIMENSIONS)]
+
+
+# --- customers under a fixed labelling ---------------------------------------
+
+def _params(ws: Workspace) -> prepare.ScalingParams:
+    return ws.once("scaling", lambda: prepare.fit_scaling(ws.features))
+
+
+def _scaled(ws: Workspace) -> DataFrame:
+    return ws.once("scaled", lambda: write_and_read(prepare.scale(ws.features, _params(ws)), f"{ws.root}/scaled"))
+
+
+def _gender_centroids(ws: Workspace) -> list[list[float]]:
+    """Mean scaled profile of the F, M and unknown customers."""
+    def build() -> list[list[float]]:
+        group = F.when(F.col("gender") == "F", 0).when(F.col("gender") == "M", 1).otherwise(2)
+        labelled = _scaled(ws).join(ws.features.select("customer_id", group.alias("group")), "customer_id")
+        rows = labelled.groupBy("group").agg(*[F.avg(f).alias(f) for f in FEATURES]).orderBy("group").collect()
+        return [[r[f] for f in FEATURES] for r in rows]
+
+    return ws.once("gender_centroids", build)
+
+
+def _assigned(ws: Workspace) -> DataFrame:
+    return ws.once("assigned", lambda: write_and_read(
+        final.cluster_assignments(_scaled(ws), _gender_centroids(ws)), f"{ws.root}/assigned"))
+
+
+def clipping_bounds(ws: Workspace) -> DataFrame:
+    bounds = prepare.clipping_bounds(prepare.segmentation_features(ws.features), FEATURES)
+    rows = [(f, float(lo), float(hi)) for f, (lo, hi) in bounds.items()]
+    return rounded(ws.spark.createDataFrame(rows, "feature string, lower double, upper double"))
+
+
+def _numeric(ws: Workspace) -> DataFrame:
+    return prepare.segmentation_features(ws.features)
+
+
+def winsorized(ws: Workspace) -> DataFrame:
+    return rounded(prepare.winsorize(_numeric(ws), _params(ws).bounds))
+
+
+def imputed(ws: Workspace) -> DataFrame:
+    params = _params(ws)
+    return rounded(prepare.impute(prepare.winsorize(_numeric(ws), params.bounds), params.medians))
+
+
+def scaling_parameters(ws: Workspace) -> DataFrame:
+    return rounded(ws.spark.createDataFrame(_params(ws).rows(), prepare.PARAMS_SCHEMA))
+
+
+def finite_matrix(ws: Workspace) -> DataFrame:
+    """Scaled rows after the finite check, with the length of the assembled vector."""
+    checked = prepare.assert_finite(_scaled(ws), FEATURES)
+    vectors = prepare.assemble(checked, FEATURES)
+    from pyspark.ml.functions import vector_to_array
+
+    return vectors.agg(F.count(F.lit(1)).alias("row_count"),
+                       F.min(F.size(vector_to_array("vector"))).cast("bigint").alias("width"))
+
+
+def _profile(ws: Workspace) -> DataFrame:
+    return final.cluster_profile(ws.features, _assigned(ws))
+
+
+def _std_profile(ws: Workspace) -> DataFrame:
+    return final.standardized_profile(_scaled(ws), _assigned(ws))
+
+
+def _tests(ws: Workspace) -> DataFrame:
+    # Ranks see six decimals, so that equal figures summed in another order stay tied.
+    merged = rounded(ws.features).join(_assigned(ws).select("customer_id", "cluster"), "customer_id")
+    return rank_tests.kruskal_wallis(merged, FEATURES)
+
+
+# --- embeddings under their own labels ---------------------------------------
+
+def _embedded(ws: Workspace) -> DataFrame:
+    table = ws.spark.read.parquet(f"{ws.sf_dir}/embeddings.parquet")
+    vectors = [F.col("embedding")[i].cast("double").alias(e) for i, e in enumerate(POSITIONS)]
+    return table.select(F.col("vec_id").cast("string").alias("vec_id"), "label", *vectors)
+
+
+def cluster_metrics(ws: Workspace) -> DataFrame:
+    return rounded(metrics.evaluate_frame(_embedded(ws), POSITIONS, "vec_id"))
+
+
+def _one_metric(name: str):
+    return on_workspace(lambda ws: cluster_metrics(ws).select(name))
+
+
+def noise_excluded(ws: Workspace) -> DataFrame:
+    """Label 0 counts as noise."""
+    marked = _embedded(ws).withColumn("label", F.when(F.col("label") == 0, metrics.NOISE).otherwise(F.col("label")))
+    record = cand.candidate_result("FixedLabels", "noise=0", marked, POSITIONS, "vec_id")
+    return rounded(cand.candidates_frame(ws.spark, [record]).drop("error"))
+
+
+def single_cluster_guard(ws: Workspace) -> DataFrame:
+    """One cluster only: the metrics are missing."""
+    return metrics.evaluate_frame(_embedded(ws).withColumn("label", F.lit(0)), POSITIONS, "vec_id")
+
+
+def _fixed_candidates(ws: Workspace) -> DataFrame:
+    """Candidates that merge the ten labels into 2 to 5 groups."""
+    def build() -> list[dict]:
+        counts = range(2, 6)
+        rows = _embedded(ws).select("*", *[(F.col("label") % k).alias(f"label_{k}") for k in counts])
+        return cand.candidate_results("FixedLabels", rows, POSITIONS, {f"label_{k}": f"n_clusters={k}" for k in counts},
+                                      "vec_id")
+
+    return cand.candidates_frame(ws.spark, ws.once("fixed_candidates", build))
+
+
+def choose_cluster_count(ws: Workspace) -> DataFrame:
+    k = cand.choose_cluster_count(_fixed_candidates(ws), "FixedLabels")
+    return ws.spark.createDataFrame([(k,)], "selected_cluster_count bigint")
+
+
+def competition_rank(ws: Workspace) -> DataFrame:
+    ranked = cand.rank_candidates(_fixed_candidates(ws), "FixedLabels")
+    return rounded(ranked.select("parameters", "silhouette_rank", "davies_bouldin_rank", "calinski_harabasz_rank",
+                                 "combined_rank"))
+
+
+def kmeans_selection_curve(ws: Workspace) -> DataFrame:
+    table = _fixed_candidates(ws)
+    return rounded(display.kmeans_selection_curve(table, cand.choose_cluster_count(table, "FixedLabels"), "FixedLabels"))
+
+
+def classification_report(ws: Workspace) -> DataFrame:
+    """Nearest class mean against the true label."""
+    rows = _embedded(ws)
+    means = rows.groupBy("label").agg(*[F.avg(e).alias(e) for e in POSITIONS]).orderBy("label").collect()
+    said = final.nearest(rows, POSITIONS, [[m[e] for e in POSITIONS] for m in means])
+    return rounded(rank_tests.classification_report(said.select("label", F.col("cluster").alias("prediction"))))
+
+
+# --- fitted models -----------------------------------------------------------
+
+SETTINGS = job.SegmentationSettings(kmeans_restarts=2, final_restarts=4, trees=40, depth=8, extended=False)
+
+
+def _run(ws: Workspace) -> job.SegmentationResult:
+    return ws.once("segmentation", lambda: job.run_segmentation(ws.features, f"{ws.root}/segmentation", SETTINGS))
+
+
+def kmeans_candidates(ws: Workspace) -> DataFrame:
+    return cand.candidates_frame(ws.spark, cand.kmeans_candidates(_scaled(ws), n_init=2))
+
+
+def gmm_diag_candidates(ws: Workspace) -> DataFrame:
+    return cand.candidates_frame(ws.spark, cand.mixture_candidates(_scaled(ws), n_init=1, max_iter=40))
+
+
+def hierarchical_candidates(ws: Workspace) -> DataFrame:
+    return cand.candidates_frame(ws.spark, cand.hierarchical_candidates(_scaled(ws)))
+
+
+def density_candidates(ws: Workspace) -> DataFrame:
+    return cand.candidates_frame(ws.spark, cand.density_candidates(_scaled(ws)))
+
+
+def final_kmeans(ws: Workspace) -> DataFrame:
+    return rank_tests.cluster_distribution(_run(ws).tables["customer_segment_assignments"])
+
+
+def segmentation_outputs(ws: Workspace) -> DataFrame:
+    """Rows of every written output table."""
+    names = list(_run(ws).tables)
+    counts = [ws.spark.read.csv(f"{ws.root}/segmentation/csv/{n}", header=True).agg(
+        F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def segmentation_summary(ws: Workspace) -> DataFrame:
+    _run(ws)
+    return ws.spark.read.json(f"{ws.root}/segmentation/segmentation_summary", multiLine=True)
+
+
+QUERIES = {
+    "segmentation_features": on_workspace(lambda ws: rounded(_numeric(ws))),
+    "clipping_bounds": on_workspace(clipping_bounds),
+    "winsorize": on_workspace(winsorized),
+    "median_impute": on_workspace(imputed),
+    "scaling_parameters": on_workspace(scaling_parameters),
+    "robust_scale": on_workspace(lambda ws: rounded(prepare.scale(ws.features, _params(ws)))),
+    "assemble_and_check_finite": on_workspace(finite_matrix),
+    "reproducible_sample": on_workspace(lambda ws: rounded(sample_rows(_scaled(ws), "customer_id", 5000))),
+    "kmeans_candidates": on_workspace(kmeans_candidates),
+    "davies_bouldin": _one_metric("davies_bouldin_score"),
+    "calinski_harabasz": _one_metric("calinski_harabasz_score"),
+    "euclidean_silhouette": _one_metric("silhouette_score"),
+    "noise_excluded_candidate": on_workspace(noise_excluded),
+    "single_cluster_guard": on_workspace(single_cluster_guard),
+    "candidate_result": on_workspace(lambda ws: rounded(_fixed_candidates(ws).drop("error"))),
+    "competition_rank": on_workspace(competition_rank),
+    "choose_cluster_count": on_workspace(choose_cluster_count),
+    "gmm_diag_candidates": on_workspace(gmm_diag_candidates),
+    "hierarchical_candidates": on_workspace(hierarchical_candidates),
+    "density_candidates": on_workspace(density_candidates),
+    "final_kmeans": on_workspace(final_kmeans),
+    "cluster_assignments": on_workspace(lambda ws: rounded(
+        final.cluster_assignments(_scaled(ws), _gender_centroids(ws)))),
+    "cluster_profile": on_workspace(lambda ws: rounded(_profile(ws))),
+    "standardized_profile": on_workspace(lambda ws: rounded(_std_profile(ws))),
+    "pca_projection": on_workspace(lambda ws: _run(ws).tables["pca_customer_projection"]),
+    "saved_segmentation_bundle": on_workspace(lambda ws: assign_with_bundle(ws.features, _run(ws).bundle_path)),
+    "segmentation_run": on_workspace(lambda ws: job.selected_summary(_run(ws), ws.spark)),
+    "segmentation_outputs": on_workspace(segmentation_outputs),
+    "segmentation_summary": on_workspace(segmentation_summary),
+    # statistics
+    "cluster_distribution": on_workspace(lambda ws: rounded(rank_tests.cluster_distribution(_assigned(ws)))),
+    "kruskal_wallis": on_workspace(lambda ws: rounded(_tests(ws))),
+    "effect_range": on_workspace(lambda ws: rounded(rank_tests.effect_range(_std_profile(ws)))),
+    "surrogate_importance": on_workspace(lambda ws: _run(ws).tables["cluster_feature_importance"]),
+    "classification_report": on_workspace(classification_report),
+    # display
+    "profile_long": on_workspace(lambda ws: rounded(display.profile_long(
+        _std_profile(ws), ["transaction_count", "active_days", "log_total_transaction_amount", "log_average_account_balance"]))),
+    "segment_display_profile": on_workspace(lambda ws: rounded(display.segment_display_profile(_profile(ws)))),
+    "kmeans_selection_curve": on_workspace(kmeans_selection_curve),
+    "comparison_filter": on_workspace(lambda ws: rounded(
+        display.comparison_filter(_fixed_candidates(ws), ["FixedLabels"]).drop("error"))),
+    "test_significance_view": on_workspace(lambda ws: rounded(display.significance_view(_tests(ws)))),
+    "top_effects": on_workspace(lambda ws: rounded(display.top_effects(rank_tests.effect_range(_std_profile(ws))))),
+    "top_importance": on_workspace(lambda ws: display.top_importance(_run(ws).tables["cluster_feature_importance"])),
+    "pca_display_sample": on_workspace(lambda ws: display.pca_display_sample(_run(ws).tables["pca_customer_projection"], 5000)),
+}

@@ -134,15 +134,22 @@ def density_candidates(scaled: DataFrame, radii=(0.5, 0.8, 1.1, 1.4), min_neighb
     return out
 
 
-def choose_cluster_count(results: DataFrame, algorithm: str = KMEANS_NAME) -> int:
-    """Lowest mean of three competition ranks; ties go to the higher silhouette."""
+def rank_candidates(results: DataFrame, algorithm: str = KMEANS_NAME) -> DataFrame:
+    """Competition rank of each successful candidate on each metric, and their mean.
+
+    A handful of rows, so the ordering windows stay tiny.
+    """
     require_columns(results.columns, ["algorithm", "parameters", "status", *METRICS], "Candidate table")
     usable = results.where((F.col("algorithm") == algorithm) & (F.col("status") == "success")).dropna(subset=METRICS)
-    rank = lambda order: F.rank().over(Window.orderBy(order))
-    ranked = usable.select(
-        "*", ((rank(F.desc("silhouette_score")) + rank(F.asc("davies_bouldin_score"))
-               + rank(F.desc("calinski_harabasz_score"))) / 3).alias("combined_rank"))
-    best = ranked.orderBy("combined_rank", F.desc("silhouette_score"), "parameters").select(
+    best_first = {"silhouette": F.desc, "davies_bouldin": F.asc, "calinski_harabasz": F.desc}
+    ranks = {f"{m}_rank": F.rank().over(Window.orderBy(way(f"{m}_score"))).cast("bigint") for m, way in best_first.items()}
+    ranked = usable.withColumns(ranks)
+    return ranked.withColumn("combined_rank", sum((F.col(c) for c in ranks), F.lit(0)) / 3)
+
+
+def choose_cluster_count(results: DataFrame, algorithm: str = KMEANS_NAME) -> int:
+    """Lowest mean rank; ties go to the higher silhouette."""
+    best = rank_candidates(results, algorithm).orderBy("combined_rank", F.desc("silhouette_score"), "parameters").select(
         trailing_number(F.col("parameters")).alias("k")).first()
     if best is None:
         raise ValueError(f"No successful {algorithm} candidates are available")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -106,25 +105,25 @@ def classification_report(predictions: DataFrame, label: str = "label", predicti
     """
     confusion = predictions.groupBy(F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("said")
                                     ).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.when(F.col("actual") == F.col("said"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("actual") == F.col("said"), F.col("n")).otherwise(none)
     cells = confusion.select(F.inline(F.array(
-        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("said"), hit.alias("hits")),
-        F.struct(F.col("said").alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("said"), F.lit(0).cast("bigint").alias("hits")),
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), none.alias("said"), hit.alias("hits")),
+        F.struct(F.col("said").alias("class"), none.alias("support"), F.col("n").alias("said"), none.alias("hits")),
     ))).groupBy("class").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hits").alias("hits"))
     ratio = lambda num, den: F.coalesce(F.col(num) / F.nullif(F.col(den), F.lit(0)), F.lit(0.0))
     scored = cells.withColumns({"precision": ratio("hits", "said"), "recall": ratio("hits", "support")})
-    double_sum = F.col("precision") + F.col("recall")
+    both = F.col("precision") + F.col("recall")
     scored = scored.withColumn("f1_score", F.coalesce(
-        2 * F.col("precision") * F.col("recall") / F.nullif(double_sum, F.lit(0.0)), F.lit(0.0)))
+        2 * F.col("precision") * F.col("recall") / F.nullif(both, F.lit(0.0)), F.lit(0.0)))
     measures = ["precision", "recall", "f1_score"]
-    per_class = scored.select(F.col("class").cast("string").alias("entry"), *measures, "support")
-    support = F.sum("support")
-    macro = scored.agg(*[F.avg(m).alias(m) for m in measures], support.alias("support")).select(
-        F.lit("macro avg").alias("entry"), *measures, "support")
-    weighted = scored.agg(*[(F.sum(F.col(m) * F.col("support")) / support).alias(m) for m in measures],
-                          support.alias("support")).select(F.lit("weighted avg").alias("entry"), *measures, "support")
-    right = F.sum("hits") / support
-    accuracy = scored.agg(right.alias("precision"), support.alias("support")).select(
-        F.lit("accuracy").alias("entry"), "precision", F.col("precision").alias("recall"),
-        F.col("precision").alias("f1_score"), "support")
-    return reduce(DataFrame.unionByName, [per_class, accuracy, macro, weighted])
+    entry = lambda name, values, count: F.struct(
+        name.alias("entry"), *[v.alias(m) for m, v in zip(measures, values)], count.alias("support"))
+    support, right = F.sum("support"), F.sum("hits") / F.sum("support")
+    averages = F.array(
+        entry(F.lit("accuracy"), [right] * 3, support),
+        entry(F.lit("macro avg"), [F.avg(m) for m in measures], support),
+        entry(F.lit("weighted avg"), [F.sum(F.col(m) * F.col("support")) / support for m in measures], support))
+    # One row per class, so the whole report fits one small aggregate.
+    classes = F.collect_list(entry(F.col("class").cast("string"), [F.col(m) for m in measures], F.col("support")))
+    return scored.agg(F.concat(classes, averages).alias("entries")).select(F.inline("entries"))

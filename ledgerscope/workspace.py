@@ -7,6 +7,7 @@ re-read, not a rebuild.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,13 @@ class Workspace:
         self.spark = spark
         self.sf_dir = sf_dir
         self._root: str | None = None
+        self._kept: dict[str, object] = {}
+
+    def once(self, name: str, build: Callable[[], object]):
+        """Result of ``build`` on first use, the same result afterwards."""
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
     @property
     def root(self) -> str:

@@ -218,9 +218,6 @@ SQL = {
     "missing_profile": "SELECT " + ", ".join(f"count(*) - count({c}) AS missing_{c}" for c in CLEAN_COLUMNS) + " FROM clean",
     "total_over_groups": f"SELECT daypart, count(*) AS row_count, {b('sum(count(*)) OVER ()')} AS all_rows FROM fact GROUP BY 1",
     "customer_ntile": f"SELECT customer_id, {b('ntile(10) OVER (ORDER BY total_transaction_amount, customer_id)')} AS decile FROM mart",
-    "competition_rank": "SELECT location_id, rank() OVER (ORDER BY t DESC) AS by_transactions, rank() OVER (ORDER BY hi DESC) "
-        "AS by_largest, rank() OVER (ORDER BY lo) AS by_smallest FROM (SELECT location_id, count(*) AS t, "
-        "max(transaction_amount_inr) AS hi, min(transaction_amount_inr) AS lo FROM fact WHERE location_id IS NOT NULL GROUP BY 1)",
     "first_transaction": "SELECT customer_id, transaction_datetime, transaction_id, daypart FROM (SELECT *, row_number() OVER "
         "(PARTITION BY customer_id ORDER BY transaction_datetime, transaction_id) AS place FROM clean "
         "WHERE transaction_datetime IS NOT NULL) WHERE place = 1",

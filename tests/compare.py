@@ -1,4 +1,4 @@
-"""Compare every registered query with its checking SQL: ``python tests/compare.py [sf_dir] [name-part ...]``."""
+"""Compare every registered query with its checking SQL: ``python tests/compare.py [sf_dir] [name | prefix* ...]``."""
 
 from __future__ import annotations
 
@@ -63,7 +63,7 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(sf_dir), oracle_sql(), 0
     for name, build in queries().items():
-        if parts and not any(p in name for p in parts):
+        if parts and not any(p == name or (p.endswith("*") and name.startswith(p[:-1])) for p in parts):
             continue
         started = time.perf_counter()
         try:
