@@ -14,7 +14,15 @@ SILHOUETTE_ROWS = 10_000
 NOISE = -1
 
 
+# Up to this many columns a distance is written out term by term, which compiles to plain
+# arithmetic; wider ones loop over an array, which keeps the generated code small.
+WRITTEN_OUT = 32
+
+
 def squared_distance(columns: list[str], to: list[Column]) -> Column:
+    if len(columns) > WRITTEN_OUT:
+        squares = F.zip_with(F.array(*columns), F.array(*to), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(squares, F.lit(0.0), lambda total, s: total + s)
     total = F.lit(0.0)
     for c, t in zip(columns, to):
         total = total + (F.col(c) - t) * (F.col(c) - t)

@@ -58,14 +58,14 @@ SELECT vec_id, k, CAST(label % k AS INTEGER) AS label, list_transform(embedding,
 FROM embeddings CROSS JOIN (VALUES (2), (3), (4), (5), (10)) t(k)
 UNION ALL
 SELECT vec_id, 0, CAST(label AS INTEGER), list_transform(embedding, lambda v: CAST(v AS DOUBLE)) FROM embeddings WHERE label <> 0"""
-STAGES["means"] = """
+STAGES["label_means"] = """
 SELECT k, label, list(c ORDER BY i) AS c, any_value(n) AS n FROM (
   SELECT k, label, i, avg(x[i]) AS c, count(*) AS n FROM embedded CROSS JOIN range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL"""
 STAGES["centre"] = """
 SELECT k, list(c ORDER BY i) AS c FROM (SELECT k, i, avg(x[i]) AS c FROM embedded CROSS JOIN range(1, 65) r(i) GROUP BY ALL) GROUP BY ALL"""
 STAGES["gaps"] = """
 SELECT k, label, any_value(n) AS n, any_value(c) AS c, avg(list_distance(x, c)) AS spread, sum(list_distance(x, c) ** 2) AS within
-FROM embedded JOIN means USING (k, label) GROUP BY ALL"""
+FROM embedded JOIN label_means USING (k, label) GROUP BY ALL"""
 STAGES["db"] = """
 SELECT k, avg(worst) AS davies_bouldin_score FROM (
   SELECT p.k, p.label, max((p.spread + q.spread) / list_distance(p.c, q.c)) AS worst
@@ -84,7 +84,7 @@ STAGES["sil"] = """
 SELECT k, avg(CASE WHEN size = 1 THEN 0e0 ELSE (outside - inside) / greatest(inside, outside) END) AS silhouette_score FROM (
   SELECT r.k, one, any_value(o.n) AS size, max(CASE WHEN own = other_label THEN d / (o.n - 1) END) AS inside,
          min(CASE WHEN own <> other_label THEN d / m.n END) AS outside
-  FROM reach r JOIN means o ON o.k = r.k AND o.label = own JOIN means m ON m.k = r.k AND m.label = other_label GROUP BY ALL)
+  FROM reach r JOIN label_means o ON o.k = r.k AND o.label = own JOIN label_means m ON m.k = r.k AND m.label = other_label GROUP BY ALL)
 GROUP BY 1"""
 STAGES["merged"] = "SELECT * FROM db JOIN ch USING (k) JOIN sil USING (k)"
 METRICS = r6("silhouette_score", "davies_bouldin_score", "calinski_harabasz_score")
@@ -98,7 +98,7 @@ SELECT k FROM (SELECT *, rank() OVER (ORDER BY silhouette_score DESC) + rank() O
 ORDER BY places, silhouette_score DESC LIMIT 1"""
 FIXED = f"algorithm, parameters, sample_size, cluster_count, noise_share, {METRICS}, status"
 STAGES["said"] = """
-SELECT e.label, arg_min(m.label, list_distance(e.x, m.c)) AS prediction FROM embedded e JOIN means m USING (k)
+SELECT e.label, arg_min(m.label, list_distance(e.x, m.c)) AS prediction FROM embedded e JOIN label_means m USING (k)
 WHERE e.k = 10 GROUP BY e.vec_id, e.label"""
 STAGES["classes"] = """
 SELECT label, CAST(support AS BIGINT) AS support, p AS precision, r AS recall,
