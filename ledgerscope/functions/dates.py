@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ledgerscope.functions.text import strip_blank
-from ledgerscope.schemas import DAYPARTS
+from ledgerscope.schemas import DAYPARTS, WEEKDAYS
 
 DEFAULT_REFERENCE_DATE = "2016-12-31"
 DAYS_PER_YEAR = 365.2425
@@ -69,9 +69,10 @@ def parse_transaction_time(c: Column) -> Column:
     return clock_parts(time_digits(c))
 
 
-def combine_date_time(date: Column, time_text: Column) -> Column:
-    """Zone-free timestamp; null when either part is missing."""
-    return F.concat(date.cast("string"), F.lit(" "), time_text).try_cast("timestamp_ntz")
+def combine_date_time(date: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """Zone-free timestamp; null when the date or the time is missing."""
+    clock = F.make_dt_interval(F.lit(0), hour, minute, second.cast("decimal(18,6)"))
+    return date.cast("timestamp_ntz") + clock
 
 
 def age_in_years(on: Column, born: Column) -> Column:
@@ -81,7 +82,7 @@ def age_in_years(on: Column, born: Column) -> Column:
 
 
 def day_name(date: Column) -> Column:
-    return F.date_format(date, "EEEE")
+    return F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(date))
 
 
 def is_weekend(date: Column) -> Column:
@@ -90,7 +91,7 @@ def is_weekend(date: Column) -> Column:
 
 
 def year_month(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM")
+    return F.substring(date.cast("string"), 1, 7)
 
 
 def span_days(first: Column, last: Column) -> Column:

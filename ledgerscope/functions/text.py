@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Unicode whitespace plus the four separators a Unicode-aware strip also removes.
-_SPACE = r"[\s\x1c-\x1f]"
+# What a Unicode-aware strip removes. As a plain character set it needs no pattern to trim.
+_BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+           + "\u2028\u2029\u202f\u205f\u3000")
+_SPACE = f"[{_BLANKS}]"
 # Characters a location may keep.
 _ILLEGAL_IN_LOCATION = r"[^A-Z0-9,()&/ .'-]"
 
 
 def strip_blank(c: Column) -> Column:
     """Trim all surrounding whitespace; an empty rest is missing."""
-    return F.nullif(F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(_BLANKS)), F.lit(""))
 
 
 def upper_text(c: Column) -> Column:
@@ -20,11 +22,11 @@ def upper_text(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){_SPACE}+", " ")
+    return F.regexp_replace(c, f"{_SPACE}+", " ")
 
 
 def tidy_commas(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){_SPACE}*,{_SPACE}*", ", ")
+    return F.regexp_replace(c, f"{_SPACE}*,{_SPACE}*", ", ")
 
 
 def drop_illegal(c: Column) -> Column:

@@ -51,15 +51,17 @@ def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
     return per_key.join(known, "_key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
 
 
-def hot_keys(df: DataFrame, key: str, more_than: int) -> tuple[DataFrame, int]:
-    """Keys with more than ``more_than`` rows, and how many there are.
+def hot_keys(df: DataFrame, key: str, more_than: int) -> tuple[DataFrame | None, int]:
+    """Keys with more than ``more_than`` rows, and how many there are (None when there are none).
 
     The list is at most ``rows / more_than`` long; callers check the count before broadcasting.
     """
     from ledgerscope.session import cut_lineage
 
-    found = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than).select(key))
-    return found, found.count()
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.col("n") > more_than
+    found = counts.agg(F.count_if(hot)).first()[0]
+    return (cut_lineage(counts.where(hot).select(key)), found) if found else (None, 0)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

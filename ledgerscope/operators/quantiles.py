@@ -1,4 +1,4 @@
-"""Exact quantiles by distributed selection.
+"""Exact order statistics and quantiles by distributed selection.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which fails
 for a group that holds a large part of the data. Selection instead narrows down
@@ -10,6 +10,8 @@ values of buckets that are known to be small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerscope.operators.keys import BROADCAST_KEYS
@@ -31,78 +33,82 @@ def _coarse_bucket(v: Column) -> Column:
 
 
 def _histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "bucket").agg(
+    """Counts and value range per bucket, with the number of rows in earlier buckets."""
+    buckets = rows.groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return buckets.withColumn("before", F.sum("n").over(upto) - F.col("n"))
 
 
-def _before(keys: list[str], order: str) -> Column:
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum("n").over(upto) - F.col("n")
-
-
-def _join_intervals(long: DataFrame, intervals: DataFrame, keys: list[str], count: int) -> DataFrame:
+def _inside(long: DataFrame, intervals: DataFrame, keys: list[str], count: int) -> DataFrame:
     """Rows that fall into an open interval; intervals of one key never overlap."""
     small = F.broadcast(intervals) if count <= BROADCAST_KEYS else intervals
-    inside = F.col("v").between(F.col("low"), F.col("high"))
-    return long.join(small, keys).where(inside)
+    return long.join(small, keys).where(F.col("v").between(F.col("low"), F.col("high")))
 
 
-def group_quantiles(df: DataFrame, group_cols: list[str], measures: list[str], probs: list[float],
-                    small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Linear-interpolated quantiles: one row per (group, measure, prob) with ``value``.
+def _holds(rank: str) -> Column:
+    return (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("before") + F.col("n"))
 
-    Missing values do not count; a measure with no values at all gives no row.
+
+def order_statistics(df: DataFrame, group_cols: list[str], measures: list[str], wanted: Callable[[Column], Column],
+                     small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """Values at given 0-based ranks: one row per (group, measure, rank) with ``value`` and ``total``.
+
+    ``wanted`` turns the number of non-missing values of a (group, measure) into
+    an array of ranks; it may also refer to the column ``measure``. Ranks outside
+    the data give no row.
     """
     keys = [*group_cols, "measure"]
     long = _long_form(df, group_cols, measures)
+    columns = [*keys, "total", "rank", "offset", "n", "low", "high"]
 
     first = _histogram(long.withColumn("bucket", _coarse_bucket(F.col("v"))), keys)
-    whole = Window.partitionBy(*keys)
-    first = first.withColumns({"before": _before(keys, "bucket"), "total": F.sum("n").over(whole)})
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    spot = F.col("prob") * (F.col("total") - 1)
-    ranked = first.select("*", F.explode(wanted).alias("prob")).withColumns(
-        {"spot": spot, "side": F.explode(F.array(F.lit(0), F.lit(1)))})
-    rank = F.when(F.col("side") == 0, F.floor("spot")).otherwise(F.ceil("spot"))
-    ranked = ranked.withColumns({"rank": rank.cast("bigint"), "share": F.col("spot") - F.floor("spot")})
-    holds = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    target_cols = [*keys, "prob", "side", "share", "offset", "n", "low", "high"]
-    targets = cut_lineage(ranked.where(holds)
-                          .withColumn("offset", F.col("rank") - F.col("before")).select(*target_cols))
+    first = first.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    asked = first.withColumn("rank", F.explode(F.array_distinct(wanted(F.col("total"))))).where(_holds("rank"))
+    targets = cut_lineage(asked.withColumn("offset", F.col("rank") - F.col("before")).select(columns))
 
     while True:
-        open_targets = targets.where(F.col("low") < F.col("high"))
-        state = open_targets.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("largest")).first()
-        if not state["rows"] or state["largest"] <= small_bucket:
-            break
-        intervals = open_targets.select(*keys, "low", "high").distinct()
-        inside = _join_intervals(long, intervals, keys, state["rows"])
+        undecided = targets.where(F.col("low") < F.col("high"))
+        state = undecided.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("largest")).first()
+        decided = targets.where(F.col("low") == F.col("high"))
+        if not state["rows"]:
+            return decided.select(*keys, "total", "rank", F.col("low").alias("value"))
+        last = state["largest"] <= small_bucket
+        inside = _inside(long, undecided.select(*keys, "low", "high").distinct(), keys, state["rows"])
+        # Small buckets are resolved to single values, larger ones are split evenly by value.
         step = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * SPLIT)
-        cells = inside.select(*keys, F.col("low").alias("from_low"), "v",
-                              F.least(step, F.lit(SPLIT - 1)).alias("bucket"))
-        finer = _histogram(cells, [*keys, "from_low"])
-        finer = finer.withColumn("before", _before([*keys, "from_low"], "bucket"))
-        asked = open_targets.select(*keys, "prob", "side", "share", "offset", F.col("low").alias("from_low"))
-        found = asked.join(finer, [*keys, "from_low"]).where(
-            (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("n")))
-        found = found.withColumn("offset", F.col("offset") - F.col("before")).select(*target_cols)
-        done = targets.where(F.col("low") == F.col("high"))
-        targets = cut_lineage(done.unionByName(found))
-
-    picked = targets.where(F.col("low") == F.col("high")).select(*keys, "prob", "side", "share", F.col("low").alias("v"))
-    if state["rows"]:
-        intervals = open_targets.select(*keys, "low", "high").distinct()
-        values = (_join_intervals(long, intervals, keys, state["rows"])
-                  .groupBy(*keys, "low", "v").agg(F.count(F.lit(1)).alias("n")))
-        values = values.withColumn("before", _before([*keys, "low"], "v")).withColumnRenamed("n", "times")
-        asked = open_targets.select(*keys, "prob", "side", "share", "offset", "low")
-        exact = asked.join(values, [*keys, "low"]).where(
-            (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("times")))
-        picked = picked.unionByName(exact.select(*keys, "prob", "side", "share", "v"))
-    lower = F.max(F.when(F.col("side") == 0, F.col("v")))
-    upper = F.max(F.when(F.col("side") == 1, F.col("v")))
-    ends = picked.groupBy(*keys, "prob").agg(lower.alias("a"), upper.alias("b"), F.max("share").alias("share"))
-    return ends.select(*keys, "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
+        bucket = F.col("v") if last else F.least(step, F.lit(SPLIT - 1))
+        cells = inside.select(*keys, F.col("low").alias("origin"), "v", bucket.alias("bucket"))
+        finer = _histogram(cells, [*keys, "origin"])
+        narrowed = undecided.select(*keys, "total", "rank", "offset", F.col("low").alias("origin")).join(
+            finer, [*keys, "origin"]).where(_holds("offset"))
+        narrowed = narrowed.withColumn("offset", F.col("offset") - F.col("before")).select(columns)
+        both = decided.unionByName(narrowed)
+        if last:
+            return both.select(*keys, "total", "rank", F.col("low").alias("value"))
+        targets = cut_lineage(both)
+
+
+def group_quantiles(df: DataFrame, group_cols: list[str], measures: list[str], probs: list[float],
+                    small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """Linear-interpolated quantiles: one row per (group, measure, prob) with ``value``.
+
+    Missing values do not count; a measure with no values at all gives no row.
+    """
+    keys = [*group_cols, "measure"]
+    spots = lambda total: [F.lit(float(p)) * (total - 1) for p in probs]
+
+    def wanted(total: Column) -> Column:
+        return F.array(*[end(s).cast("bigint") for s in spots(total) for end in (F.floor, F.ceil)])
+
+    found = order_statistics(df, group_cols, measures, wanted, small_bucket)
+    per_key = found.groupBy(*keys).agg(
+        F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    cells = []
+    for p, s in zip(probs, spots(F.col("total"))):
+        a, b = F.col("at")[F.floor(s).cast("bigint")], F.col("at")[F.ceil(s).cast("bigint")]
+        cells.append(F.struct(F.lit(float(p)).alias("prob"), (a + (b - a) * (s - F.floor(s))).alias("value")))
+    return per_key.select(*keys, F.inline(F.array(*cells)))
 
 
 def wide_quantiles(quantiles: DataFrame, group_cols: list[str], names: dict[tuple[str, float], str]) -> DataFrame:
@@ -115,8 +121,7 @@ def wide_quantiles(quantiles: DataFrame, group_cols: list[str], names: dict[tupl
 def column_quantiles(df: DataFrame, measures: list[str], probs: list[float],
                      small_bucket: int = SMALL_BUCKET) -> dict[str, dict[float, float]]:
     """Quantiles over all rows as small driver values (measures x probs numbers)."""
-    rows = group_quantiles(df, [], measures, probs, small_bucket).collect()
     out: dict[str, dict[float, float]] = {m: {} for m in measures}
-    for r in rows:
+    for r in group_quantiles(df, [], measures, probs, small_bucket).collect():
         out[r["measure"]][r["prob"]] = r["value"]
     return out

@@ -52,7 +52,7 @@ def clean_transactions(raw: DataFrame, reference: Column | None = None) -> DataF
     derived = {
         "customer_age": dates.age_in_years(day, F.col("customer_dob")),
         "transaction_time": F.col("clock.text"),
-        "transaction_datetime": dates.combine_date_time(day, F.col("clock.text")),
+        "transaction_datetime": dates.combine_date_time(day, hour, F.col("clock.minute"), F.col("clock.second")),
         "transaction_hour": hour,
         "transaction_weekday": dates.day_name(day),
         "transaction_month": dates.year_month(day),

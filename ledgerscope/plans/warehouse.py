@@ -186,12 +186,15 @@ def integrity_report(wh: Warehouse) -> DataFrame:
             .unionByName(domain_violations(wh)))
 
 
-def assert_integrity(wh: Warehouse) -> None:
-    """Fail the build on any violation."""
-    broken = integrity_report(wh).where(F.col("violations") > 0).collect()
+def assert_integrity(wh: Warehouse) -> DataFrame:
+    """Fail the build on any violation, else return the evaluated checks."""
+    report = integrity_report(wh)
+    checks = report.collect()
+    broken = [r for r in checks if r["violations"]]
     if broken:
         raise RuntimeError("Warehouse integrity checks failed: "
                            + ", ".join(f"{r['check']}={r['violations']}" for r in broken))
+    return wh.spark.createDataFrame(checks, report.schema)
 
 
 def warehouse_build_summary(wh: Warehouse) -> DataFrame:

@@ -82,6 +82,14 @@ def parse_transaction_time(ws: Workspace) -> DataFrame:
                         F.col("t.text").alias("transaction_time"), F.col("t.valid").alias("valid_transaction_time"))
 
 
+def combine_date_time(ws: Workspace) -> DataFrame:
+    raw = cleaning.rename_columns(ws.raw)
+    parts = raw.select("transaction_id", dates.parse_transaction_date(F.col("transaction_date_raw")).alias("day"),
+                       dates.parse_transaction_time(F.col("transaction_time_raw")).alias("t"))
+    stamp = dates.combine_date_time(F.col("day"), F.col("t.hour"), F.col("t.minute"), F.col("t.second"))
+    return parts.select("transaction_id", stamp.alias("stamp"))
+
+
 def date_parts_of_dob(ws: Workspace) -> DataFrame:
     dob = text.strip_blank(F.col("CustomerDOB"))
     part = lambda i: F.nullif(F.regexp_extract(dob, r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$", i), F.lit("")).try_cast("int")
@@ -412,7 +420,7 @@ QUERIES = {
         century_earlier=F.add_months("transaction_date", -1200))),
     "calendar_parts": _clean_expression(lambda: dict(weekday=dates.day_name(_c("transaction_date")), weekend=dates.is_weekend(_c("transaction_date")),
         month=dates.year_month(_c("transaction_date")), iso=_c("transaction_date").cast("string"))),
-    "combine_date_time": _clean_expression(lambda: dict(stamp=dates.combine_date_time(_c("transaction_date"), _c("transaction_time")))),
+    "combine_date_time": on_workspace(combine_date_time),
     "daypart_bins": _clean_expression(lambda: dict(daypart=dates.daypart(_c("transaction_hour")))),
     "clip_and_log": _clean_expression(lambda: dict(log_balance=numbers.log1p_floor0(_c(BALANCE)), clipped=numbers.clip(_c(BALANCE), 0.0, 5000.0),
         magnitude=F.abs(BALANCE), whole=F.floor(BALANCE).cast("bigint"))),

@@ -77,8 +77,7 @@ def write_warehouse(ws: Workspace) -> DataFrame:
 
 def integrity_gate(ws: Workspace) -> DataFrame:
     """Raises on any violation, else reports every check."""
-    wh_ops.assert_integrity(ws.warehouse)
-    return wh_ops.integrity_report(ws.warehouse)
+    return wh_ops.assert_integrity(ws.warehouse)
 
 
 def parameterised_query(ws: Workspace) -> DataFrame:

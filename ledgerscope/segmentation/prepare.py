@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.functions import numbers
-from ledgerscope.operators.quantiles import column_quantiles
+from ledgerscope.operators.quantiles import column_quantiles, order_statistics
 from ledgerscope.schemas import SEGMENTATION_FEATURES, require_columns
 
 ID = "customer_id"
@@ -41,15 +42,23 @@ def segmentation_features(df: DataFrame, features: list[str] = SEGMENTATION_FEAT
     return df.select(ID, *[numbers.to_number(F.col(f)).alias(f) for f in features])
 
 
-def clipping_bounds(numeric: DataFrame, features: list[str], lower: float = 0.005,
-                    upper: float = 0.995) -> dict[str, tuple[float, float]]:
-    """Exact quantile bounds per feature."""
+def _check_quantiles(lower: float, upper: float) -> None:
     if not 0 <= lower < upper <= 1:
         raise ValueError("Clipping quantiles must satisfy 0 <= lower < upper <= 1")
-    found = column_quantiles(numeric, features, [lower, upper])
-    empty = sorted(f for f in features if not found[f])
+
+
+def _refuse_empty(features: list[str], counts: dict[str, int]) -> None:
+    empty = sorted(f for f in features if not counts[f])
     if empty:
         raise ValueError(f"Features without any value cannot be segmented on: {empty}")
+
+
+def clipping_bounds(numeric: DataFrame, features: list[str], lower: float = 0.005,
+                    upper: float = 0.995) -> dict[str, tuple[float, float]]:
+    """Exact quantile bounds per feature."""
+    _check_quantiles(lower, upper)
+    found = column_quantiles(numeric, features, [lower, upper])
+    _refuse_empty(features, {f: len(found[f]) for f in features})
     return {f: tuple(sorted((found[f][lower], found[f][upper]))) for f in features}
 
 
@@ -61,17 +70,68 @@ def impute(clipped: DataFrame, medians: dict[str, float]) -> DataFrame:
     return clipped.select(ID, *[F.coalesce(F.col(f), F.lit(m)).alias(f) for f, m in medians.items()])
 
 
+@dataclass
+class _Ranks:
+    """Where the wanted quantiles of one feature lie among its known values.
+
+    Imputing adds copies of the median, which slot in right after the lower
+    middle value. A rank of the imputed column is therefore a rank of the known
+    values, or the median itself (``None``).
+    """
+
+    known: int
+    rows: int
+
+    def plain(self, prob: float) -> tuple[int, int, float]:
+        spot = prob * (self.known - 1)
+        return math.floor(spot), math.ceil(spot), spot - math.floor(spot)
+
+    def imputed(self, prob: float) -> tuple[int | None, int | None, float]:
+        spot = prob * (self.rows - 1)
+        middle, added = (self.known - 1) // 2, self.rows - self.known
+
+        def source(rank: int) -> int | None:
+            if rank <= middle:
+                return rank
+            return None if rank <= middle + added else rank - added
+
+        return source(math.floor(spot)), source(math.ceil(spot)), spot - math.floor(spot)
+
+
 def fit_scaling(df: DataFrame, features: list[str] = SEGMENTATION_FEATURES, lower: float = 0.005,
                 upper: float = 0.995) -> ScalingParams:
-    """Bounds of the raw values, medians of the clipped ones, median and IQR of the imputed ones."""
+    """Bounds of the raw values, medians of the clipped ones, median and IQR of the imputed ones.
+
+    Clipping keeps the order of values, and imputing only adds the median, so one
+    selection of ranks over the raw values serves all three steps.
+    """
+    _check_quantiles(lower, upper)
     numeric = segmentation_features(df, features)
-    params = ScalingParams(clipping_bounds(numeric, features, lower, upper))
-    clipped = winsorize(numeric, params.bounds)
-    params.medians = {f: q[0.5] for f, q in column_quantiles(clipped, features, [0.5]).items()}
-    spread = column_quantiles(impute(clipped, params.medians), features, [0.25, 0.5, 0.75])
-    for f in features:
-        width = spread[f][0.75] - spread[f][0.25]
-        params.centers[f] = spread[f][0.5]
+    sizes = numeric.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f).alias(f) for f in features]).first()
+    _refuse_empty(features, sizes.asDict())
+    ranks = {f: _Ranks(sizes[f], sizes["_rows"]) for f in features}
+    needed = {}
+    for f, r in ranks.items():
+        spots = [r.plain(p) for p in (lower, 0.5, upper)] + [r.imputed(p) for p in (0.25, 0.5, 0.75)]
+        needed[f] = sorted({i for low, high, _ in spots for i in (low, high) if i is not None})
+    lookup = F.create_map(*[c for f in features for c in (F.lit(f), F.array(*[F.lit(i).cast("bigint") for i in needed[f]]))])
+    found = order_statistics(numeric, [], features, lambda total: lookup[F.col("measure")]).collect()
+    value = {f: {} for f in features}
+    for row in found:
+        value[row["measure"]][row["rank"]] = row["value"]
+
+    params = ScalingParams({})
+    for f, r in ranks.items():
+        between = lambda a, b, share: a + (b - a) * share
+        raw = lambda low, high, share: between(value[f][low], value[f][high], share)
+        low, high = sorted((raw(*r.plain(lower)), raw(*r.plain(upper))))
+        clipped = lambda rank: min(max(value[f][rank], low), high)
+        a, b, share = r.plain(0.5)
+        median = between(clipped(a), clipped(b), share)
+        filled = lambda rank: median if rank is None else clipped(rank)
+        quartiles = [between(filled(a), filled(b), share) for a, b, share in (r.imputed(p) for p in (0.25, 0.5, 0.75))]
+        width = quartiles[2] - quartiles[0]
+        params.bounds[f], params.medians[f], params.centers[f] = (low, high), median, quartiles[1]
         # A feature without spread keeps its own unit instead of vanishing.
         params.scales[f] = width if width > 0 else 1.0
     return params

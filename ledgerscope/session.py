@@ -63,3 +63,12 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """Materialise ``df`` as parquet and scan it back."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one split per core.
+
+    A large input has many more splits than cores and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerscope.schemas import RAW_COLUMNS
+from ledgerscope.session import spread_small_input
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    orders = scan("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = spread_small_input(scan("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     people = scan("customer").select("c_custkey", "c_nationkey", "c_acctbal")
     nations = scan("nation").select("n_nationkey", "n_name")
     joined = (orders.join(people, F.col("c_custkey") == F.col("o_custkey"))
