@@ -16,7 +16,7 @@ from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
 from ledgerscope.segmentation import candidates as cand, display, final, job, metrics, prepare
 from ledgerscope.segmentation.bundle import assign_with_bundle
 from ledgerscope.operators.sampling import sample_rows
-from ledgerscope.session import write_and_read
+from ledgerscope.session import new_folder, write_and_read
 from ledgerscope.stats import rank_tests
 from ledgerscope.workspace import Workspace
 
@@ -166,7 +166,8 @@ SETTINGS = job.SegmentationSettings(kmeans_restarts=2, final_restarts=4, trees=4
 
 
 def _run(ws: Workspace) -> job.SegmentationResult:
-    return ws.once("segmentation", lambda: job.run_segmentation(ws.features, f"{ws.root}/segmentation", SETTINGS))
+    return ws.once("segmentation", lambda: job.run_segmentation(
+        ws.features, new_folder(ws.spark, "segmentation"), SETTINGS))
 
 
 def kmeans_candidates(ws: Workspace) -> DataFrame:
@@ -191,15 +192,15 @@ def final_kmeans(ws: Workspace) -> DataFrame:
 
 def segmentation_outputs(ws: Workspace) -> DataFrame:
     """Rows of every written output table."""
-    names = list(_run(ws).tables)
-    counts = [ws.spark.read.csv(f"{ws.root}/segmentation/csv/{n}", header=True).agg(
+    run = _run(ws)
+    names = list(run.tables)
+    counts = [ws.spark.read.csv(f"{run.out_dir}/csv/{n}", header=True).agg(
         F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in names]
     return reduce(DataFrame.unionByName, counts)
 
 
 def segmentation_summary(ws: Workspace) -> DataFrame:
-    _run(ws)
-    return ws.spark.read.json(f"{ws.root}/segmentation/segmentation_summary", multiLine=True)
+    return ws.spark.read.json(f"{_run(ws).out_dir}/segmentation_summary", multiLine=True)
 
 
 QUERIES = {

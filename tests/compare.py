@@ -71,7 +71,8 @@ def main() -> int:
             found = difference(df, con, sql[name]) if name in sql else None
             note = "ok" if name in sql else f"rows only: {len(df.collect())}"
         except Exception as exc:
-            found = f"{type(exc).__name__}: {str(exc)[:600]}"
+            causes = [line.strip() for line in str(exc).splitlines() if "Caused by" in line or "- object" in line or "- field" in line]
+            found = f"{type(exc).__name__}: {str(exc)[:300]} {causes[:12]}"
         seconds = time.perf_counter() - started
         failed += found is not None
         print(f"{'FAIL' if found else 'pass'} {seconds:6.2f}s {name} {found or note}", flush=True)
