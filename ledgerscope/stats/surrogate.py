@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerscope.operators.sampling import sample_order, sample_rows
 from ledgerscope.segmentation.prepare import ID, assemble
-from ledgerscope.session import cut_lineage
+from ledgerscope.session import cut_lineage, new_folder
 from ledgerscope.stats.rank_tests import classification_report
 
 INTERPRETATION = ("The classifier only re-learns the assigned segments. It shows how well they can be told apart, "
@@ -50,7 +50,11 @@ def surrogate_importance(scaled: DataFrame, assignments: DataFrame, sample_size:
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, seed=seed)
-    model = forest.fit(train.withColumn("weight", weight.otherwise(1.0)))
+    # A freshly fitted forest carries its training summary, and with it the session, which cannot
+    # travel to tasks once the session has observed a metric. The stored model has no summary.
+    path = new_folder(spark, "forest")
+    forest.fit(train.withColumn("weight", weight.otherwise(1.0))).write().save(path)
+    model = RandomForestClassificationModel.load(path)
     predictions = cut_lineage(model.transform(sample.where("is_test")).select(ID, "label", "prediction"))
     importance = spark.createDataFrame(
         [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")

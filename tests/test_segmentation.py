@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
 from ledgerscope.segmentation import candidates as cand, display, final, gmm, metrics, prepare
@@ -231,6 +231,7 @@ def test_classification_report(spark):
 
 
 def test_surrogate_finds_the_signal(spark):
+    spark.range(3).observe(Observation("rows"), F.count(F.lit(1))).collect()  # a session that has observed
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3))
     scaled = spark.createDataFrame([(f"c{i:03d}", *map(float, r)) for i, r in enumerate(x)],
