@@ -19,6 +19,7 @@ CUSTOMER_COLUMNS = [
 ]
 FACT_COLUMNS = [c for c in CLEAN_COLUMNS if c != "customer_location"] + ["location_id"]
 MART_COLUMNS = [c for c in FEATURE_COLUMNS if c not in ("gender", "primary_location")] + ["primary_location_id"]
+CUSTOMERS_PER_BUCKET = 10_000  # at least; large tables use the full shuffle width
 TABLES = ["dim_location", "dim_customer", "fact_transaction", "customer_feature_mart"]
 
 
@@ -76,10 +77,15 @@ def build_fact_transaction(clean: DataFrame, dim_location: DataFrame) -> DataFra
         FACT_COLUMNS)
 
 
-def _write_by_customer(df: DataFrame, path: str, table: str, overwrite: bool) -> DataFrame:
+def _bucket_count(features: DataFrame) -> int:
+    """The session's shuffle width, or fewer buckets when they would be nearly empty."""
+    width = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(width, features.count() // CUSTOMERS_PER_BUCKET))
+
+
+def _write_by_customer(df: DataFrame, path: str, table: str, buckets: int, overwrite: bool) -> DataFrame:
     """Bucketed by customer, so that customer joins read both sides without a shuffle."""
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (df.repartition(buckets, "customer_id").write.mode("overwrite" if overwrite else "errorifexists")
      .format("parquet").bucketBy(buckets, "customer_id").sortBy("customer_id")
      .option("path", path).saveAsTable(table))
@@ -97,6 +103,7 @@ def write_warehouse(clean: DataFrame, features: DataFrame, path: str, name: str,
     mode = "overwrite" if overwrite else "errorifexists"
     build_dim_location(clean, features).write.mode(mode).parquet(f"{path}/dim_location")
     dim_location = spark.read.parquet(f"{path}/dim_location")
+    buckets = _bucket_count(features)
     fact = build_fact_transaction(clean, dim_location).write.mode(mode)
     if partition_fact_by:
         fact = fact.partitionBy(partition_fact_by)
@@ -104,10 +111,10 @@ def write_warehouse(clean: DataFrame, features: DataFrame, path: str, name: str,
     return Warehouse(
         dim_location=dim_location,
         dim_customer=_write_by_customer(build_dim_customer(features, dim_location), f"{path}/dim_customer",
-                                        f"{name}_dim_customer", overwrite),
+                                        f"{name}_dim_customer", buckets, overwrite),
         fact_transaction=spark.read.parquet(f"{path}/fact_transaction"),
         customer_feature_mart=_write_by_customer(build_customer_feature_mart(features, dim_location),
-                                                 f"{path}/customer_feature_mart", f"{name}_mart", overwrite),
+                                                 f"{path}/customer_feature_mart", f"{name}_mart", buckets, overwrite),
     )
 
 
