@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.texts import plain, row_key
+from ledgerscope.llm.texts import let, plain, row_key
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,18 +50,18 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_runs(dropped: Column, n_lines: Column) -> Column:
     """Run-length bitmap: the runs (start, length) of kept lines, from the sorted dropped positions."""
-    def run(i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(dropped, i - 1) + 1)
-        end = F.coalesce(F.get(dropped, i), n_lines)
-        return F.struct(start.cast("int").alias("start"), (end - start).cast("int").alias("length"))
+    def runs(at: Column) -> Column:
+        ends, starts = F.concat(at, F.array(n_lines)), F.concat(F.array(F.lit(0)), F.transform(at, lambda x: x + 1))
+        pairs = F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("int").alias("start"), (b - a).cast("int").alias("length")))
+        return F.filter(pairs, lambda r: r["length"] > 0)
 
-    return F.filter(F.transform(F.sequence(F.lit(0), F.size(dropped)), run), lambda r: r["length"] > 0)
+    return let(dropped, runs)
 
 
 def kept_text(text: Column, keep: Column) -> Column:
     """The text that a bitmap leaves, lines joined by line breaks."""
-    lines = split_lines(text)
-    return F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    return let(split_lines(text), lambda lines: F.array_join(
+        F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n"))
 
 
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
@@ -73,26 +73,24 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _attach(rows, dropped_positions(docs, id_col, text_col, min_chars, min_docs), "id", "key", F.col("n_lines"))
 
 
-def _attach(rows: DataFrame, lost: DataFrame, id_col: str, key_col: str, n_lines: Column) -> DataFrame:
+def _attach(rows: DataFrame, lost: DataFrame, id_col: str, key_col: str, n_lines: Column, count: str = "n_dropped",
+            bitmap: str = "keep") -> DataFrame:
     lost = lost.select(F.col("id").alias("_ld_id"), F.col("key").alias("_ld_key"), F.col("dropped").alias("_ld_dropped"))
     found = rows.join(lost, (plain(key_col) == F.col("_ld_key")) & plain(id_col).eqNullSafe(F.col("_ld_id")), "left")
     dropped = F.coalesce("_ld_dropped", F.array().cast("array<int>"))
-    return found.withColumn("n_dropped", F.size(dropped)).withColumn("keep", keep_runs(dropped, n_lines)).drop(
+    return found.withColumn(count, F.size(dropped)).withColumn(bitmap, keep_runs(dropped, n_lines)).drop(
         "_ld_id", "_ld_key", "_ld_dropped")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
-                min_docs: int = 5, bitmap_col: str | None = None) -> DataFrame:
+                min_docs: int = 5) -> DataFrame:
     """The documents with the bitmaps applied to their text, all other columns as they were."""
-    lost = dropped_positions(docs, id_col, text_col, min_chars, min_docs)
     text = plain(text_col)
-    lost = lost.select(F.col("id").alias("_ld_id"), F.col("key").alias("_ld_key"), F.col("dropped").alias("_ld_dropped"))
-    found = docs.withColumn("_ld_row", row_key(text)).join(
-        lost, (F.col("_ld_row") == F.col("_ld_key")) & plain(id_col).eqNullSafe(F.col("_ld_id")), "left")
-    keep = keep_runs(F.col("_ld_dropped"), F.size(split_lines(text)))
-    left = F.when(F.col("_ld_dropped").isNull(), text).otherwise(kept_text(text, keep))
-    out = [left.alias(c) if c == text_col else plain(c) for c in docs.columns]
-    return found.select(*out, *([F.size("_ld_dropped").alias(bitmap_col)] if bitmap_col else []))
+    rows = docs.withColumn("_ld_row", row_key(text)).withColumn("_ld_lines", F.size(split_lines(text)))
+    found = _attach(rows, dropped_positions(docs, id_col, text_col, min_chars, min_docs), id_col, "_ld_row",
+                    F.col("_ld_lines"), "_ld_lost", "_ld_keep")
+    left = F.when(F.col("_ld_lost") == 0, text).otherwise(kept_text(text, F.col("_ld_keep")))
+    return found.select(*[left.alias(c) if c == text_col else plain(c) for c in docs.columns])
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -31,20 +31,24 @@ KINDS = ("assign", "access", "hex", "owned")
 
 def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
     """Array of (start, kind, end, value): code points, end exclusive; matches do not overlap."""
-    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    # The text alternates between gaps and matches; their lengths add up to the places.
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(whole, i))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(value, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def walk(parts: Column) -> Column:
+        """The text alternates between gaps and matches; their lengths add up to the places."""
+        def step(acc: Column, part: Column) -> Column:
+            start = acc["at"] + F.length(part["gap"])
+            end = start + F.length(part["whole"])
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    matched = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
+                           F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+                           F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    named = F.filter(F.transform(matched, lambda p: F.struct(p["0"].alias("gap"), p["1"].alias("whole"), p["2"].alias("value"))),
+                     lambda p: p["whole"].isNotNull())
+    return F.when(text.rlike(pattern), walk(named)).otherwise(empty)
 
 
 def candidate_spans(text: Column) -> Column:

@@ -89,8 +89,24 @@ class Words:
         return b" ".join(folded[starts[i]:ends[i]].tobytes() for i in range(a, b))
 
 
-def scan_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WORD_BYTES) -> Words:
-    """Maximal runs of bytes that ``table`` keeps, never across rows, with a 64-bit hash of each folded run."""
+def _cut_long(starts: np.ndarray, ends: np.ndarray, folded: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Split runs of more than ``longest`` bytes between characters."""
+    cuts = []
+    for a, b in zip(starts[ends - starts > longest].tolist(), ends[ends - starts > longest].tolist()):
+        while b - a > longest:
+            cut = a + longest
+            while cut > a + 1 and folded[cut] & 0xC0 == 0x80:
+                cut -= 1
+            cuts.append(cut)
+            a = cut
+    return np.sort(np.append(starts, cuts).astype(np.int64)), np.sort(np.append(ends, cuts).astype(np.int64))
+
+
+def scan_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WORD_BYTES, longest: int | None = None) -> Words:
+    """Maximal runs of bytes that ``table`` keeps, never across rows, with a 64-bit hash of each folded run.
+
+    ``longest``: longer runs are cut into parts of at most that many bytes.
+    """
     folded = table[data]
     inside = folded != 0
     opens = np.zeros(len(data) + 1, bool)
@@ -101,6 +117,8 @@ def scan_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WORD_BY
     after = np.zeros(len(data), bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | opens[1:])) + 1
+    if longest and len(starts) and (ends - starts).max() > longest:
+        starts, ends = _cut_long(starts, ends, folded, longest)
     hashes = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):  # blocks of whole words bound the memory of the prefix sums
@@ -121,6 +139,11 @@ def combine(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body's functions use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_key(text: Column) -> Column:
     """64-bit hash of a text (null as empty): together with the row's id it names the row in joins."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
