@@ -1,10 +1,10 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed bits.
 
-The hashes of a text's five-word shingles are sorted once; their top eight bits name one of
-256 bins, so the first hash of each bin is its minimum. An empty bin takes the minimum of
+The hashes of a text's five-word shingles are sorted once; their top seven bits name one of
+128 bins, so the first hash of each bin is its minimum. An empty bin takes the minimum of
 the first filled bin on a probe sequence that depends on the bin alone, so texts with the
-same filled bins borrow alike. Four low-order bits of each bin are stored, 128 bytes in
-hexadecimal. Equal digits are corrected for chance: two unlike bins agree in 1 of 16 cases.
+same filled bins borrow alike. The low-order byte of each bin is stored, 128 bytes in
+hexadecimal. Equal bytes are corrected for chance: two unlike bins agree in 1 of 256 cases.
 
 Everything is DataFrame functions; a fingerprint needs no shuffle. To compare each document
 with the next by id, texts are dealt once into slots of neighbouring ids.
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerscope.llm.texts import let, plain, row_key
 
 SHINGLE = 5
-BINS, BITS = 256, 4
+BINS, BITS = 128, 8
+_BIN_BITS = BINS.bit_length() - 1
 _TRIES = 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,11 +44,11 @@ def shingle_hashes(words: Column) -> Column:
 
 
 def _bin(x: Column) -> Column:
-    return F.shiftright(x, 56).cast("int") + BINS // 2
+    return F.shiftright(x, 64 - _BIN_BITS).cast("int") + BINS // 2
 
 
 def _filled_bins(hashes: Column) -> Column:
-    """256 places in order of bins: the smallest hash of the bin, or null."""
+    """One place per bin, in order: the smallest hash of the bin, or null."""
     def spread(low: Column) -> Column:
         def with_gap(x: Column, i: Column) -> Column:
             following = F.coalesce(_bin(F.get(low, i + 1)), F.lit(BINS))
@@ -59,23 +60,34 @@ def _filled_bins(hashes: Column) -> Column:
         F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(s, i - 1)))), spread))
 
 
+def _probes() -> list[int]:
+    """Per empty bin the order in which it asks the others: every bin once, by double hashing."""
+    out = []
+    for b in range(BINS):
+        h = (b + 1) * 0x9E3779B97F4A7C15 >> 20
+        out += [((h >> _BIN_BITS) + t * (h | 1)) % BINS for t in range(BINS)]
+    return out
+
+
 def _densified(bins: Column) -> Column:
-    def borrow(b: Column) -> Column:
-        def walk(h: Column) -> Column:
-            probe = lambda t: F.get(bins, F.pmod(F.shiftright(h, 8) + t * h.bitwiseOR(F.lit(1)), F.lit(BINS)).cast("int"))
-            rest = F.filter(F.transform(F.sequence(F.lit(_TRIES), F.lit(BINS)), lambda t: probe(t.cast("bigint"))), lambda v: v.isNotNull())
-            return F.coalesce(*[probe(F.lit(t).cast("bigint")) for t in range(_TRIES)], F.get(rest, F.lit(0)))
+    order = _probes()
+    first = F.array(*[F.lit(order[b * BINS + t]) for b in range(BINS) for t in range(_TRIES)])
+    rest = F.array(*[F.array(*[F.lit(order[b * BINS + t]) for t in range(_TRIES, BINS)]) for b in range(BINS)])
 
-        return let(F.pmod(F.xxhash64(b), F.lit(1 << 20)), walk)
+    def borrow(b: Column) -> Column:
+        near = [F.get(bins, F.get(first, b * _TRIES + t)) for t in range(_TRIES)]
+        far = F.filter(F.transform(F.get(rest, b), lambda j: F.get(bins, j)), lambda v: v.isNotNull())
+        return F.coalesce(*near, F.get(far, F.lit(0)))
 
     return F.transform(bins, lambda x, b: F.coalesce(x, borrow(b)))
 
 
 def fingerprint(text: Column) -> Column:
-    """256 bins of 4 bits as 256 hexadecimal digits; empty for a text without words."""
+    """128 bins of 8 bits as 256 hexadecimal digits; empty for a text without words."""
     def pack(hashes: Column) -> Column:
         bins = let(_filled_bins(hashes), _densified)
-        digits = F.array_join(F.transform(bins, lambda x: F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)))), "")
+        digits = F.array_join(F.transform(bins, lambda x: F.substring(
+            F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)).bitwiseOR(F.lit(1 << BITS))), 2, 2)), "")
         return F.when(F.size(hashes) > 0, digits).otherwise("")
 
     return let(shingle_hashes(word_hashes(text)), pack)
@@ -86,10 +98,11 @@ def likeness(a: Column, b: Column) -> Column:
     def unequal(at: int) -> Column:
         part = lambda f: F.conv(F.substring(f, at, 16), 16, -10).cast("bigint")
         x = part(a).bitwiseXOR(part(b))
-        y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+        for step in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    differing = sum((unequal(at) for at in range(1, BINS + 1, 16)), F.lit(0))
+    differing = sum((unequal(at) for at in range(1, 2 * BINS + 1, 16)), F.lit(0))
     chance = 1.0 / (1 << BITS)
     estimate = (F.lit(1.0) - differing / F.lit(float(BINS)) - chance) / (1.0 - chance)
     some = (F.length(a) > 0) & (F.length(b) > 0)

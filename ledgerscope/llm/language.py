@@ -198,7 +198,7 @@ def fit_languages(labelled: DataFrame, vocabulary: str | None = None, id_col: st
 
     counted = sample.mapInArrow(words_of, "lang string, word binary").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
-    def fit(key, table: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         found = fit_pieces([bytes(w) for w in table["word"]], table["n"].to_numpy(float), Pieces.of(pieces), rounds)
         return pd.DataFrame({"lang": [key[0]], "p": [found.tobytes()]})
 

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerscope.llm.chunk_dedup import chunk_dedup_digest
 from ledgerscope.llm.decontaminate import contamination_digest
+from ledgerscope.llm.fingerprints import fingerprint_digest
+from ledgerscope.llm.language import language_digest
 from ledgerscope.llm.line_dedup import line_dedup_digest
 from ledgerscope.llm.packing import packing_digest
+from ledgerscope.llm.quality import quality_digest
 from ledgerscope.llm.secrets import secrets_digest
+from ledgerscope.llm.suffix_dedup import suffix_dedup_digest
 
 
 def _on(digest: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,8 +26,13 @@ def _on(digest: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": _on(contamination_digest, "documents", "benchmark"),
+    "op2_language_id": _on(language_digest, "documents"),
+    "op3_quality_classifier": _on(quality_digest, "documents", "labels"),
     "op5_packing": _on(packing_digest, "documents"),
     "op6_secret_scan": _on(secrets_digest, "documents"),
+    "op7_suffix_dedup": _on(suffix_dedup_digest, "documents"),
+    "op8_fingerprints": _on(fingerprint_digest, "documents"),
+    "op9_chunk_dedup": _on(chunk_dedup_digest, "documents"),
     "op10_line_dedup": _on(line_dedup_digest, "documents"),
 }
 

@@ -37,7 +37,8 @@ def test_round_trip_and_checksums(spark):
 
 
 def test_digest(spark):
-    encode, by = encoder(), {(r[0], len(encode(r[1]))): encode(r[1]) for r in rows() if r[0] not in (None, 3)}
+    encode = encoder()
+    by = {(r[0], len(encode(r[1]))): encode(r[1]) for r in rows() if r[0] not in (None, 3)}
     for p in packing_digest(documents(spark)).collect():
         if p["doc_id"] not in (None, 3):
             ids = by[(p["doc_id"], p["doc_tokens"])][p["start"]:p["start"] + p["length"]]
