@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerscope.llm.chunk_dedup import chunk_dedup_digest
 from ledgerscope.llm.decontaminate import contamination_digest
 from ledgerscope.llm.fingerprints import fingerprint_digest
+from ledgerscope.llm.jaccard_join import jaccard_digest
 from ledgerscope.llm.language import language_digest
 from ledgerscope.llm.line_dedup import line_dedup_digest
 from ledgerscope.llm.packing import packing_digest
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": _on(contamination_digest, "documents", "benchmark"),
     "op2_language_id": _on(language_digest, "documents"),
     "op3_quality_classifier": _on(quality_digest, "documents", "labels"),
+    "op4_jaccard_join": _on(jaccard_digest, "documents"),
     "op5_packing": _on(packing_digest, "documents"),
     "op6_secret_scan": _on(secrets_digest, "documents"),
     "op7_suffix_dedup": _on(suffix_dedup_digest, "documents"),
