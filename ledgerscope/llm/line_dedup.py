@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerscope.llm.texts import let, plain, row_key
+from ledgerscope.session import new_folder, write_and_read
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +40,7 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = docs.select(plain(id_col).alias("id"), row_key(text).alias("key"), F.posexplode(split_lines(text))).select(
         "id", "key", "pos", line_key(F.col("col")).alias("line")).where(F.length("line") >= min_chars)
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "id", "key", "pos")
+    hashed = write_and_read(hashed, new_folder(docs.sparkSession, "line-hashes"))  # the texts are split once
     order = ["h1", "h2", F.col("id").desc_nulls_last(), "key"]
     placed = hashed.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
     per_document = placed.groupBy("h1", "h2", "id", "key").agg(F.lit(1).alias("one"))
