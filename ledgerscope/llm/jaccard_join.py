@@ -291,14 +291,19 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each class, that of the smallest id (by the hash of its text among equal ids); texts without words all stay."""
     classes = jaccard_classes(docs, id_col, text_col, **options)
     place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
-    first = classes.where(F.col("node").isNotNull()).groupBy("node", "label", "id", "key").agg(F.lit(1).alias("x")).groupBy("label").agg(F.min(place).alias("p"))
-    keep = first.select(F.col("p.id").alias("_jj_id"), F.col("p.key").alias("_jj_key"), F.lit(True).alias("_jj_first"))
-    wordless = classes.where(F.col("node").isNull()).select("id", "key", F.lit(False)).distinct()
-    keep = keep.union(wordless)
+    first = classes.where(F.col("node").isNotNull()).groupBy("label").agg(F.min(place).alias("p"))
+    wordless = classes.where(F.col("node").isNull()).select("id", "key").distinct()
+    keep = first.select(F.col("p.id").alias("_jj_id"), F.col("p.key").alias("_jj_key"), F.lit(True).alias("_jj_one")).union(
+        wordless.select("id", "key", F.lit(False)))
+    # One hash of id and text deals both sides out, so copies spread and repeats of a row meet where they were joined.
+    keep = keep.withColumn("_jj_to", F.xxhash64("_jj_key", F.col("_jj_id").isNull(), "_jj_id"))
     keyed = docs.withColumn("_jj_row", row_key(plain(text_col)))
-    kept = keyed.join(keep, (F.col("_jj_row") == F.col("_jj_key")) & plain(id_col).eqNullSafe(F.col("_jj_id")))
-    names = [plain(c) for c in docs.columns]
-    return kept.where("_jj_first").dropDuplicates(["_jj_id", "_jj_key"]).select(*names).unionByName(kept.where("not _jj_first").select(*names))
+    keyed = keyed.withColumn("_jj_from", F.xxhash64("_jj_row", plain(id_col).isNull(), plain(id_col)))
+    kept = keyed.join(keep, (F.col("_jj_from") == F.col("_jj_to")) & (F.col("_jj_row") == F.col("_jj_key"))
+                      & plain(id_col).eqNullSafe(F.col("_jj_id")))
+    again = F.when(F.col("_jj_one"), F.lit(0)).otherwise(F.monotonically_increasing_id())  # wordless rows all differ
+    return kept.withColumn("_jj_again", again).dropDuplicates(["_jj_from", "_jj_row", "_jj_id", "_jj_again"]).select(
+        *[plain(c) for c in docs.columns])
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

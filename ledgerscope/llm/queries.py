@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ledgerscope.llm.chunk_dedup import chunk_dedup_digest
 from ledgerscope.llm.decontaminate import contamination_digest
 from ledgerscope.llm.fingerprints import fingerprint_digest
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": _on(fingerprint_digest, "documents"),
     "op9_chunk_dedup": _on(chunk_dedup_digest, "documents"),
     "op10_line_dedup": _on(line_dedup_digest, "documents"),
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
