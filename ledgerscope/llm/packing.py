@@ -15,26 +15,28 @@ end token. Repeated rows are packed each on their own.
 
 from __future__ import annotations
 
-import os
-import re
+import json
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.texts import plain
+from ledgerscope.llm.texts import mix, plain, powers, prefix_hash, text_chunks
 
 MAX_LENGTH = 2048
 END_TOKEN = 1
-CACHED_WORDS = 300_000
-_ROWS = 256
-_DOUBLE_SPACE = re.compile(r"\s\s")
+KEPT_UNITS = 2_000_000
+_ROWS = 1024
+# White space, as bytes: the ASCII characters, and bytes that may begin another white space character.
+_BLANK = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_DOUBTFUL = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 PIECE_TYPE = ("_pieces array<struct<start:bigint,length:bigint,ids:binary,exponent:int,number:bigint>>, "
               "doc_tokens bigint")
-_kept: dict[str, WordTokenizer] = {}
+_kept: dict[str, UnitTokenizer] = {}
 
 
 def default_vocabulary() -> str:
@@ -43,42 +45,84 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordTokenizer:
-    """Byte-level BPE ids of texts as packed little-endian 32-bit integers.
+def byte_pair_coder(path: str):
+    """Coder of a byte-level BPE file: the same merges and ids, about three times as fast per word as the file's own library."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {t["content"] for t in content["added_tokens"]}
+    # Byte-level files write bytes that do not print as the characters from 256 on, in order.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class UnitTokenizer:
+    """Byte-level BPE ids of texts.
 
-    The vocabulary's pattern starts a new word at every single space between two other
-    characters, so ids of a text are the ids of its space-led words in order. Words that
-    were seen are looked up; texts with runs of white space are encoded as a whole.
+    The vocabulary's pattern starts a new word at every single space between two characters
+    that are not white space, so the ids of a text are those of its units, cut before such
+    spaces, in order. Each distinct unit is encoded once; its ids are kept under its hash in
+    a sorted table. Texts with characters that might be other white space are encoded whole.
     """
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._limit, self._known = cached_words, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [None if _DOUBLE_SPACE.search(t) else t.split(" ") for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        if len(self._known) > self._limit:
-            self._known.clear()
-        known = self._known
-        new = {w for words in split if words for w in words[1:] if w not in known}
-        if new:
-            new = list(new)
-            known.update(zip(new, self._encode([" " + w for w in new])))
-        whole = [i for i, words in enumerate(split) if words is None]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        heads = [i for i, words in enumerate(split) if words is not None]
-        for i, head in zip(heads, self._encode([split[i][0] for i in heads])):
-            out[i] = head + b"".join([known[w] for w in split[i][1:]])
+    def __init__(self, path: str, kept_units: int = KEPT_UNITS):
+        self._coder = byte_pair_coder(path)
+        self._limit = kept_units
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hashes, self._starts, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids, self._used = np.zeros(1 << 16, "<u4"), 0
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        found = [self._coder.encode_ordinary(u) for u in units]
+        sizes = np.array([len(x) for x in found], np.int64)
+        flat = np.array(list(chain.from_iterable(found)), "<u4")
+        while self._used + len(flat) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._ids[self._used:self._used + len(flat)] = flat
+        at = np.searchsorted(self._hashes, hashes)
+        starts = self._used + np.cumsum(sizes) - sizes
+        self._used += len(flat)
+        self._hashes, self._starts, self._sizes = (
+            np.insert(a, at, b) for a, b in ((self._hashes, hashes), (self._starts, starts), (self._sizes, sizes)))
+
+    def chunk(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a run of rows."""
+        if not len(data):
+            return [np.zeros(0, "<u4")] * (len(bounds) - 1)
+        if len(self._hashes) > self._limit:
+            self._forget()
+        blank = _BLANK[data]
+        doubtful = np.flatnonzero(_DOUBTFUL[data])
+        opens = data == 0x20
+        opens[1:] &= ~blank[:-1]
+        opens[:-1] &= ~blank[1:]
+        opens[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))
+        sums = prefix_hash(data + np.uint64(1))
+        hashes = mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self._hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self._hashes):
+            known = self._hashes[np.minimum(at, len(self._hashes) - 1)] == distinct
+        new = first[~known]
+        if len(new):
+            self._learn(distinct[~known], [data[a:b].tobytes().decode() for a, b in zip(starts[new], ends[new])])
+            at = np.searchsorted(self._hashes, distinct)
+        sizes, places = self._sizes[at][inverse], self._starts[at][inverse]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._ids[np.repeat(places - total[:-1], sizes) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(starts, bounds)]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for row in np.unique(np.searchsorted(bounds, doubtful, "right") - 1).tolist():
+            out[row] = np.array(self._coder.encode_ordinary(data[bounds[row]:bounds[row + 1]].tobytes().decode()), "<u4")
         return out
 
 
@@ -90,15 +134,15 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_token: int) -> Iterator[pa.RecordBatch]:
     if path not in _kept:
-        _kept[path] = WordTokenizer(path)
+        _kept[path] = UnitTokenizer(path)
     tokenizer = _kept[path]
     end, task = np.array([end_token], "<u4").tobytes(), TaskContext.get().partitionId()
     numbers = [0] * longest.bit_length()
     for batch in batches:
         column = batch.column(0)
         for low in range(0, len(column), _ROWS):
-            texts = [t or "" for t in column.slice(low, _ROWS).to_pylist()]
-            ids = [x + end for x in tokenizer.ids(texts)]
+            ids = [x for data, bounds in text_chunks(column.slice(low, _ROWS)) for x in tokenizer.chunk(data, bounds)]
+            ids = [x.tobytes() + end for x in ids]
             pieces = []
             for x in ids:
                 row, start = [], 0
