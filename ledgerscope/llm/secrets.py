@@ -46,8 +46,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
     matched = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
                            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
                            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    named = F.filter(F.transform(matched, lambda p: F.struct(p["0"].alias("gap"), p["1"].alias("whole"), p["2"].alias("value"))),
-                     lambda p: p["whole"].isNotNull())
+    named = F.filter(matched, lambda p: p["whole"].isNotNull())
     return F.when(text.rlike(pattern), walk(named)).otherwise(empty)
 
 
