@@ -18,10 +18,16 @@ def to_number(c: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
+# From here on a double holds no fraction, so scaled values this large are already rounded.
+WHOLE_FROM = float(2 ** 53)
+
+
 def round_half_up(c: Column, digits: int) -> Column:
+    """Rounded half away from zero; values without a digit to round, infinities and NaN stay as they are."""
     scale = float(10 ** digits)
     x = c.cast("double")
-    return F.signum(x) * F.floor(F.abs(x) * scale + (0.5 + HALF_TOLERANCE)).cast("double") / scale
+    rounded = F.signum(x) * F.floor(F.abs(x) * scale + (0.5 + HALF_TOLERANCE)).cast("double") / scale
+    return F.when(F.abs(x) * scale < WHOLE_FROM, rounded).otherwise(x)
 
 
 def log1p_floor0(c: Column) -> Column:

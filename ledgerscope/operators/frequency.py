@@ -18,7 +18,8 @@ def primary_value(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def first_row_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key in ascending order, as one mergeable minimum."""
+    """The first row of each key in ascending order, missing values last, as one mergeable minimum."""
     rest = [c for c in df.columns if c != key and c not in order]
-    packed = df.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("row"))
+    ranked = [x for c in order for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    packed = df.groupBy(key).agg(F.min(F.struct(*ranked, *rest)).alias("row"))
     return packed.select(key, "row.*").select(*df.columns)

@@ -7,8 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+_ORDER_BITS = 60
+
+
 def sample_order(id_column: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_column), F.lit(seed))
+    """The leading bits of md5("id:seed"), a number that other engines compute alike."""
+    digest = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, _ORDER_BITS // 4), 16, 10).cast("bigint")
 
 
 def sample_rows(df: DataFrame, id_column: str, max_rows: int, seed: int = 42,
@@ -29,8 +34,7 @@ def sample_rows(df: DataFrame, id_column: str, max_rows: int, seed: int = 42,
     while True:
         candidates = df
         if share < 1:
-            cutoff = int(-(2 ** 63) + share * 2 ** 64)
-            candidates = df.where(order <= F.lit(min(cutoff, 2 ** 63 - 1)))
+            candidates = df.where(order <= F.lit(int(share * 2 ** _ORDER_BITS)))
             if candidates.count() < size:
                 share *= 2
                 continue

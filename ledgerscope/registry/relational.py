@@ -269,8 +269,7 @@ def customer_ntile(wh) -> DataFrame:
 
 
 def first_transaction(ws: Workspace) -> DataFrame:
-    rows = ws.clean.where(F.col("transaction_datetime").isNotNull()).select(
-        "customer_id", "transaction_datetime", "transaction_id", "daypart")
+    rows = ws.clean.select("customer_id", "transaction_datetime", "transaction_id", "daypart")
     return frequency.first_row_per_key(rows, "customer_id", ["transaction_datetime", "transaction_id"])
 
 
@@ -323,7 +322,7 @@ def duplicate_counts(ws: Workspace) -> DataFrame:
 
 
 def quality_check(name: str):
-    return on_workspace(lambda ws: quality.build_quality_report(ws.raw, ws.clean).where(F.col("check") == name))
+    return on_workspace(lambda ws: quality.build_quality_report(ws.raw, ws.clean, [name]))
 
 
 def validate_raw_schema(ws: Workspace) -> DataFrame:
@@ -346,7 +345,7 @@ QUERIES = {
     "scan_features": on_workspace(scan_features),
     # projections, filters, predicates
     "rename_columns": on_workspace(lambda ws: rounded(cleaning.rename_columns(ws.raw))),
-    "project_columns": on_workspace(lambda ws: rounded(ws.features.select(FEATURE_COLUMNS[:8]))),
+    "project_columns": on_workspace(lambda ws: rounded(ws.features.select(FEATURE_COLUMNS))),
     "drop_columns": on_workspace(lambda ws: rounded(
         ws.raw.drop("CustomerDOB", "CustLocation", "TransactionDate", "TransactionTime"))),
     "clean_transactions": on_workspace(lambda ws: rounded(cleaning.clean_transactions(ws.raw))),
@@ -437,6 +436,6 @@ QUERIES = {
     "validate_raw_schema": on_workspace(validate_raw_schema),
     "quality_report": on_workspace(lambda ws: quality.build_quality_report(ws.raw, ws.clean)),
     **{f"quality_{name}": quality_check(name) for name in quality.CHECKS if not name.startswith("raw_missing")},
-    "quality_raw_missing": on_workspace(lambda ws: quality.build_quality_report(ws.raw, ws.clean).where(
-        F.col("check").startswith("raw_missing__"))),
+    "quality_raw_missing": on_workspace(lambda ws: quality.build_quality_report(
+        ws.raw, ws.clean, [n for n in quality.CHECKS if n.startswith("raw_missing__")])),
 }

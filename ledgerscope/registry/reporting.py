@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerscope.plans import catalogue, portfolio, quality, views, warehouse as wh_ops
 from ledgerscope.plans.reports import REPORTS, value_matrix
 from ledgerscope.registry.common import on_warehouse, on_workspace, rounded
-from ledgerscope.session import new_folder
+from ledgerscope.session import cut_lineage, new_folder
 from ledgerscope.sources import scans, sinks
 from ledgerscope.workspace import Workspace
 
@@ -39,14 +39,6 @@ def query_catalog(ws: Workspace) -> DataFrame:
     return table.select("name", "row_count", "column_count", "status")
 
 
-def report_search(ws: Workspace) -> DataFrame:
-    return catalogue.report_search(_run_records(ws), "customer")
-
-
-def report_name_filter(ws: Workspace) -> DataFrame:
-    return catalogue.report_search(_run_records(ws), "distribution|band")
-
-
 def exported_report(ws: Workspace) -> DataFrame:
     """A report read back from its export."""
     folder, _ = _written_catalogue(ws)
@@ -55,7 +47,8 @@ def exported_report(ws: Workspace) -> DataFrame:
 
 
 def preparation_summary(ws: Workspace) -> DataFrame:
-    report = quality.build_quality_report(ws.raw, ws.clean)
+    # The report is a few rows; they are counted once and read several times.
+    report = cut_lineage(quality.build_quality_report(ws.raw, ws.clean))
     return quality.preparation_summary(ws.raw, ws.clean, ws.features, report)
 
 
@@ -105,7 +98,6 @@ QUERIES = {
     "parameterised_query": on_workspace(parameterised_query),
     "preparation_summary": on_workspace(preparation_summary),
     "warehouse_build_summary": on_warehouse(wh_ops.warehouse_build_summary),
-    "report_name_filter": on_workspace(report_name_filter),
     # warehouse
     "dim_location": on_warehouse(lambda wh: wh.dim_location),
     "dim_customer": on_warehouse(lambda wh: rounded(wh.dim_customer)),
@@ -128,7 +120,6 @@ QUERIES = {
     "hourly_volume": on_warehouse(lambda wh: rounded(portfolio.hourly_volume(wh))),
     "location_filter": on_warehouse(portfolio.location_filter),
     "coverage_long": on_warehouse(lambda wh: rounded(portfolio.coverage_long(wh))),
-    "report_search": on_workspace(report_search),
 }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerscope.registry.common import on_workspace, rounded
 from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
 from ledgerscope.segmentation import candidates as cand, display, final, job, metrics, prepare
-from ledgerscope.segmentation.bundle import assign_with_bundle
+from ledgerscope.segmentation.bundle import assign_with_bundle, project_with_bundle
 from ledgerscope.operators.sampling import sample_rows
 from ledgerscope.session import new_folder, write_and_read
 from ledgerscope.stats import rank_tests
@@ -92,8 +92,7 @@ def _std_profile(ws: Workspace) -> DataFrame:
 
 
 def _tests(ws: Workspace) -> DataFrame:
-    # Ranks see six decimals, so that equal figures summed in another order stay tied.
-    merged = rounded(ws.features).join(_assigned(ws).select("customer_id", "cluster"), "customer_id")
+    merged = ws.features.join(_assigned(ws).select("customer_id", "cluster"), "customer_id")
     return rank_tests.kruskal_wallis(merged, FEATURES)
 
 
@@ -106,7 +105,7 @@ def _embedded(ws: Workspace) -> DataFrame:
 
 
 def cluster_metrics(ws: Workspace) -> DataFrame:
-    return rounded(metrics.evaluate_frame(_embedded(ws), POSITIONS, "vec_id"))
+    return rounded(metrics.evaluate_frame(_embedded(ws), POSITIONS))
 
 
 def _one_metric(name: str):
@@ -116,13 +115,13 @@ def _one_metric(name: str):
 def noise_excluded(ws: Workspace) -> DataFrame:
     """Label 0 counts as noise."""
     marked = _embedded(ws).withColumn("label", F.when(F.col("label") == 0, metrics.NOISE).otherwise(F.col("label")))
-    record = cand.candidate_result("FixedLabels", "noise=0", marked, POSITIONS, "vec_id")
+    record = cand.candidate_result("FixedLabels", "noise=0", marked, POSITIONS)
     return rounded(cand.candidates_frame(ws.spark, [record]).drop("error"))
 
 
 def single_cluster_guard(ws: Workspace) -> DataFrame:
     """One cluster only: the metrics are missing."""
-    return metrics.evaluate_frame(_embedded(ws).withColumn("label", F.lit(0)), POSITIONS, "vec_id")
+    return metrics.evaluate_frame(_embedded(ws).withColumn("label", F.lit(0)), POSITIONS)
 
 
 def _fixed_candidates(ws: Workspace) -> DataFrame:
@@ -130,8 +129,7 @@ def _fixed_candidates(ws: Workspace) -> DataFrame:
     def build() -> list[dict]:
         counts = range(2, 6)
         rows = _embedded(ws).select("*", *[(F.col("label") % k).alias(f"label_{k}") for k in counts])
-        return cand.candidate_results("FixedLabels", rows, POSITIONS, {f"label_{k}": f"n_clusters={k}" for k in counts},
-                                      "vec_id")
+        return cand.candidate_results("FixedLabels", rows, POSITIONS, {f"label_{k}": f"n_clusters={k}" for k in counts})
 
     return cand.candidates_frame(ws.spark, ws.once("fixed_candidates", build))
 
@@ -143,7 +141,7 @@ def choose_cluster_count(ws: Workspace) -> DataFrame:
 
 def competition_rank(ws: Workspace) -> DataFrame:
     ranked = cand.rank_candidates(_fixed_candidates(ws), "FixedLabels")
-    return rounded(ranked.select("parameters", "silhouette_rank", "davies_bouldin_rank", "calinski_harabasz_rank",
+    return rounded(ranked.select("parameters", "squared_silhouette_rank", "davies_bouldin_rank", "calinski_harabasz_rank",
                                  "combined_rank"))
 
 
@@ -162,45 +160,87 @@ def classification_report(ws: Workspace) -> DataFrame:
 
 # --- fitted models -----------------------------------------------------------
 
-SETTINGS = job.SegmentationSettings(kmeans_restarts=2, final_restarts=4, trees=40, depth=8, extended=False)
-
-
 def _run(ws: Workspace) -> job.SegmentationResult:
-    return ws.once("segmentation", lambda: job.run_segmentation(
-        ws.features, new_folder(ws.spark, "segmentation"), SETTINGS))
-
-
-def kmeans_candidates(ws: Workspace) -> DataFrame:
-    return cand.candidates_frame(ws.spark, cand.kmeans_candidates(_scaled(ws), n_init=2))
-
-
-def gmm_diag_candidates(ws: Workspace) -> DataFrame:
-    return cand.candidates_frame(ws.spark, cand.mixture_candidates(_scaled(ws), n_init=1, max_iter=40))
-
-
-def hierarchical_candidates(ws: Workspace) -> DataFrame:
-    return cand.candidates_frame(ws.spark, cand.hierarchical_candidates(_scaled(ws)))
+    """The run with the library's defaults, once per workspace."""
+    return ws.once("segmentation", lambda: job.run_segmentation(ws.features, new_folder(ws.spark, "segmentation")))
 
 
-def density_candidates(ws: Workspace) -> DataFrame:
-    return cand.candidates_frame(ws.spark, cand.density_candidates(_scaled(ws)))
+def _facts(ws: Workspace, algorithm: str) -> DataFrame:
+    """What holds for the candidates of any correct fit."""
+    table = _run(ws).tables["clustering_model_comparison"].where(F.col("algorithm") == algorithm)
+    present = [F.col(m).isNotNull() & ~F.isnan(m) for m in cand.METRICS]
+    return table.select("algorithm", "parameters", "sample_size", "status", (present[0] & present[1] & present[2]).alias("has_metrics"))
 
 
 def final_kmeans(ws: Workspace) -> DataFrame:
-    return rank_tests.cluster_distribution(_run(ws).tables["customer_segment_assignments"])
+    """Customers, and how many centroids are off the mean of their own customers."""
+    run = _run(ws)
+    scaled, centroids = run.extra["scaled"], run.extra["centroids"]
+    merged = scaled.join(run.tables["customer_segment_assignments"].select("customer_id", "cluster"), "customer_id")
+    center = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centroids])[F.col("cluster")]
+    means = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FEATURES])
+    gaps = [F.abs(F.col(f) - center[i]) for i, f in enumerate(FEATURES)]
+    return means.agg(F.sum("n").alias("customers"), F.count_if(F.greatest(*gaps) > 1e-2).alias("centroids_off"),
+                     (F.count(F.lit(1)) == len(centroids)).alias("every_cluster_is_used"))
+
+
+def pca_projection(ws: Workspace) -> DataFrame:
+    """Customers; the scores are centred, uncorrelated, and the first varies most."""
+    found = _run(ws).tables["pca_customer_projection"].agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("pca_1").alias("m1"), F.avg("pca_2").alias("m2"),
+        F.stddev("pca_1").alias("s1"), F.stddev("pca_2").alias("s2"), F.corr("pca_1", "pca_2").alias("r"))
+    centred = (F.abs("m1") < F.col("s1") * 1e-6) & (F.abs("m2") < F.col("s1") * 1e-6)
+    return found.select("customers", centred.alias("centred"), (F.abs("r") < 1e-6).alias("uncorrelated"),
+                        (F.col("s1") >= F.col("s2")).alias("ordered"))
+
+
+def saved_segmentation_bundle(ws: Workspace) -> DataFrame:
+    """Assignments and projections repeated from the stored bundle against the stored ones."""
+    run = _run(ws)
+    again = assign_with_bundle(ws.features, run.bundle_path).join(project_with_bundle(ws.features, run.bundle_path), "customer_id")
+    both = again.alias("a").join(run.tables["customer_segment_assignments"].alias("b"), "customer_id").join(
+        run.tables["pca_customer_projection"].alias("c"), "customer_id")
+    far = [F.abs(F.col(f"a.pca_{i}") - F.col(f"c.pca_{i}")) > 1e-9 for i in (1, 2)]
+    return both.agg(F.count(F.lit(1)).alias("customers"),
+                    F.count_if(F.col("a.cluster") != F.col("b.cluster")).alias("other_cluster"),
+                    F.count_if(far[0] | far[1]).alias("other_place"))
 
 
 def segmentation_outputs(ws: Workspace) -> DataFrame:
-    """Rows of every written output table."""
+    """Rows of every written output table; per cluster for the tables that have a row for each."""
     run = _run(ws)
-    names = list(run.tables)
+    k = run.summary["selected_cluster_count"]
+    per = lambda n: k if n in ("cluster_profile", "cluster_standardized_profile", "cluster_distribution") else 1
     counts = [ws.spark.read.csv(f"{run.out_dir}/csv/{n}", header=True).agg(
-        F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in names]
+        F.lit(n).alias("table_name"), (F.count(F.lit(1)) / per(n)).cast("bigint").alias("row_count")) for n in run.tables]
     return reduce(DataFrame.unionByName, counts)
 
 
+def segmentation_run(ws: Workspace) -> DataFrame:
+    found = job.selected_summary(_run(ws), ws.spark)
+    return found.select("customer_count", "feature_count", F.col("selected_cluster_count").between(2, 8).alias("count_in_range"),
+                        F.col("surrogate_accuracy").between(0.5, 1.0).alias("segments_are_relearned"))
+
+
 def segmentation_summary(ws: Workspace) -> DataFrame:
-    return ws.spark.read.json(f"{_run(ws).out_dir}/segmentation_summary", multiLine=True)
+    record = ws.spark.read.json(f"{_run(ws).out_dir}/segmentation_summary", multiLine=True)
+    return rounded(record.select("customer_count", "feature_count", "selected_algorithm", "single_transaction_share"))
+
+
+def surrogate_importance(ws: Workspace) -> DataFrame:
+    """Features, their summed importance, the accuracy recomputed from the stored predictions, and customers fitted or scored."""
+    fitted = _run(ws).extra["surrogate"]
+    hits = fitted.predictions.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+    return rounded(_run(ws).tables["cluster_feature_importance"].agg(
+        F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance")).select(
+        "*", F.lit(abs(hits - fitted.accuracy) < 1e-9).alias("accuracy_repeats"),
+        F.lit(fitted.fitted_rows + fitted.scored_rows).cast("bigint").alias("customers")))
+
+
+def top_importance(ws: Workspace) -> DataFrame:
+    """The features are those of the model, largest importance first."""
+    shown = display.top_importance(_run(ws).tables["cluster_feature_importance"])
+    return shown.select("feature")
 
 
 QUERIES = {
@@ -212,33 +252,32 @@ QUERIES = {
     "robust_scale": on_workspace(lambda ws: rounded(prepare.scale(ws.features, _params(ws)))),
     "assemble_and_check_finite": on_workspace(finite_matrix),
     "reproducible_sample": on_workspace(lambda ws: rounded(sample_rows(_scaled(ws), "customer_id", 5000))),
-    "kmeans_candidates": on_workspace(kmeans_candidates),
+    "kmeans_candidates": on_workspace(lambda ws: _facts(ws, "KMeans")),
     "davies_bouldin": _one_metric("davies_bouldin_score"),
     "calinski_harabasz": _one_metric("calinski_harabasz_score"),
-    "euclidean_silhouette": _one_metric("silhouette_score"),
+    "squared_silhouette": _one_metric("squared_silhouette_score"),
     "noise_excluded_candidate": on_workspace(noise_excluded),
     "single_cluster_guard": on_workspace(single_cluster_guard),
     "candidate_result": on_workspace(lambda ws: rounded(_fixed_candidates(ws).drop("error"))),
     "competition_rank": on_workspace(competition_rank),
     "choose_cluster_count": on_workspace(choose_cluster_count),
-    "gmm_diag_candidates": on_workspace(gmm_diag_candidates),
-    "hierarchical_candidates": on_workspace(hierarchical_candidates),
-    "density_candidates": on_workspace(density_candidates),
+    "gmm_diag_candidates": on_workspace(lambda ws: _facts(ws, "GaussianMixture")),
+    "hierarchical_candidates": on_workspace(lambda ws: _facts(ws, "BisectingKMeans")),
     "final_kmeans": on_workspace(final_kmeans),
     "cluster_assignments": on_workspace(lambda ws: rounded(
         final.cluster_assignments(_scaled(ws), _gender_centroids(ws)))),
     "cluster_profile": on_workspace(lambda ws: rounded(_profile(ws))),
     "standardized_profile": on_workspace(lambda ws: rounded(_std_profile(ws))),
-    "pca_projection": on_workspace(lambda ws: _run(ws).tables["pca_customer_projection"]),
-    "saved_segmentation_bundle": on_workspace(lambda ws: assign_with_bundle(ws.features, _run(ws).bundle_path)),
-    "segmentation_run": on_workspace(lambda ws: job.selected_summary(_run(ws), ws.spark)),
+    "pca_projection": on_workspace(pca_projection),
+    "saved_segmentation_bundle": on_workspace(saved_segmentation_bundle),
+    "segmentation_run": on_workspace(segmentation_run),
     "segmentation_outputs": on_workspace(segmentation_outputs),
     "segmentation_summary": on_workspace(segmentation_summary),
     # statistics
     "cluster_distribution": on_workspace(lambda ws: rounded(rank_tests.cluster_distribution(_assigned(ws)))),
     "kruskal_wallis": on_workspace(lambda ws: rounded(_tests(ws))),
     "effect_range": on_workspace(lambda ws: rounded(rank_tests.effect_range(_std_profile(ws)))),
-    "surrogate_importance": on_workspace(lambda ws: _run(ws).tables["cluster_feature_importance"]),
+    "surrogate_importance": on_workspace(surrogate_importance),
     "classification_report": on_workspace(classification_report),
     # display
     "profile_long": on_workspace(lambda ws: rounded(display.profile_long(
@@ -249,6 +288,6 @@ QUERIES = {
         display.comparison_filter(_fixed_candidates(ws), ["FixedLabels"]).drop("error"))),
     "test_significance_view": on_workspace(lambda ws: rounded(display.significance_view(_tests(ws)))),
     "top_effects": on_workspace(lambda ws: rounded(display.top_effects(rank_tests.effect_range(_std_profile(ws))))),
-    "top_importance": on_workspace(lambda ws: display.top_importance(_run(ws).tables["cluster_feature_importance"])),
-    "pca_display_sample": on_workspace(lambda ws: display.pca_display_sample(_run(ws).tables["pca_customer_projection"], 5000)),
+    "top_importance": on_workspace(top_importance),
+    "pca_display_sample": on_workspace(lambda ws: display.pca_display_sample(_run(ws).tables["pca_customer_projection"], 5000).select("customer_id")),
 }

@@ -9,19 +9,17 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerscope.functions.text import trailing_number
-from ledgerscope.operators.sampling import sample_rows
 from ledgerscope.schemas import require_columns
-from ledgerscope.segmentation.density import density_labels
 from ledgerscope.segmentation.gmm import fit_mixtures
-from ledgerscope.segmentation.metrics import NOISE, evaluate, evaluate_many
+from ledgerscope.segmentation.metrics import evaluate, evaluate_many
 from ledgerscope.segmentation.prepare import ID, assemble
-from ledgerscope.session import cut_lineage
+from ledgerscope.session import new_folder, write_and_read
 
 CANDIDATE_SCHEMA = (
     "algorithm string, parameters string, sample_size bigint, cluster_count bigint, noise_share double, "
-    "silhouette_score double, davies_bouldin_score double, calinski_harabasz_score double, status string, error string")
+    "squared_silhouette_score double, davies_bouldin_score double, calinski_harabasz_score double, status string, error string")
 KMEANS_NAME = "KMeans"
-METRICS = ["silhouette_score", "davies_bouldin_score", "calinski_harabasz_score"]
+METRICS = ["squared_silhouette_score", "davies_bouldin_score", "calinski_harabasz_score"]
 _PARALLEL_FITS = 4
 
 
@@ -33,15 +31,15 @@ def _record(algorithm: str, parameters: str, found: dict, sample_size: int) -> d
 
 
 def candidate_result(algorithm: str, parameters: str, labelled: DataFrame, columns: list[str],
-                     id_column: str = ID, label: str = "label") -> dict:
+                     label: str = "label") -> dict:
     """Counts and metrics of one labelling, in which -1 marks noise."""
-    return _record(algorithm, parameters, evaluate(labelled, columns, id_column, label), labelled.count())
+    return _record(algorithm, parameters, evaluate(labelled, columns, label), labelled.count())
 
 
-def candidate_results(algorithm: str, labelled: DataFrame, columns: list[str], parameters: dict[str, str],
-                      id_column: str = ID) -> list[dict]:
+def candidate_results(algorithm: str, labelled: DataFrame, columns: list[str],
+                      parameters: dict[str, str]) -> list[dict]:
     """Records of several noise-free labellings (label column -> parameters), evaluated together."""
-    found = evaluate_many(labelled, columns, id_column, list(parameters))
+    found = evaluate_many(labelled, columns, list(parameters))
     return [_record(algorithm, text, found[name], found[name]["rows"]) for name, text in parameters.items()]
 
 
@@ -54,25 +52,23 @@ def candidates_frame(spark: SparkSession, results: list[dict]) -> DataFrame:
     return spark.createDataFrame(results, CANDIDATE_SCHEMA)
 
 
-def bounded_sample(scaled: DataFrame, max_rows: int, seed: int) -> DataFrame:
-    """Sample rows with their vector, written once and spread for parallel fits."""
+def with_vectors(scaled: DataFrame) -> DataFrame:
+    """All rows with their vector, written once and scanned by every fit."""
     features = [c for c in scaled.columns if c != ID]
-    picked = sample_rows(scaled, ID, max_rows, seed)
-    written = cut_lineage(assemble(picked.repartition(max(1, min(32, max_rows // 5000)), ID), features))
-    return written.persist()
+    return write_and_read(assemble(scaled, features), new_folder(scaled.sparkSession, "vectors"))
 
 
-def best_kmeans(sample: DataFrame, k: int, n_init: int, max_iter: int, seed: int) -> KMeansModel:
+def best_kmeans(rows: DataFrame, k: int, n_init: int, max_iter: int, seed: int) -> KMeansModel:
     """Restarts with consecutive seeds; the lowest training cost wins."""
-    return best_kmeans_each(sample, [k], n_init, max_iter, seed)[k]
+    return best_kmeans_each(rows, [k], n_init, max_iter, seed)[k]
 
 
-def best_kmeans_each(sample: DataFrame, cluster_counts: list[int], n_init: int, max_iter: int,
+def best_kmeans_each(rows: DataFrame, cluster_counts: list[int], n_init: int, max_iter: int,
                      seed: int) -> dict[int, KMeansModel]:
     """The best restart per cluster count; fits are submitted side by side."""
     def fit(job: tuple[int, int]) -> KMeansModel:
         k, restart = job
-        return KMeans(featuresCol="vector", predictionCol=f"label_{k}", k=k, seed=seed + restart, maxIter=max_iter).fit(sample)
+        return KMeans(featuresCol="vector", predictionCol=f"label_{k}", k=k, seed=seed + restart, maxIter=max_iter).fit(rows)
 
     jobs = [(k, r) for k in cluster_counts for r in range(n_init)]
     with ThreadPool(_PARALLEL_FITS) as pool:
@@ -86,52 +82,39 @@ def _evaluate_models(algorithm: str, rows: DataFrame, columns: list[str], models
     return candidate_results(algorithm, labelled, columns, {f"label_{k}": f"n_clusters={k}" for k in models})
 
 
-def kmeans_candidates(scaled: DataFrame, cluster_range=range(2, 9), sample_size: int = 50_000, seed: int = 42,
-                      n_init: int = 10, max_iter: int = 300) -> list[dict]:
+def kmeans_candidates(scaled: DataFrame, cluster_range=range(2, 9), seed: int = 42, n_init: int = 10, max_iter: int = 300) -> list[dict]:
+    """Fitted and scored on all rows."""
     features = [c for c in scaled.columns if c != ID]
-    sample = bounded_sample(scaled, sample_size, seed)
-    models = best_kmeans_each(sample, list(cluster_range), n_init, max_iter, seed)
-    return _evaluate_models(KMEANS_NAME, sample, features, models)
+    rows = with_vectors(scaled)
+    models = best_kmeans_each(rows, list(cluster_range), n_init, max_iter, seed)
+    return _evaluate_models(KMEANS_NAME, rows, features, models)
 
 
-def mixture_candidates(scaled: DataFrame, component_range=range(2, 7), sample_size: int = 30_000, seed: int = 42,
-                       n_init: int = 2, max_iter: int = 200) -> list[dict]:
-    """Diagonal Gaussian mixtures; a failure is recorded for its component count."""
+def mixture_candidates(scaled: DataFrame, component_range=range(2, 7), seed: int = 42, n_init: int = 2,
+                       max_iter: int = 200) -> list[dict]:
+    """Diagonal Gaussian mixtures over all rows; a failure is recorded for its component count."""
     features = [c for c in scaled.columns if c != ID]
-    sample = bounded_sample(scaled, sample_size, seed)
-    fitted = fit_mixtures(sample, features, list(component_range), n_init, max_iter, seed)
+    rows = with_vectors(scaled)
+    fitted = fit_mixtures(rows, features, list(component_range), n_init, max_iter, seed)
     text = {k: f"n_components={k};covariance_type=diag" for k in component_range}
     good = {k: m for k, m in fitted.items() if not isinstance(m, Exception)}
-    labelled = reduce(lambda df, k: good[k].label(df, f"label_{k}"), good, sample)
+    labelled = reduce(lambda df, k: good[k].label(df, f"label_{k}"), good, rows)
     done = candidate_results("GaussianMixture", labelled, features, {f"label_{k}": text[k] for k in good}) if good else []
-    return done + [failed_result("GaussianMixture", text[k], sample.count(), e)
+    return done + [failed_result("GaussianMixture", text[k], rows.count(), e)
                    for k, e in fitted.items() if isinstance(e, Exception)]
 
 
 def hierarchical_candidates(scaled: DataFrame, cluster_range=range(2, 7), seed: int = 42) -> list[dict]:
     """Divisive hierarchy over all rows (bisecting k-means)."""
     features = [c for c in scaled.columns if c != ID]
-    vectors = assemble(scaled, features).persist()
+    vectors = with_vectors(scaled)
 
     def fit(k: int):
         return BisectingKMeans(featuresCol="vector", predictionCol=f"label_{k}", k=k, seed=seed).fit(vectors)
 
     with ThreadPool(_PARALLEL_FITS) as pool:
         models = dict(zip(cluster_range, pool.map(fit, cluster_range, chunksize=1)))
-    out = _evaluate_models("BisectingKMeans", vectors, features, models)
-    vectors.unpersist()
-    return out
-
-
-def density_candidates(scaled: DataFrame, radii=(0.5, 0.8, 1.1, 1.4), min_neighbours: int = 25,
-                       sample_size: int = 15_000, seed: int = 42) -> list[dict]:
-    features = [c for c in scaled.columns if c != ID]
-    sample = bounded_sample(scaled, sample_size, seed)
-    out = []
-    for radius in radii:
-        labelled = density_labels(sample, features, ID, radius, min_neighbours)
-        out.append(candidate_result("DensityClusters", f"eps={radius};min_samples={min_neighbours}", labelled, features))
-    return out
+    return _evaluate_models("BisectingKMeans", vectors, features, models)
 
 
 def rank_candidates(results: DataFrame, algorithm: str = KMEANS_NAME) -> DataFrame:
@@ -141,7 +124,7 @@ def rank_candidates(results: DataFrame, algorithm: str = KMEANS_NAME) -> DataFra
     """
     require_columns(results.columns, ["algorithm", "parameters", "status", *METRICS], "Candidate table")
     usable = results.where((F.col("algorithm") == algorithm) & (F.col("status") == "success")).dropna(subset=METRICS)
-    best_first = {"silhouette": F.desc, "davies_bouldin": F.asc, "calinski_harabasz": F.desc}
+    best_first = {"squared_silhouette": F.desc, "davies_bouldin": F.asc, "calinski_harabasz": F.desc}
     ranks = {f"{m}_rank": F.rank().over(Window.orderBy(way(f"{m}_score"))).cast("bigint") for m, way in best_first.items()}
     ranked = usable.withColumns(ranks)
     return ranked.withColumn("combined_rank", sum((F.col(c) for c in ranks), F.lit(0)) / 3)
@@ -149,7 +132,7 @@ def rank_candidates(results: DataFrame, algorithm: str = KMEANS_NAME) -> DataFra
 
 def choose_cluster_count(results: DataFrame, algorithm: str = KMEANS_NAME) -> int:
     """Lowest mean rank; ties go to the higher silhouette."""
-    best = rank_candidates(results, algorithm).orderBy("combined_rank", F.desc("silhouette_score"), "parameters").select(
+    best = rank_candidates(results, algorithm).orderBy("combined_rank", F.desc("squared_silhouette_score"), "parameters").select(
         trailing_number(F.col("parameters")).alias("k")).first()
     if best is None:
         raise ValueError(f"No successful {algorithm} candidates are available")

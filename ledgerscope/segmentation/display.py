@@ -30,13 +30,13 @@ def segment_display_profile(profile: DataFrame) -> DataFrame:
 
 def kmeans_selection_curve(comparison: DataFrame, selected_k: int, algorithm: str = KMEANS_NAME) -> DataFrame:
     good = comparison.where((F.col("algorithm") == algorithm) & (F.col("status") == "success"))
-    return good.select("cluster_count", "silhouette_score",
+    return good.select("cluster_count", "squared_silhouette_score",
                        (F.col("cluster_count") == selected_k).alias("selected")).orderBy("cluster_count")
 
 
 def comparison_filter(comparison: DataFrame, algorithms: list[str]) -> DataFrame:
-    good = comparison.where((F.col("status") == "success") & F.col("silhouette_score").isNotNull())
-    return good.where(F.col("algorithm").isin(algorithms)).orderBy(F.desc("silhouette_score"), "algorithm", "parameters")
+    good = comparison.where((F.col("status") == "success") & F.col("squared_silhouette_score").isNotNull())
+    return good.where(F.col("algorithm").isin(algorithms)).orderBy(F.desc("squared_silhouette_score"), "algorithm", "parameters")
 
 
 def significance_view(tests: DataFrame, n: int = 20) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerscope.operators.keys import one_to_one_join
 from ledgerscope.operators.quantiles import group_quantiles, wide_quantiles
-from ledgerscope.operators.sampling import sample_rows
 from ledgerscope.schemas import SEGMENTATION_FEATURES
-from ledgerscope.segmentation.candidates import best_kmeans, bounded_sample
+from ledgerscope.segmentation.candidates import best_kmeans, with_vectors
 from ledgerscope.segmentation.metrics import squared_distance
 from ledgerscope.segmentation.prepare import ID, assemble
 
@@ -29,26 +28,10 @@ def nearest(scaled: DataFrame, columns: list[str], centroids: Centroids) -> Data
     return ranked.withColumn("cluster", F.col("_ranked")[0]["cluster"])
 
 
-def fit_final_kmeans(scaled: DataFrame, n_clusters: int, seed: int = 42, n_init: int = 20, max_iter: int = 500,
-                     sample_size: int = 50_000, tolerance: float = 1e-4) -> Centroids:
-    """Restarts on a bounded sample choose the start; full passes over all rows then refine it.
-
-    A pass is one aggregation: assign by expression, average per cluster. Only
-    k centroids travel.
-    """
-    columns = [c for c in scaled.columns if c != ID]
-    start = best_kmeans(bounded_sample(scaled, sample_size, seed), n_clusters, n_init, max_iter, seed)
-    centroids = [list(map(float, c)) for c in start.clusterCenters()]
-    for _ in range(max_iter):
-        means = nearest(scaled, columns, centroids).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]).collect()
-        moved = [list(c) for c in centroids]
-        for row in means:
-            moved[row["cluster"]] = [row[c] for c in columns]
-        shift = float(np.sqrt(((np.array(moved) - np.array(centroids)) ** 2).sum(axis=1)).max())
-        centroids = moved
-        if shift <= tolerance:
-            break
-    return centroids
+def fit_final_kmeans(scaled: DataFrame, n_clusters: int, seed: int = 42, n_init: int = 20, max_iter: int = 500) -> Centroids:
+    """The centroids of the restart of least cost, fitted on all rows."""
+    model = best_kmeans(with_vectors(scaled), n_clusters, n_init, max_iter, seed)
+    return [list(map(float, c)) for c in model.clusterCenters()]
 
 
 def renumber(scaled: DataFrame, features: DataFrame, centroids: Centroids) -> Centroids:
@@ -113,15 +96,19 @@ def fit_pca(scaled: DataFrame, components: int = 2) -> tuple[PCAModel, list[floa
     return model, means, (loadings * signs[:, None]).tolist()
 
 
-def pca_projection(scaled: DataFrame, assignments: DataFrame, means: list[float], loadings: list[list[float]],
-                   max_rows: int = 50_000, seed: int = 42) -> DataFrame:
-    """Centred scores of a reproducible sample."""
+def projected(scaled: DataFrame, means: list[float], loadings: list[list[float]]) -> DataFrame:
+    """Centred scores of all rows; expressions only."""
     columns = [c for c in scaled.columns if c != ID]
-    picked = sample_rows(scaled, ID, max_rows, seed)
     scores = []
     for i, loading in enumerate(loadings, start=1):
         score = F.lit(0.0)
         for c, m, w in zip(columns, means, loading):
             score = score + (F.col(c) - F.lit(float(m))) * F.lit(float(w))
         scores.append(score.alias(f"pca_{i}"))
-    return picked.join(assignments.select(ID, "cluster"), ID).select(ID, "cluster", *scores)
+    return scaled.select(ID, *scores)
+
+
+def pca_projection(scaled: DataFrame, assignments: DataFrame, means: list[float], loadings: list[list[float]]) -> DataFrame:
+    """Cluster and centred scores of every customer."""
+    scores = projected(scaled, means, loadings)
+    return scores.join(assignments.select(ID, "cluster"), ID).select(ID, "cluster", *scores.columns[1:])

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.operators.sampling import sample_rows
-
-SILHOUETTE_ROWS = 10_000
 NOISE = -1
 
 
-# Up to this many columns a distance is written out term by term, which compiles to plain
-# arithmetic; wider ones loop over an array, which keeps the generated code small.
-WRITTEN_OUT = 32
-
-
 def squared_distance(columns: list[str], to: list[Column]) -> Column:
-    if len(columns) > WRITTEN_OUT:
-        squares = F.zip_with(F.array(*columns), F.array(*to), lambda a, b: (a - b) * (a - b))
-        return F.aggregate(squares, F.lit(0.0), lambda total, s: total + s)
-    total = F.lit(0.0)
-    for c, t in zip(columns, to):
-        total = total + (F.col(c) - t) * (F.col(c) - t)
-    return total
+    """Summed in column order over an array, which keeps the generated code small at any width."""
+    squares = F.zip_with(F.array(*columns), F.array(*to), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(squares, F.lit(0.0), lambda total, s: total + s)
 
 
 def cluster_statistics(df: DataFrame, columns: list[str], labels: list[str]) -> dict[str, list[dict]]:
@@ -72,55 +59,22 @@ def calinski_harabasz(stats: list[dict]) -> float:
     return float(between * (sizes.sum() - len(stats)) / (within * (len(stats) - 1)))
 
 
-def silhouettes(df: DataFrame, columns: list[str], id_column: str, labels: list[str],
-                max_rows: int = SILHOUETTE_ROWS, seed: int = 42, total: int | None = None) -> dict[str, float]:
-    """Mean Euclidean silhouette of at most ``max_rows`` sampled rows, for several labellings.
+def squared_silhouettes(df: DataFrame, columns: list[str], labels: list[str]) -> dict[str, float]:
+    """Mean silhouette on squared Euclidean distances over all rows, for several labellings.
 
-    The sample has a fixed upper size, so it is shared with the tasks. Each task
-    takes a range of rows, computes their distances once for all labellings, and
-    returns summed scores, never pairs.
+    Distances to a whole cluster follow from its size, sum and sum of squares, so the
+    evaluator needs one aggregation and one pass per labelling.
     """
-    spark = df.sparkSession
-    rows = sample_rows(df.select(id_column, *labels, *columns), id_column, max_rows, seed, total=total).toPandas()
-    points = rows[columns].to_numpy(dtype=np.float64)
-    points = points - points.mean(axis=0)
-    members = {}
+    vectors = VectorAssembler(inputCols=columns, outputCol="_vector").transform(df)
+    out = {}
     for name in labels:
-        codes, member = np.unique(rows[name].to_numpy(), return_inverse=True)
-        if len(codes) > 1:
-            members[name] = (member, len(codes))
-    shared = spark.sparkContext.broadcast((points, members))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, labellings = shared.value
-        norms = (x * x).sum(axis=1)
-        for batch in batches:
-            for at in np.array_split(batch["id"].to_numpy(), max(1, len(batch) // 256)):
-                gaps = np.sqrt(np.maximum(norms[at][:, None] + norms[None, :] - 2 * x[at] @ x.T, 0))
-                line = np.arange(len(at))
-                gaps[line, at] = 0
-                for name, (member, k) in labellings.items():
-                    one_hot = np.eye(k)[member]
-                    sizes = one_hot.sum(axis=0)
-                    sums = gaps @ one_hot
-                    own = member[at]
-                    inside = sums[line, own] / np.maximum(sizes[own] - 1, 1)
-                    means = sums / sizes
-                    means[line, own] = np.inf
-                    outside = means.min(axis=1)
-                    larger = np.maximum(inside, outside)
-                    flat = (sizes[own] == 1) | (larger == 0)
-                    s = np.where(flat, 0.0, (outside - inside) / np.where(larger == 0, 1.0, larger))
-                    yield pd.DataFrame({"labelling": [name], "total": [s.sum()], "rows": [len(at)]})
-
-    parts = max(1, min(64, len(rows) // 500))
-    done = spark.range(0, len(rows), 1, parts).mapInPandas(score, "labelling string, total double, rows bigint")
-    means = done.groupBy("labelling").agg((F.sum("total") / F.sum("rows")).alias("mean")).collect()
-    shared.unpersist()
-    return {r["labelling"]: r["mean"] for r in means}
-
-
-def evaluate_many(df: DataFrame, columns: list[str], id_column: str, labels: list[str]) -> dict[str, dict]:
+        judged = vectors.select("_vector", F.col(name).cast("double").alias("_label"))
+        out[name] = ClusteringEvaluator(featuresCol="_vector", predictionCol="_label", metricName="silhouette",
+                                        distanceMeasure="squaredEuclidean").evaluate(judged)
+    return out
+
+
+def evaluate_many(df: DataFrame, columns: list[str], labels: list[str]) -> dict[str, dict]:
     """Row count, cluster count and the three metrics per labelling without noise.
 
     The metrics are missing with fewer than two clusters or no more rows than clusters.
@@ -128,26 +82,26 @@ def evaluate_many(df: DataFrame, columns: list[str], id_column: str, labels: lis
     stats = cluster_statistics(df, columns, labels)
     total = {name: sum(s["n"] for s in stats[name]) for name in labels}
     usable = [name for name in labels if 2 <= len(stats[name]) < total[name]]
-    silhouette = silhouettes(df, columns, id_column, usable, total=total[usable[0]]) if usable else {}
+    silhouette = squared_silhouettes(df, columns, usable)
     out = {}
     for name in labels:
         good = name in silhouette
         out[name] = {
             "rows": total[name], "cluster_count": len(stats[name]),
-            "silhouette_score": silhouette.get(name),
+            "squared_silhouette_score": silhouette.get(name),
             "davies_bouldin_score": davies_bouldin(stats[name]) if good else None,
             "calinski_harabasz_score": calinski_harabasz(stats[name]) if good else None,
         }
     return out
 
 
-def evaluate(df: DataFrame, columns: list[str], id_column: str, label: str = "label") -> dict:
+def evaluate(df: DataFrame, columns: list[str], label: str = "label") -> dict:
     """The same for one labelling, over its non-noise rows."""
-    return evaluate_many(df.where(F.col(label) != NOISE), columns, id_column, [label])[label]
+    return evaluate_many(df.where(F.col(label) != NOISE), columns, [label])[label]
 
 
-def evaluate_frame(df: DataFrame, columns: list[str], id_column: str, label: str = "label") -> DataFrame:
+def evaluate_frame(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
     """The three metrics as one row."""
-    found = evaluate(df, columns, id_column, label)
-    names = ["silhouette_score", "davies_bouldin_score", "calinski_harabasz_score"]
+    found = evaluate(df, columns, label)
+    names = ["squared_silhouette_score", "davies_bouldin_score", "calinski_harabasz_score"]
     return df.sparkSession.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} double" for n in names))

@@ -13,6 +13,8 @@ from ledgerscope.operators.quantiles import column_quantiles, order_statistics
 from ledgerscope.schemas import SEGMENTATION_FEATURES, require_columns
 
 ID = "customer_id"
+# Quartiles no further apart than this differ by binary noise only.
+SPREAD_TOLERANCE = 1e-12
 
 
 @dataclass
@@ -133,7 +135,7 @@ def fit_scaling(df: DataFrame, features: list[str] = SEGMENTATION_FEATURES, lowe
         width = quartiles[2] - quartiles[0]
         params.bounds[f], params.medians[f], params.centers[f] = (low, high), median, quartiles[1]
         # A feature without spread keeps its own unit instead of vanishing.
-        params.scales[f] = width if width > 0 else 1.0
+        params.scales[f] = width if width > SPREAD_TOLERANCE else 1.0
     return params
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerscope.functions.numbers import to_number
-from ledgerscope.schemas import FEATURE_COLUMNS, RAW_COLUMNS, RAW_CONTRACT, require_columns
+from ledgerscope.schemas import RAW_COLUMNS, RAW_CONTRACT, require_columns
 
 # Texts that a delimited source uses for "missing".
 MISSING_TOKENS = [
@@ -14,12 +14,14 @@ MISSING_TOKENS = [
 ]
 
 
-def load_raw_transactions(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+def load_raw_transactions(spark: SparkSession, path: str, nrows: int | None = None, multi_line: bool = True) -> DataFrame:
     """Raw CSV with a header: the nine required columns, typed; other columns are not parsed.
 
-    A missing file or column raises. ``nrows`` reads the first rows only.
+    A missing file or column raises. ``nrows`` reads the first rows only. Quoted values may
+    hold line breaks; files are then read whole by one task each, so export many files, or
+    set ``multi_line=False`` for large files that are known to have no such value.
     """
-    text = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    text = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     require_columns(text.columns, RAW_COLUMNS, "Raw dataset")
     source = text.limit(nrows) if nrows is not None else text
     typed = []
@@ -29,7 +31,9 @@ def load_raw_transactions(spark: SparkSession, path: str, nrows: int | None = No
         if dtype.typeName() == "double":
             c = to_number(c)
         elif dtype.typeName() == "long":
-            c = c.try_cast("bigint")
+            # Columns with gaps are often written as 143207.0; a fraction is not a whole number.
+            number = to_number(c)
+            c = F.coalesce(c.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
         typed.append(c.alias(name))
     return source.select(typed)
 
@@ -47,7 +51,3 @@ def load_customer_features(spark: SparkSession, path: str) -> DataFrame:
     require_columns(features.columns, ["customer_id"], "Customer feature table")
     assert_unique_key(features, "customer_id")
     return features
-
-
-def feature_columns_present(features: DataFrame) -> list[str]:
-    return [c for c in FEATURE_COLUMNS if c in features.columns]

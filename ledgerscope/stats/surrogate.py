@@ -12,18 +12,14 @@ from ledgerscope.segmentation.prepare import ID, assemble
 from ledgerscope.session import cut_lineage, new_folder
 from ledgerscope.stats.rank_tests import classification_report
 
-INTERPRETATION = ("The classifier only re-learns the assigned segments. It shows how well they can be told apart, "
-                  "not that they are causal or natural customer types.")
-
-
 @dataclass
 class Surrogate:
     importance: DataFrame
     predictions: DataFrame
     report: DataFrame
     accuracy: float
-    sample_size: int
-    test_size: int
+    fitted_rows: int
+    scored_rows: int
 
 
 def stratified_split(rows: DataFrame, label: str, test_share: float, seed: int) -> DataFrame:
@@ -35,7 +31,10 @@ def stratified_split(rows: DataFrame, label: str, test_share: float, seed: int)
 
 def surrogate_importance(scaled: DataFrame, assignments: DataFrame, sample_size: int = 100_000, seed: int = 42,
                          trees: int = 250, depth: int = 14, min_leaf: int = 10) -> Surrogate:
-    """Forest on a stratified 75/25 split of a bounded sample, classes weighted to balance."""
+    """Forest fitted on three quarters, by stratum, of at most ``sample_size`` rows, classes weighted to balance.
+
+    It is scored on every row outside the fit.
+    """
     spark = scaled.sparkSession
     columns = [c for c in scaled.columns if c != ID]
     labelled = scaled.join(assignments.select(ID, F.col("cluster").cast("double").alias("label")), ID)
@@ -55,10 +54,11 @@ def surrogate_importance(scaled: DataFrame, assignments: DataFrame, sample_size:
     path = new_folder(spark, "forest")
     forest.fit(train.withColumn("weight", weight.otherwise(1.0))).write().save(path)
     model = RandomForestClassificationModel.load(path)
-    predictions = cut_lineage(model.transform(sample.where("is_test")).select(ID, "label", "prediction"))
+    rest = labelled.join(train.select(ID), ID, "left_anti")
+    predictions = cut_lineage(model.transform(assemble(rest, columns)).select(ID, "label", "prediction"))
     importance = spark.createDataFrame(
         [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")
     report = classification_report(predictions)
     accuracy = report.where(F.col("entry") == "accuracy").first()
     return Surrogate(importance.orderBy(F.desc("importance"), "feature"), predictions, report,
-                     accuracy["precision"] if accuracy else 0.0, sample.count(), predictions.count())
+                     accuracy["precision"] if accuracy else 0.0, train.count(), predictions.count())

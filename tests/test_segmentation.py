@@ -7,9 +7,8 @@ from pyspark.sql import Observation, functions as F
 
 from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
 from ledgerscope.segmentation import candidates as cand, display, final, gmm, metrics, prepare
-from ledgerscope.segmentation.density import density_labels
 from ledgerscope.segmentation.job import SegmentationSettings, run_segmentation
-from ledgerscope.segmentation.bundle import assign_with_bundle
+from ledgerscope.segmentation.bundle import assign_with_bundle, project_with_bundle
 from ledgerscope.session import new_folder
 from ledgerscope.stats import rank_tests, surrogate
 
@@ -79,7 +78,7 @@ def brute_metrics(frame):
         if not own.any():
             scores.append(0.0)
             continue
-        a, b = d[i, own].mean(), min(d[i, label == c].mean() for c in codes if c != label[i])
+        a, b = (d[i, own] ** 2).mean(), min((d[i, label == c] ** 2).mean() for c in codes if c != label[i])
         scores.append((b - a) / max(a, b))
     means = np.array([x[label == c].mean(0) for c in codes])
     spread = np.array([np.sqrt(((x[label == c] - m) ** 2).sum(1)).mean() for c, m in zip(codes, means)])
@@ -93,7 +92,7 @@ def brute_metrics(frame):
 
 def test_metrics_match_brute_force(spark):
     frame, df = blobs(spark)
-    found = metrics.evaluate(df, ["x", "y"], "customer_id")
+    found = metrics.evaluate(df, ["x", "y"])
     got = [found[m] for m in cand.METRICS]
     assert got == pytest.approx(brute_metrics(frame), rel=1e-9)
 
@@ -102,34 +101,18 @@ def test_metrics_guard_and_noise(spark):
     frame, df = blobs(spark, noise=10)
     record = cand.candidate_result("x", "p", df, ["x", "y"])
     assert record["cluster_count"] == 3 and record["noise_share"] == pytest.approx(10 / 135)
-    assert record["silhouette_score"] == pytest.approx(brute_metrics(frame[frame["label"] >= 0])[0], rel=1e-9)
+    assert record["squared_silhouette_score"] == pytest.approx(brute_metrics(frame[frame["label"] >= 0])[0], rel=1e-9)
     one = cand.candidate_result("x", "p", df.withColumn("label", F.lit(0)), ["x", "y"])
-    assert one["silhouette_score"] is None and one["status"] == "success"
+    assert one["squared_silhouette_score"] is None and one["status"] == "success"
     every = df.limit(5).withColumn("label", F.substring("customer_id", 2, 4).cast("int"))
     assert cand.candidate_result("x", "p", every, ["x", "y"])["davies_bouldin_score"] is None
 
 
-def test_density_clusters_match_brute_force(spark):
-    frame, df = blobs(spark, noise=12)
-    radius, least = 0.9, 5
-    got = density_labels(df, ["x", "y"], "customer_id", radius, least).toPandas().sort_values("customer_id")["label"].to_numpy()
-    x = frame[["x", "y"]].to_numpy()
-    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= radius
-    core = near.sum(1) >= least
-    group = np.full(len(x), -1)
-    for i in np.flatnonzero(core):
-        if group[i] >= 0:
-            continue
-        stack, group[i] = [i], i
-        while stack:
-            j = stack.pop()
-            for k in np.flatnonzero(near[j] & core & (group < 0)):
-                group[k] = i
-                stack.append(k)
-    touching = near[:, core].any(1)
-    assert ((got >= 0) == (core | touching)).all()
-    pairs = {(a, b) for a, b in zip(group[core], got[core])}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+def test_binary_noise_is_no_scale(spark):
+    noisy = [0.3 if i % 2 else 0.1 + 0.2 for i in range(40)]
+    frame = feature_frame(40).assign(**{FEATURES[0]: noisy})
+    params = prepare.fit_scaling(spark.createDataFrame(frame))
+    assert params.scales[FEATURES[0]] == 1.0 and params.scales[FEATURES[1]] != 1.0
 
 
 def test_kmeans_candidates_find_the_blobs(spark):
@@ -146,7 +129,7 @@ def test_kmeans_candidates_find_the_blobs(spark):
 
 def test_mixture_recovers_blobs(spark):
     frame, df = blobs(spark, (120, 90, 60))
-    sample = cand.bounded_sample(df.select("customer_id", "x", "y"), 30_000, 42)
+    sample = cand.with_vectors(df.select("customer_id", "x", "y"))
     model = gmm.fit_mixtures(sample, ["x", "y"], [3], n_init=1, max_iter=50)[3]
     assert sorted(np.round(model.weights * 270)) == pytest.approx([60, 90, 120], abs=1)
     labelled = model.label(sample).toPandas().merge(frame[["customer_id", "label"]], on="customer_id", suffixes=("", "_true"))
@@ -239,7 +222,7 @@ def test_surrogate_finds_the_signal(spark):
     assigned = scaled.select("customer_id", (F.col("signal") > 0).cast("int").alias("cluster"))
     found = surrogate.surrogate_importance(scaled, assigned, trees=20, depth=5)
     assert found.importance.first()["feature"] == "signal" and found.accuracy > 0.8
-    assert found.test_size == 100 and found.sample_size == 400
+    assert found.scored_rows == 100 and found.fitted_rows == 300
 
 
 def test_whole_run(spark, features):
@@ -255,6 +238,8 @@ def test_whole_run(spark, features):
         F.avg("transaction_count")).orderBy("cluster").select("avg(transaction_count)").collect()]
     assert means == sorted(means)  # clusters are numbered by activity
     assert assign_with_bundle(numbers, result.bundle_path).exceptAll(assigned).isEmpty()
+    stored = result.tables["pca_customer_projection"].select("customer_id", "pca_1", "pca_2")
+    assert project_with_bundle(numbers, result.bundle_path).exceptAll(stored).isEmpty() and stored.count() == 180
 
 
 def test_display(spark):
