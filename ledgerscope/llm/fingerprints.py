@@ -17,6 +17,8 @@ single row is its own successor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerscope.llm.texts import let, plain, row_key
@@ -70,13 +72,12 @@ def _probes() -> list[int]:
 
 
 def _densified(bins: Column) -> Column:
-    order = _probes()
-    first = F.array(*[F.lit(order[b * BINS + t]) for b in range(BINS) for t in range(_TRIES)])
-    rest = F.array(*[F.array(*[F.lit(order[b * BINS + t]) for t in range(_TRIES, BINS)]) for b in range(BINS)])
+    # One constant, folded from text, instead of a column expression per number.
+    order = F.split(F.lit(",".join(map(str, _probes()))), ",").cast("array<int>")
 
     def borrow(b: Column) -> Column:
-        near = [F.get(bins, F.get(first, b * _TRIES + t)) for t in range(_TRIES)]
-        far = F.filter(F.transform(F.get(rest, b), lambda j: F.get(bins, j)), lambda v: v.isNotNull())
+        near = [F.get(bins, F.get(order, b * BINS + t)) for t in range(_TRIES)]
+        far = F.filter(F.transform(F.slice(order, b * BINS + _TRIES + 1, BINS - _TRIES), lambda j: F.get(bins, j)), lambda v: v.isNotNull())
         return F.coalesce(*near, F.get(far, F.lit(0)))
 
     return F.transform(bins, lambda x, b: F.coalesce(x, borrow(b)))
@@ -95,14 +96,15 @@ def fingerprint(text: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two fingerprints, 0 to 1, corrected for chance agreement."""
-    def unequal(at: int) -> Column:
-        part = lambda f: F.conv(F.substring(f, at, 16), 16, -10).cast("bigint")
+    def unequal(at: Column) -> Column:
+        part = lambda f: F.conv(F.substring(f, at, F.lit(16)), 16, -10).cast("bigint")
         x = part(a).bitwiseXOR(part(b))
         for step in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
         return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    differing = sum((unequal(at) for at in range(1, 2 * BINS + 1, 16)), F.lit(0))
+    places = F.sequence(F.lit(1), F.lit(2 * BINS), F.lit(16))
+    differing = F.aggregate(places, F.lit(0), lambda total, at: total + unequal(at))
     chance = 1.0 / (1 << BITS)
     estimate = (F.lit(1.0) - differing / F.lit(float(BINS)) - chance) / (1.0 - chance)
     some = (F.length(a) > 0) & (F.length(b) > 0)
@@ -110,9 +112,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", slots: int | None = None,
-              prefix: str = "next_") -> DataFrame:
+              prefix: str = "next_", prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add ``columns`` of the next row by falling id; after the last row comes the first.
 
+    ``prepare`` adds columns to the rows before they are dealt out, once per row.
+
     Ids are cut at quantiles into slots, and each slot also gets the first row of the following
     one, so no task orders more than a slot and every text is shuffled once.
     """
@@ -122,24 +126,25 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_
     cuts = sorted({int(c) for c in cuts})
     above = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= plain(id_col))) if cuts else F.lit(0)
     slot = F.when(plain(id_col).isNull(), -1).otherwise(above)
-    key = row_key(plain(text_col))
-    placed = docs.select(plain(id_col).alias("_nx_id"), key.alias("_nx_key"), slot.alias("_nx_slot"), F.struct(
-        *[plain(c) for c in docs.columns]).alias("_nx_row"))
-    heads = placed.groupBy("_nx_slot").agg(F.max("_nx_id").alias("id")).join(
-        placed.select(F.col("_nx_slot").alias("s"), F.col("_nx_id").alias("i"), "_nx_key"),
-        (F.col("_nx_slot") == F.col("s")) & F.col("id").eqNullSafe(F.col("i"))).groupBy("_nx_slot", "id").agg(F.min("_nx_key").alias("k"))
-    found = sorted(((r["_nx_slot"], r["id"], r["k"]) for r in heads.collect()), reverse=True)  # one row per slot
+    names = {"_nx_id": plain(id_col), "_nx_key": row_key(plain(text_col)), "_nx_slot": slot.cast("int")}
+    placed = docs.withColumns(names)
+    lowest = placed.groupBy("_nx_slot").agg(F.max("_nx_id").alias("i"))
+    heads = lowest.withColumnRenamed("_nx_slot", "s").join(
+        placed.select(*names), (F.col("_nx_slot") == F.col("s")) & F.col("_nx_id").eqNullSafe(F.col("i"))).groupBy("s", "i").agg(
+        F.min("_nx_key").alias("k"))
+    found = sorted(((r["s"], r["i"], r["k"]) for r in heads.collect()), reverse=True)  # one row per slot
     if not found:
-        return docs.withColumns({prefix + c: plain(c) for c in columns})
+        return prepare(docs).withColumns({prefix + c: F.lit(None).cast("string") for c in columns})
     before = [found[i - 1][0] for i in range(len(found))]
     guests = F.broadcast(spark.createDataFrame(
-        [(i, k, s) for (_, i, k), s in zip(found, before)], f"i {placed.schema['_nx_id'].dataType.simpleString()}, k bigint, s int"))
-    visiting = placed.join(guests, (F.col("_nx_key") == F.col("k")) & F.col("_nx_id").eqNullSafe(F.col("i"))).select(
-        "_nx_id", "_nx_key", F.col("s").alias("_nx_slot"), "_nx_row", F.lit(True).alias("_nx_guest")).dropDuplicates(["_nx_id", "_nx_key"])
-    both = placed.withColumn("_nx_guest", F.lit(False)).unionByName(visiting)
+        [(i, k, s) for (_, i, k), s in zip(found, before)],
+        f"_nx_i {placed.schema['_nx_id'].dataType.simpleString()}, _nx_k bigint, _nx_s int"))
+    visiting = placed.join(guests, (F.col("_nx_key") == F.col("_nx_k")) & F.col("_nx_id").eqNullSafe(F.col("_nx_i"))).dropDuplicates(
+        ["_nx_id", "_nx_key"]).withColumn("_nx_slot", F.col("_nx_s")).drop("_nx_i", "_nx_k", "_nx_s")
+    both = prepare(placed).withColumn("_nx_guest", F.lit(False)).unionByName(prepare(visiting).withColumn("_nx_guest", F.lit(True)))
     order = Window.partitionBy("_nx_slot").orderBy("_nx_guest", F.col("_nx_id").desc_nulls_last(), "_nx_key")
-    ahead = both.select("_nx_guest", "_nx_row", *[F.lead(F.col("_nx_row")[c]).over(order).alias(prefix + c) for c in columns])
-    return ahead.where(~F.col("_nx_guest")).select("_nx_row.*", *[prefix + c for c in columns])
+    ahead = both.withColumns({prefix + c: F.lead(plain(c)).over(order) for c in columns})
+    return ahead.where(~F.col("_nx_guest")).drop(*names, "_nx_guest")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -156,8 +161,7 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    printed = fingerprint_documents(docs.select("doc_id", "text"))
-    ahead = with_next(printed, ["text", "fingerprint"])
+    ahead = with_next(docs.select("doc_id", "text"), ["text", "fingerprint"], prepare=fingerprint_documents)
     edited = ahead.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "fingerprint",
                           "next_fingerprint", edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     final = edited.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_fingerprint", fingerprint(F.col("edited")))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from ledgerscope.llm import checks
 from ledgerscope.llm.chunk_dedup import chunk_dedup_digest
 from ledgerscope.llm.decontaminate import contamination_digest
 from ledgerscope.llm.fingerprints import fingerprint_digest
@@ -40,4 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+# The others are tested against brute force, exact round trips and held-out accuracy.
+SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": checks.DECONTAMINATION,
+    "op4_jaccard_join": checks.JACCARD_JOIN,
+    "op10_line_dedup": checks.LINE_DEDUP,
+}
