@@ -40,13 +40,13 @@ def one_to_one_join(left: DataFrame, right: DataFrame, key: str, how: str = "inn
     return left.join(right, key, how)
 
 
-def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """One row: child rows whose non-null key has no parent.
+def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, weight: str | None = None) -> DataFrame:
+    """One row: child rows whose non-null key has no parent; ``weight`` holds the rows that a child row stands for.
 
     Child rows are counted per key first, so the anti join sees each key once.
     """
-    per_key = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_key")).agg(
-        F.count(F.lit(1)).alias("n"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    per_key = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_key")).agg(rows.alias("n"))
     known = parent.select(F.col(parent_key).alias("_key"))
     return per_key.join(known, "_key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
 

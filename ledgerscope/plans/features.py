@@ -12,6 +12,7 @@ from ledgerscope.operators.keys import hot_keys, small_side
 from ledgerscope.operators.quantiles import group_quantiles, wide_quantiles
 from ledgerscope.schemas import DAYPARTS, FEATURE_COLUMNS, FEATURE_SCHEMA, require_columns
 
+# The input columns of the data contract.
 NEEDED = [
     "transaction_id", "customer_id", "customer_age", "gender", "customer_location",
     "account_balance_inr", "transaction_date", "transaction_hour", "daypart", "is_weekend",

@@ -5,21 +5,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerscope.functions.numbers import bool_to_int
 from ledgerscope.functions.text import strip_blank
 from ledgerscope.operators.keys import key_problems, orphan_rows
 from ledgerscope.operators.ordering import with_row_number
 from ledgerscope.schemas import CLEAN_COLUMNS, FEATURE_COLUMNS
+from ledgerscope.session import cut_lineage
 
+# The columns of the customer dimension.
 CUSTOMER_COLUMNS = [
     "customer_id", "gender", "customer_age", "primary_location_id",
     "first_transaction_date", "last_transaction_date",
 ]
 FACT_COLUMNS = [c for c in CLEAN_COLUMNS if c != "customer_location"] + ["location_id"]
 MART_COLUMNS = [c for c in FEATURE_COLUMNS if c not in ("gender", "primary_location")] + ["primary_location_id"]
-CUSTOMERS_PER_BUCKET = 10_000  # at least; large tables use the full shuffle width
 TABLES = ["dim_location", "dim_customer", "fact_transaction", "customer_feature_mart"]
 
 
@@ -77,12 +78,6 @@ def build_fact_transaction(clean: DataFrame, dim_location: DataFrame) -> DataFra
         FACT_COLUMNS)
 
 
-def _bucket_count(features: DataFrame) -> int:
-    """The session's shuffle width, or fewer buckets when they would be nearly empty."""
-    width = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(width, features.count() // CUSTOMERS_PER_BUCKET))
-
-
 def _write_by_customer(df: DataFrame, path: str, table: str, buckets: int, overwrite: bool) -> DataFrame:
     """Bucketed by customer, so that customer joins read both sides without a shuffle."""
     spark = df.sparkSession
@@ -93,9 +88,12 @@ def _write_by_customer(df: DataFrame, path: str, table: str, buckets: int, overw
 
 
 def write_warehouse(clean: DataFrame, features: DataFrame, path: str, name: str,
-                    overwrite: bool = True, partition_fact_by: str | None = None) -> Warehouse:
+                    overwrite: bool = True, partition_fact_by: str | None = None, buckets: int | None = None) -> Warehouse:
     """Write the four tables below ``path``; without ``overwrite`` an existing table raises.
 
+    ``buckets`` is the number of files of each customer table, the session's shuffle width by
+    default: choose it so that a bucket of the largest expected mart fits a task.
+
     Customer tables hold unique keys, so bucketing them cannot skew; the fact is
     left unbucketed because one customer may own a large part of it.
     """
@@ -103,7 +101,7 @@ def write_warehouse(clean: DataFrame, features: DataFrame, path: str, name: str,
     mode = "overwrite" if overwrite else "errorifexists"
     build_dim_location(clean, features).write.mode(mode).parquet(f"{path}/dim_location")
     dim_location = spark.read.parquet(f"{path}/dim_location")
-    buckets = _bucket_count(features)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fact = build_fact_transaction(clean, dim_location).write.mode(mode)
     if partition_fact_by:
         fact = fact.partitionBy(partition_fact_by)
@@ -135,21 +133,27 @@ def _named(check: str, one_value: DataFrame) -> DataFrame:
     return one_value.select(F.lit(check).alias("check"), value.alias("violations"))
 
 
-def foreign_key_violations(wh: Warehouse) -> DataFrame:
-    """Rows per foreign key whose non-null value has no parent."""
-    links = [
-        ("fact_transaction.customer_id", wh.fact_transaction, "customer_id", wh.dim_customer, "customer_id"),
-        ("fact_transaction.location_id", wh.fact_transaction, "location_id", wh.dim_location, "location_id"),
+def fact_links(wh: Warehouse) -> DataFrame:
+    """Fact rows per pair of customer and location: one pass serves both foreign keys."""
+    return wh.fact_transaction.groupBy("customer_id", "location_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def foreign_key_violations(wh: Warehouse, links: DataFrame | None = None) -> DataFrame:
+    """Rows per foreign key whose non-null value has no parent. ``links``: counted fact links, where they exist."""
+    fact = fact_links(wh) if links is None else links
+    checks = [
+        ("fact_transaction.customer_id", fact, "customer_id", wh.dim_customer, "customer_id"),
+        ("fact_transaction.location_id", fact, "location_id", wh.dim_location, "location_id"),
         ("dim_customer.primary_location_id", wh.dim_customer, "primary_location_id", wh.dim_location, "location_id"),
         ("customer_feature_mart.customer_id", wh.customer_feature_mart, "customer_id", wh.dim_customer, "customer_id"),
         ("customer_feature_mart.primary_location_id", wh.customer_feature_mart, "primary_location_id",
          wh.dim_location, "location_id"),
     ]
-    return reduce(DataFrame.unionByName, [_named(label, orphan_rows(*link)) for label, *link in links])
+    return reduce(DataFrame.unionByName, [
+        _named(label, orphan_rows(*check, weight="n" if label.startswith("fact") else None)) for label, *check in checks])
 
 
-def key_violations(wh: Warehouse) -> DataFrame:
-    """Primary keys and the unique location name (null or repeated), and required columns."""
+def _key_checks(wh: Warehouse) -> list[DataFrame]:
     keys = {"dim_location": ["location_id", "location_name"], "dim_customer": ["customer_id"],
             "fact_transaction": ["transaction_id"], "customer_feature_mart": ["customer_id"]}
     checks = []
@@ -159,38 +163,59 @@ def key_violations(wh: Warehouse) -> DataFrame:
             # Surplus null rows are already among the nulls.
             bad = found.select(F.col("duplicate_rows") + F.least(F.col("null_keys"), F.lit(1)))
             checks.append(_named(f"{table}.{column} key", bad))
-    required = {"fact_transaction": "customer_id", "customer_feature_mart": "transaction_count"}
-    for table, column in required.items():
-        missing = wh.tables()[table].agg(F.count_if(F.col(column).isNull()))
-        checks.append(_named(f"{table}.{column} not null", missing))
-    return reduce(DataFrame.unionByName, checks)
+    return checks
 
 
-def domain_violations(wh: Warehouse) -> DataFrame:
-    """Rows that break a value rule; a missing value is always allowed."""
-    gender = F.col("gender").isin("M", "F")
-    age = F.col("customer_age").between(18, 100)
-    rules = {
-        "dim_customer": {"gender": gender, "customer_age": age},
-        "fact_transaction": {"gender": gender, "transaction_hour": F.col("transaction_hour").between(0, 23),
-                             "is_weekend": F.col("is_weekend").isin(0, 1)},
-        "customer_feature_mart": {
-            "is_single_transaction_customer": F.col("is_single_transaction_customer").isin(0, 1)},
-    }
+def _rule_checks(wh: Warehouse, rules: dict[str, dict[str, Column]]) -> list[DataFrame]:
+    """Rows that break a rule; all rules of a table in one pass. A missing value breaks none."""
     parts = []
     for table, tests in rules.items():
-        one = wh.tables()[table].agg(*[F.count_if(~rule).alias(column) for column, rule in tests.items()])
-        cells = F.array(*[F.struct(F.lit(f"{table}.{c} domain").alias("check"),
-                                   F.col(c).cast("bigint").alias("violations")) for c in tests])
+        one = wh.tables()[table].agg(*[F.count_if(~rule).alias(f"c{i}") for i, rule in enumerate(tests.values())])
+        cells = F.array(*[F.struct(F.lit(f"{table}.{name}").alias("check"), F.col(f"c{i}").cast("bigint").alias("violations"))
+                          for i, name in enumerate(tests)])
         parts.append(one.select(F.inline(cells)))
-    return reduce(DataFrame.unionByName, parts)
+    return parts
+
+
+def _required() -> dict[str, dict[str, Column]]:
+    return {"fact_transaction": {"customer_id not null": F.col("customer_id").isNotNull()},
+            "customer_feature_mart": {"transaction_count not null": F.col("transaction_count").isNotNull()}}
+
+
+def _domains() -> dict[str, dict[str, Column]]:
+    gender = F.col("gender").isin("M", "F")
+    return {
+        "dim_customer": {"gender domain": gender, "customer_age domain": F.col("customer_age").between(18, 100)},
+        "fact_transaction": {"gender domain": gender, "transaction_hour domain": F.col("transaction_hour").between(0, 23),
+                             "is_weekend domain": F.col("is_weekend").isin(0, 1)},
+        "customer_feature_mart": {
+            "is_single_transaction_customer domain": F.col("is_single_transaction_customer").isin(0, 1)},
+    }
+
+
+def key_violations(wh: Warehouse) -> DataFrame:
+    """Primary keys and the unique location name (null or repeated), and required columns."""
+    return reduce(DataFrame.unionByName, _key_checks(wh) + _rule_checks(wh, _required()))
+
+
+def domain_violations(wh: Warehouse) -> DataFrame:
+    """Rows that break a value rule; a missing value is always allowed."""
+    return reduce(DataFrame.unionByName, _rule_checks(wh, _domains()))
 
 
 def integrity_report(wh: Warehouse) -> DataFrame:
-    """Every structural, referential and domain check as (check, violations)."""
-    orphans = _named("orphan_transactions", orphan_transactions(wh))
-    return (orphans.unionByName(foreign_key_violations(wh)).unionByName(key_violations(wh))
-            .unionByName(domain_violations(wh)))
+    """Every structural, referential and domain check as (check, violations).
+
+    The fact is read three times: for its key, for its links, and for all its rules.
+    """
+    links = foreign_key_violations(wh, cut_lineage(fact_links(wh)))
+    orphans = (F.col("check") == "fact_transaction.customer_id")
+    links = cut_lineage(links)  # five rows, two of them read twice
+    required, domains = _required(), _domains()
+    rules = {t: {**required.get(t, {}), **domains.get(t, {})} for t in {**domains, **required}}
+    parts = [links.where(orphans).select(F.lit("orphan_transactions").alias("check"), "violations"), links,
+             *_key_checks(wh), *_rule_checks(wh, rules)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def assert_integrity(wh: Warehouse) -> DataFrame:
@@ -206,13 +231,16 @@ def assert_integrity(wh: Warehouse) -> DataFrame:
 
 def warehouse_build_summary(wh: Warehouse) -> DataFrame:
     """One row: loaded rows, table counts and the two referential totals."""
-    counts = table_counts(wh)
-    of = lambda t, name: F.max(F.when(F.col("table_name") == t, F.col("row_count"))).alias(name)
-    sizes = counts.agg(
+    links = cut_lineage(foreign_key_violations(wh))  # five rows
+    named = table_counts(wh).select(F.col("table_name").alias("name"), F.col("row_count").alias("value")).unionByName(
+        links.agg(F.sum("violations").alias("value")).select(F.lit("foreign_key_violations").alias("name"), "value")).unionByName(
+        links.where(F.col("check") == "fact_transaction.customer_id").select(
+            F.lit("orphan_transactions").alias("name"), F.col("violations").alias("value")))
+    of = lambda t, name: F.max(F.when(F.col("name") == t, F.col("value"))).alias(name)
+    return named.agg(
         of("customer_feature_mart", "customer_rows_loaded"), of("fact_transaction", "transaction_rows_loaded"),
-        *[of(t, f"{t}_rows") for t in TABLES])
-    links = foreign_key_violations(wh).agg(F.sum("violations").alias("foreign_key_violations"))
-    return sizes.join(links).join(orphan_transactions(wh))
+        *[of(t, f"{t}_rows") for t in TABLES],
+        of("foreign_key_violations", "foreign_key_violations"), of("orphan_transactions", "orphan_transactions"))
 
 
 def build_warehouse(clean: DataFrame, features: DataFrame, path: str, name: str, overwrite: bool = True) -> Warehouse:

@@ -16,10 +16,6 @@ def export_csv(df: DataFrame, path: str, sort_by: list[str] | None = None, mode:
      .csv(path))
 
 
-def write_parquet(df: DataFrame, path: str, overwrite: bool = True) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-
-
 def write_json_record(spark: SparkSession, payload: dict, path: str) -> None:
     """One small record as sorted, indented JSON text, through Spark's file system layer."""
     text = json.dumps(payload, indent=2, sort_keys=True, ensure_ascii=False, default=str)

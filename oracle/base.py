@@ -10,12 +10,13 @@ import re
 
 DAYPARTS = ["night", "morning", "afternoon", "evening", "late_evening"]
 
-CLEAN_COLUMNS = (
-    "transaction_id customer_id customer_dob customer_age gender customer_location account_balance_inr "
-    "transaction_date transaction_time transaction_datetime transaction_hour transaction_weekday "
-    "transaction_month daypart is_weekend transaction_amount_inr balance_to_transaction_ratio "
-    "log_transaction_amount log_account_balance"
-).split()
+# The columns of the data contract.
+CLEAN_COLUMNS = [
+    "transaction_id", "customer_id", "customer_dob", "customer_age", "gender", "customer_location", "account_balance_inr",
+    "transaction_date", "transaction_time", "transaction_datetime", "transaction_hour", "transaction_weekday",
+    "transaction_month", "daypart", "is_weekend", "transaction_amount_inr", "balance_to_transaction_ratio",
+    "log_transaction_amount", "log_account_balance",
+]
 CLEAN_DOUBLES = {"customer_age", "account_balance_inr", "transaction_amount_inr", "balance_to_transaction_ratio",
                  "log_transaction_amount", "log_account_balance"}
 FEATURE_EXACT = ["customer_id", "gender", "primary_location", "distinct_locations", "transaction_count",
