@@ -160,14 +160,24 @@ def classification_report(ws: Workspace) -> DataFrame:
 
 # --- fitted models -----------------------------------------------------------
 
+COMPARED = {"KMeans": cand.kmeans_candidates, "GaussianMixture": cand.mixture_candidates,
+            "BisectingKMeans": cand.hierarchical_candidates}
+
+
+def _records(ws: Workspace, algorithm: str) -> list[dict]:
+    """Candidates of one algorithm with the library's defaults, once per workspace."""
+    return ws.once(f"candidates-{algorithm}", lambda: COMPARED[algorithm](_scaled(ws)))
+
+
 def _run(ws: Workspace) -> job.SegmentationResult:
     """The run with the library's defaults, once per workspace."""
-    return ws.once("segmentation", lambda: job.run_segmentation(ws.features, new_folder(ws.spark, "segmentation")))
+    return ws.once("segmentation", lambda: job.run_segmentation(
+        ws.features, new_folder(ws.spark, "segmentation"), compared=[r for a in COMPARED for r in _records(ws, a)]))
 
 
 def _facts(ws: Workspace, algorithm: str) -> DataFrame:
     """What holds for the candidates of any correct fit."""
-    table = _run(ws).tables["clustering_model_comparison"].where(F.col("algorithm") == algorithm)
+    table = cand.candidates_frame(ws.spark, _records(ws, algorithm))
     present = [F.col(m).isNotNull() & ~F.isnan(m) for m in cand.METRICS]
     return table.select("algorithm", "parameters", "sample_size", "status", (present[0] & present[1] & present[2]).alias("has_metrics"))
 

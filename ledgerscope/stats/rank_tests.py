@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerscope.functions.numbers import round_half_up
 from ledgerscope.operators.ordering import with_running_total
 from ledgerscope.schemas import require_columns
 
@@ -43,8 +44,12 @@ def _chi2_tail():
 chi2_tail = _chi2_tail()
 
 
-def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
-    """Tie-corrected H and p-value per feature, smallest p first.
+# Values that agree to this many decimals are tied, so that sums made in another order cannot break ties.
+TIE_DIGITS = 6
+
+
+def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster", tie_digits: int = TIE_DIGITS) -> DataFrame:
+    """Tie-corrected H and p-value per feature, smallest p first. Values are ranked at ``tie_digits`` decimals.
 
     Rows are reduced to counts per (feature, value, cluster); a distributed
     running total over the distinct values gives mid-ranks. Features seen in
@@ -52,7 +57,7 @@ def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster")
     """
     require_columns(df.columns, [cluster], "Segmented table")
     present = [f for f in features if f in df.columns]
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in present])
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), round_half_up(F.col(f), tie_digits).alias("v")) for f in present])
     long = df.select(F.col(cluster).alias("_cluster"), F.inline(pairs)).where(F.col("v").isNotNull())
     per_cluster = long.groupBy("feature", "v", "_cluster").agg(F.count(F.lit(1)).alias("n"))
     packed = per_cluster.groupBy("feature", "v").agg(

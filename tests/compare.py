@@ -59,7 +59,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     parts = [a for a in args if not a.startswith("/")]
-    spark = build_session("compare", master="local[8]", shuffle_partitions=8)
+    spark = build_session("compare", master="local[4]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(sf_dir), oracle_sql(), 0
     for name, build in queries().items():
