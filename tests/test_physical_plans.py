@@ -85,3 +85,12 @@ def test_single_quality_check_scans_once(ws):
     text = plan(build_quality_report(ws.raw, ws.clean, ["missing_customer_ids"]))
     assert text.count("FileScan") == 1 and "Join" not in text
     assert "NestedLoop" not in plan(build_quality_report(ws.raw, ws.clean)) and "Cartesian" not in plan(build_quality_report(ws.raw, ws.clean))
+
+
+def test_integrity_gate_reads_the_fact_three_times(ws):
+    from ledgerscope.plans.warehouse import fact_links, integrity_report
+
+    text = plan(integrity_report(ws.warehouse))
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    links = plan(fact_links(ws.warehouse))
+    assert 1 <= text.count("fact_transaction]") + links.count("fact_transaction]") <= 3
