@@ -48,8 +48,9 @@ chi2_tail = _chi2_tail()
 TIE_DIGITS = 6
 
 
-def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster", tie_digits: int = TIE_DIGITS) -> DataFrame:
-    """Tie-corrected H and p-value per feature, smallest p first. Values are ranked at ``tie_digits`` decimals.
+def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster",
+                   tie_digits: int | None = TIE_DIGITS) -> DataFrame:
+    """Tie-corrected H and p-value per feature, smallest p first. Values are ranked at ``tie_digits`` decimals, or as they are (None).
 
     Rows are reduced to counts per (feature, value, cluster); a distributed
     running total over the distinct values gives mid-ranks. Features seen in
@@ -57,7 +58,8 @@ def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster",
     """
     require_columns(df.columns, [cluster], "Segmented table")
     present = [f for f in features if f in df.columns]
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), round_half_up(F.col(f), tie_digits).alias("v")) for f in present])
+    value = lambda f: F.col(f).cast("double") if tie_digits is None else round_half_up(F.col(f), tie_digits)
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), value(f).alias("v")) for f in present])
     long = df.select(F.col(cluster).alias("_cluster"), F.inline(pairs)).where(F.col("v").isNotNull())
     per_cluster = long.groupBy("feature", "v", "_cluster").agg(F.count(F.lit(1)).alias("n"))
     packed = per_cluster.groupBy("feature", "v").agg(

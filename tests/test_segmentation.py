@@ -187,10 +187,12 @@ def test_kruskal_matches_brute_force(spark):
     frame = pd.DataFrame({"cluster": rng.integers(0, 4, 900), "a": np.round(rng.normal(size=900), 1),
                           "b": rng.normal(size=900), "flat": 1.0})
     frame["a"] += frame["cluster"] * 0.2
-    got = {r["feature"]: r for r in rank_tests.kruskal_wallis(spark.createDataFrame(frame), ["a", "b", "flat", "none"]).collect()}
-    for f in ("a", "b"):
-        want = brute_kruskal([g[f].to_numpy() for _, g in frame.groupby("cluster")])
-        assert got[f]["statistic"] == pytest.approx(want, rel=1e-9)
+    df, names = spark.createDataFrame(frame), ["a", "b", "flat", "none"]
+    for digits in (None, 6):  # raw values, in which 0.1 + 0.2 and 0.3 differ, and values tied at six decimals
+        got = {r["feature"]: r for r in rank_tests.kruskal_wallis(df, names, tie_digits=digits).collect()}
+        for f in ("a", "b"):
+            ranked = [g[f].to_numpy() if digits is None else g[f].round(digits).to_numpy() for _, g in frame.groupby("cluster")]
+            assert got[f]["statistic"] == pytest.approx(brute_kruskal(ranked), rel=1e-9)
     assert got["a"]["significant_at_0_05"] and got["flat"]["statistic"] is None and "none" not in got
     small = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 10), (1, 11), (1, 12)], "cluster int, amount int")
     row = rank_tests.kruskal_wallis(small, ["amount"]).first()
