@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerscope.llm.texts import combine, plain, scan_words, text_chunks
+from ledgerscope.llm.texts import combine, plain, scan_words, small_batches, text_chunks
 from ledgerscope.session import cut_lineage
 
 WINDOW = 10
@@ -164,6 +164,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     The patterns of one block are collected and sent to the tasks: at most about ``block_bytes``
     of them, plus one pattern.
     """
+    small_batches(docs.sparkSession)
     windows = cut_lineage(item_windows(benchmark, window, item_id, item_text).withColumn(
         "bytes", F.octet_length("pattern") + F.octet_length(F.array_join("items", ",")) + 16))
     total = windows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.texts import combine, mix, plain, row_key, scan_words, text_chunks
+from ledgerscope.llm.texts import combine, mix, plain, row_key, scan_words, small_batches, text_chunks
 from ledgerscope.session import new_folder, write_and_read
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.97
@@ -255,6 +255,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, runs = docs.sparkSession, runs_needed(recall, depth)
     if runs >= 1 << _RUN_BITS:
         raise ValueError("too many runs for this recall and depth")
+    small_batches(spark)
     texts = docs.select(plain(text_col).alias("_text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
     kind = texts.schema["id"].dataType.simpleString()
     levels = ", ".join(f"p{k} array<bigint>" for k in range(depth))

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.texts import mix, plain, powers, prefix_hash, text_chunks
+from ledgerscope.llm.texts import mix, plain, powers, prefix_hash, small_batches, text_chunks
 
 MAX_LENGTH = 2048
 END_TOKEN = 1
-KEPT_UNITS = 2_000_000
-_ROWS = 1024
+KEPT_UNITS = 400_000
+_ROWS = 512
 # White space, as bytes: the ASCII characters, and bytes that may begin another white space character.
 _BLANK = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
 _DOUBTFUL = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
@@ -174,6 +174,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_length: i
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    small_batches(docs.sparkSession)
     rows = docs.select(plain(text_col).alias("_text"), plain(id_col).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     work = partial(_pack, path=vocabulary or default_vocabulary(), longest=max_length, end_token=end_token)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.texts import WORD_BYTES, mix, plain, scan_words, text_chunks
+from ledgerscope.llm.texts import WORD_BYTES, mix, plain, scan_words, small_batches, text_chunks
 from ledgerscope.session import new_folder, write_and_read
 
 TRAIN_ROWS = 6000
@@ -200,6 +200,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
                 train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Fit on about ``train_rows`` of the labelled rows; a fifth of them only sets the temperature."""
+    small_batches(docs.sparkSession)
     one = labels.where(plain(label_col).isNotNull() & plain(id_col).isNotNull()).groupBy(plain(id_col).alias("_id")).agg(
         F.round(F.avg(plain(label_col))).cast("int").alias("_y"))
     n = one.count()

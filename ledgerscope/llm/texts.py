@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 2000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _tables: dict[str, np.ndarray] = {}
@@ -139,6 +140,14 @@ def combine(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: send at most ``BATCH_ROWS`` of them to Python at once, as a setting of the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the body's functions use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
