@@ -46,7 +46,9 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     per_document = placed.groupBy("h1", "h2", "id", "key").agg(F.lit(1).alias("one"))
     shared = per_document.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(
         F.col("docs") >= min_docs)
-    lost = placed.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    # The counts are written before they are joined: a join of two plain shuffles can split a hot line.
+    shared = write_and_read(shared, new_folder(docs.sparkSession, "line-counts"))
+    lost = hashed.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
