@@ -5,8 +5,9 @@ are joined once. In each run a node picks every shingle with probability 1 / (th
 size) and goes into the bucket of each picked one; two sets of similarity ``threshold`` share
 one pick on average. A bucket of up to ``leaf_rows`` nodes is compared by brute force, a larger
 one is split again by a fresh choice, up to ``depth`` times; what is then still large, such
-as a large group of near copies, is compared in tiles. Picks are a hash of run, level and
-shingle, so all texts choose alike and nothing is sent but picks until the leaves are known.
+as a large group of near copies, is compared in tiles. Picks are a hash of the path so far, which
+begins with the run, and the shingle: all texts choose alike, every path chooses anew, and
+nothing is sent but paths until the leaves are known.
 
 Runs repeat until a pair at the threshold is met with probability ``recall`` even if its
 buckets were split to the last level: the chance p to share a path of k levels is p = 1 - exp(-q),
@@ -38,7 +39,7 @@ from ledgerscope.session import new_folder, write_and_read
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.97
 DEPTH, LEAF_ROWS, TILE_ROWS = 3, 256, 512
-_RUN_BITS = 6
+_BLOCK = 1 << 18
 _DENSE = 32
 _TOLERANCE = 1e-9
 
@@ -70,21 +71,39 @@ def set_name(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def picks(sets: list[np.ndarray], level: int, runs: int, threshold: float) -> list[list[int]]:
-    """Per set the picks of all runs at one level; the low bits of a pick name its run."""
-    sizes = np.array([len(s) for s in sets])
-    flat, row = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
-    limit = np.minimum(2.0 ** 64 / (threshold * np.maximum(sizes, 1)), 2.0 ** 64 - 2048).astype(np.uint64)[row]
-    rows, values = [], []
-    for run in range(runs):
-        salt = mix(np.array([level * 1000 + run + 1], np.uint64))[0] | np.uint64(1)
-        chosen = np.flatnonzero(flat * salt < limit)
-        rows.append(row[chosen])
-        values.append((mix(flat[chosen] ^ salt) & ~np.uint64((1 << _RUN_BITS) - 1)) | np.uint64(run))
-    rows, values = np.concatenate(rows), np.concatenate(values).view(np.int64)
-    order = np.argsort(rows, kind="stable")
-    cuts = np.searchsorted(rows[order], np.arange(len(sets) + 1))
-    return [values[order[a:b]].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+def picks(sets: list[np.ndarray], depth: int, runs: int, threshold: float) -> list[pa.ListArray]:
+    """Per set its tree of paths, one array per level: level 1 has the lists of level 0's children, and so on.
+
+    A choice depends on the path so far, which stands for run and level too, and on the shingle.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    limits = np.minimum(2.0 ** 64 / (threshold * np.maximum(sizes, 1)), 2.0 ** 64 - 2048).astype(np.uint64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    begins = np.cumsum(sizes) - sizes
+    paths, owner = np.tile(np.arange(runs, dtype=np.uint64), len(sets)), np.repeat(np.arange(len(sets)), runs)
+    values, offsets = [], []
+    for level in range(depth):
+        salts = mix(paths + np.uint64(1)) | np.uint64(1)
+        first = np.searchsorted(owner, np.arange(len(sets) + 1)).tolist()
+        up, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, s in enumerate(sets):
+            step = max(1, _BLOCK // max(len(s), 1))
+            for low in range(first[i] if len(s) else first[i + 1], first[i + 1], step):
+                hits = np.flatnonzero(np.multiply.outer(salts[low:min(low + step, first[i + 1])], s) < limits[i])
+                up.append(hits // len(s) + low)
+                at.append(hits % len(s) + begins[i])
+        up, at = np.concatenate(up), np.concatenate(at)
+        owner, n = owner[up], len(paths)
+        paths = mix(flat[at] ^ salts[up])
+        values.append(paths.view(np.int64))
+        offsets.append(np.searchsorted(owner, np.arange(len(sets) + 1)) if level == 0 else np.searchsorted(up, np.arange(n + 1)))
+    out = []
+    for level in range(depth):
+        nested = pa.array(values[level])
+        for k in reversed(range(level + 1)):
+            nested = pa.ListArray.from_arrays(pa.array(offsets[k], pa.int32()), nested)
+        out.append(nested)
+    return out
 
 
 def _describe(batches: Iterator[pa.RecordBatch], depth: int, runs: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -95,7 +114,7 @@ def _describe(batches: Iterator[pa.RecordBatch], depth: int, runs: int, threshol
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(row0, n), batch.column(2).slice(row0, n), pa.array([set_name(s) for s in sets], pa.binary()),
-                 *[pa.array(picks(sets, level, runs, threshold), pa.list_(pa.int64())) for level in range(depth)]],
+                 *picks(sets, depth, runs, threshold)],
                 names=["id", "key", "node", *[f"p{level}" for level in range(depth)]])
             row0 += n
 
@@ -112,9 +131,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaves_of(nodes: DataFrame, depth: int, leaf_rows: int) -> DataFrame:
     """(leaf, node, size): the buckets of two nodes or more that are not split further."""
     spark = nodes.sparkSession
-    mask = F.lit((1 << _RUN_BITS) - 1).cast("bigint")
-    level = nodes.select("node", *[f"p{k}" for k in range(1, depth)], F.explode("p0").alias("path"))
-    found = None
+
+    def spread(df: DataFrame, k: int) -> DataFrame:
+        """A row per path of level ``k``, with the paths below it only."""
+        below = F.explode(F.arrays_zip(*[f"p{j}" for j in range(k, depth)])).alias("x")
+        return df.select("node", below).select("node", F.col(f"x.p{k}").alias("path"), *[f"x.p{j}" for j in range(k + 1, depth)])
+
+    level, found = spread(nodes, 0), None
     for k in range(depth):
         level = write_and_read(level, new_folder(spark, "paths"))
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
@@ -124,10 +147,7 @@ def leaves_of(nodes: DataFrame, depth: int, leaf_rows: int) -> DataFrame:
         found = leaves if found is None else found.unionByName(leaves)
         if k == depth - 1 or sizes.where(F.col("size") > leaf_rows).isEmpty():
             break
-        following = F.filter(f"p{k + 1}", lambda p: p.bitwiseAND(mask) == F.col("path").bitwiseAND(mask))
-        split = held.where(~done).select("node", *[f"p{j}" for j in range(k + 2, depth)], "path", F.explode(following).alias("pick"))
-        child = F.xxhash64("path", "pick").bitwiseAND(F.bitwise_not(mask)).bitwiseOR(F.col("path").bitwiseAND(mask))
-        level = split.withColumn("path", child).drop("pick")
+        level = spread(held.where(~done), k + 1)
     return found
 
 
@@ -253,12 +273,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     depth: int = DEPTH, leaf_rows: int = LEAF_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, key, node, class_id, n_links, label) per row; ``key`` is :func:`row_key` of the text, ``label`` names the class."""
     spark, runs = docs.sparkSession, runs_needed(recall, depth)
-    if runs >= 1 << _RUN_BITS:
-        raise ValueError("too many runs for this recall and depth")
     small_batches(spark)
     texts = docs.select(plain(text_col).alias("_text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
     kind = texts.schema["id"].dataType.simpleString()
-    levels = ", ".join(f"p{k} array<bigint>" for k in range(depth))
+    levels = ", ".join(f"p{k} " + "array<" * (k + 1) + "bigint" + ">" * (k + 1) for k in range(depth))
     rows = write_and_read(texts.mapInArrow(partial(_describe, depth=depth, runs=runs, threshold=threshold),
                                            f"id {kind}, key bigint, node binary, {levels}"), new_folder(spark, "nodes"))
     found = rows.where(F.col("node").isNotNull())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from ledgerscope.llm.jaccard_join import (common_counts, connected, jaccard_classes, jaccard_digest, keep_one_per_class,
-                                          linked, runs_needed)
+                                          linked, picks, runs_needed)
 from tests.llm.fixtures import SCHEMA, documents, empty, rows, words
 from tests.llm.test_decontaminate import tokens
 
@@ -102,3 +102,31 @@ def test_connected_on_a_long_path(spark):
     edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(29)] + [(names[i], names[i + 1]) for i in range(30, 39)], "node binary, root binary")
     label = {bytes(r["node"]): bytes(r["label"]) for r in connected(edges).collect()}
     assert len({label[n] for n in names[:30]}) == 1 and len({label[n] for n in names[30:]}) == 1 and len(set(label.values())) == 2
+
+
+def test_pairs_at_the_threshold_meet_on_the_last_level():
+    rng = np.random.default_rng(4)
+    runs, met, n = runs_needed(0.97, 3), 0, 1500
+    for _ in range(n):
+        large = np.sort(rng.integers(0, 1 << 64, 100, dtype=np.uint64))
+        last = picks([large, np.sort(rng.permutation(large)[:80])], 3, runs, 0.8)[2]
+        a, b = ({path for one in tree for two in one for path in two} for tree in last.to_pylist())
+        met += bool(a & b)
+    assert met / n >= 0.965  # 0.976 by the recursion; one choice for all paths of a run: 0.90
+
+
+def test_recall_in_groups_of_several_hundred_near_copies(spark):
+    rng = random.Random(12)
+    table = []
+    for g in range(3):  # most pairs are 0.80 to 0.82 alike, so every bucket stays above the leaf size
+        base = words(rng, 366, 10 ** 6)
+        for _ in range(330):
+            w = base.split(" ")
+            for at in rng.sample(range(5, 361), 4):
+                w[at] = f"e{rng.randrange(10 ** 9)}"
+            table.append((len(table), " ".join(w), None, None, 0, "", "", 0))
+    ids = {}
+    sets = [np.unique([ids.setdefault(x, len(ids)) for x in shingles(r[1])]).astype("<u4") for r in table]
+    want = sum(int(linked(sets[a:a + 330], 0.8).sum()) for a in range(0, len(table), 330))
+    got = sum(r["n_links"] for r in jaccard_digest(spark.createDataFrame(table, SCHEMA)).collect())
+    assert want > 3 * 330 * 200 and 0.97 * want <= got <= want
