@@ -5,7 +5,8 @@ the content and meet again after an insertion. Chunks are compared by a 128-bit
 digest over the whole corpus: the document with the smallest id keeps the first
 occurrence, every other occurrence is removed. Repeats inside a document are found
 where it is cut, so each document sends a digest at most once and a digest that many
-documents hold is counted by partial sums; the join back splits its rows.
+documents hold is counted by partial sums; the join back splits its rows. A tail shorter
+than the smallest chunk belongs to the chunk before it, so a common ending alone stays.
 
 Defined results: a null or empty text has no chunks. Rows that share an id count as
 one document. A null id keeps a chunk only if no other id has it. Cuts lie between
@@ -48,7 +49,7 @@ def cut_marks(data: np.ndarray, mask_bits: int) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, smallest: int = MIN_CHUNK, mask_bits: int = MASK_BITS, largest: int = MAX_CHUNK) -> list[int]:
-    """Ends of the chunks of one text: lengths from ``smallest`` to ``largest`` bytes, the last may be shorter."""
+    """Ends of the chunks of one text: lengths from ``smallest`` to ``largest`` bytes; a shorter text is one chunk."""
     ends, last = [], 0
 
     def fill(upto: int) -> int:
@@ -66,6 +67,13 @@ def chunk_ends(data: np.ndarray, smallest: int = MIN_CHUNK, mask_bits: int = MAS
             ends.append(mark)
             last = mark
     fill(len(data))
+    if ends and len(data) - ends[-1] < smallest:  # a short tail joins the chunk before it
+        ends.pop()
+        if len(data) - (ends[-1] if ends else 0) > largest:
+            at = len(data) - smallest
+            while data[at] & 0xC0 == 0x80:
+                at -= 1
+            ends.append(at)
     if len(data):
         ends.append(len(data))
     return ends

@@ -117,6 +117,24 @@ def test_passage_of_fifty_words_is_cut_from_all_but_one_document(spark):
     assert got[0] == 0 and all(got[i] > 100 for i in range(1, 6))
 
 
+def test_unrelated_documents_with_equal_last_words_lose_nothing(spark):
+    rng = random.Random(13)
+    table = [(i, words(rng, 60, 10 ** 9) + " and that is the end.", None, None, 0, "", "", 0) for i in range(200)]
+    assert all(r["n_removed"] == 0 for r in chunk_dedup_digest(spark.createDataFrame(table, SCHEMA)).collect())
+
+
+def test_no_chunk_of_a_longer_text_is_short():
+    rng = random.Random(14)
+    for text in (words(rng, 300).encode(), ("中文é" * 300).encode(), b"a" * 900):
+        for n in range(1, 900):
+            data = np.frombuffer(text[:n].decode(errors="ignore").encode(), np.uint8)
+            ends = chunk_ends(data)
+            lengths = np.diff([0, *ends])
+            assert sum(lengths) == len(data) and max(lengths, default=0) <= 256
+            assert len(ends) <= 1 or min(lengths) >= 32
+            assert all(data[s:e].tobytes().decode() for s, e in zip([0, *ends], ends))
+
+
 def test_chunk_dedup_keeps_columns_and_nulls(spark):
     docs = documents(spark)
     out = dedup_chunks(docs)
