@@ -39,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of a power of two tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    return pack_documents(docs)
+    return pack_documents(docs, added_tokens=True)
 
 
 STAGES = [

@@ -10,12 +10,15 @@ of equal shape are drawn. The whole job is one pass without a shuffle.
 that task's bucket, so a bucket is one range of ids and every id names one sequence.
 
 Defined results: a null text counts as empty and gives one piece of one token, the
-end token. Repeated rows are packed each on their own.
+end token. Repeated rows are packed each on their own. With ``added_tokens`` the file's
+added tokens, such as ``<|endoftext|>``, have their own ids where a text holds them, as the
+file's own library gives by default; without, they are spelled out like other text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -36,7 +39,7 @@ _BLANK = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
 _DOUBTFUL = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 PIECE_TYPE = ("_pieces array<struct<start:bigint,length:bigint,ids:binary,exponent:int,number:bigint>>, "
               "doc_tokens bigint")
-_kept: dict[str, UnitTokenizer] = {}
+_kept: dict[tuple[str, bool], UnitTokenizer] = {}
 
 
 def default_vocabulary() -> str:
@@ -60,6 +63,17 @@ def byte_pair_coder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_ids(path: str) -> dict[str, int]:
+    """Added tokens of a file, with their ids."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    odd = [t["content"] for t in content["added_tokens"]
+           if t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and content["normalizer"])]
+    if odd:
+        raise ValueError(f"added tokens that are not found as they stand: {odd}")
+    return {t["content"]: t["id"] for t in content["added_tokens"]}
+
+
 class UnitTokenizer:
     """Byte-level BPE ids of texts.
 
@@ -67,10 +81,14 @@ class UnitTokenizer:
     that are not white space, so the ids of a text are those of its units, cut before such
     spaces, in order. Each distinct unit is encoded once; its ids are kept under its hash in
     a sorted table. Texts with characters that might be other white space are encoded whole.
+    An added token is a unit, and ends the text before it.
     """
 
-    def __init__(self, path: str, kept_units: int = KEPT_UNITS):
+    def __init__(self, path: str, kept_units: int = KEPT_UNITS, added_tokens: bool = False):
         self._coder = byte_pair_coder(path)
+        self._added = added_ids(path) if added_tokens else {}
+        either = "|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True))
+        self._text_cut, self._byte_cut = re.compile(f"({either})"), re.compile(either.encode())
         self._limit = kept_units
         self._forget()
 
@@ -79,7 +97,7 @@ class UnitTokenizer:
         self._ids, self._used = np.zeros(1 << 16, "<u4"), 0
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        found = [self._coder.encode_ordinary(u) for u in units]
+        found = [[self._added[u]] if u in self._added else self._coder.encode_ordinary(u) for u in units]
         sizes = np.array([len(x) for x in found], np.int64)
         flat = np.array(list(chain.from_iterable(found)), "<u4")
         while self._used + len(flat) > len(self._ids):
@@ -91,6 +109,19 @@ class UnitTokenizer:
         self._hashes, self._starts, self._sizes = (
             np.insert(a, at, b) for a, b in ((self._hashes, hashes), (self._starts, starts), (self._sizes, sizes)))
 
+    def _whole(self, text: str) -> list[int]:
+        if not self._added:
+            return self._coder.encode_ordinary(text)
+        parts = self._text_cut.split(text)
+        return [i for u in parts if u for i in ([self._added[u]] if u in self._added else self._coder.encode_ordinary(u))]
+
+    def _added_places(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """Start and end of each added token, never across rows."""
+        content = data.tobytes() if self._added else b""
+        if not self._added or not self._byte_cut.search(content):
+            return []
+        return [m.span() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) for m in self._byte_cut.finditer(content, a, b)]
+
     def chunk(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a run of rows."""
         if not len(data):
@@ -103,6 +134,10 @@ class UnitTokenizer:
         opens[1:] &= ~blank[:-1]
         opens[:-1] &= ~blank[1:]
         opens[bounds[:-1][bounds[:-1] < len(data)]] = True
+        for a, b in self._added_places(data, bounds):
+            opens[a:b] = False
+            opens[a] = True
+            opens[b:b + 1] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], len(data))
         sums = prefix_hash(data + np.uint64(1))
@@ -122,7 +157,7 @@ class UnitTokenizer:
         cuts = total[np.searchsorted(starts, bounds)]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         for row in np.unique(np.searchsorted(bounds, doubtful, "right") - 1).tolist():
-            out[row] = np.array(self._coder.encode_ordinary(data[bounds[row]:bounds[row + 1]].tobytes().decode()), "<u4")
+            out[row] = np.array(self._whole(data[bounds[row]:bounds[row + 1]].tobytes().decode()), "<u4")
         return out
 
 
@@ -132,10 +167,10 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_token: int) -> Iterator[pa.RecordBatch]:
-    if path not in _kept:
-        _kept[path] = UnitTokenizer(path)
-    tokenizer = _kept[path]
+def _pack(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_token: int, added_tokens: bool) -> Iterator[pa.RecordBatch]:
+    if (path, added_tokens) not in _kept:
+        _kept[path, added_tokens] = UnitTokenizer(path, added_tokens=added_tokens)
+    tokenizer = _kept[path, added_tokens]
     end, task = np.array([end_token], "<u4").tobytes(), TaskContext.get().partitionId()
     numbers = [0] * longest.bit_length()
     for batch in batches:
@@ -167,7 +202,7 @@ def _piece_array(rows: list[list[tuple]]) -> pa.Array:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_length: int = MAX_LENGTH,
-                   end_token: int = END_TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   end_token: int = END_TOKEN, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (packed little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     ``max_length`` must be a power of two. Write partitioned by ``length`` to get the buckets.
@@ -177,7 +212,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_length: i
     small_batches(docs.sparkSession)
     rows = docs.select(plain(text_col).alias("_text"), plain(id_col).alias("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    work = partial(_pack, path=vocabulary or default_vocabulary(), longest=max_length, end_token=end_token)
+    work = partial(_pack, path=vocabulary or default_vocabulary(), longest=max_length, end_token=end_token,
+                   added_tokens=added_tokens)
     packed = rows.mapInArrow(work, f"doc_id {kind}, {PIECE_TYPE}")
     p = F.col("_piece")
     return packed.select("doc_id", "doc_tokens", F.explode("_pieces").alias("_piece")).select(
@@ -186,7 +222,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_length: i
         F.lit(0).cast("bigint").alias("offset"))
 
 
-def packing_digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def packing_digest(docs: DataFrame, vocabulary: str | None = None, added_tokens: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset per piece."""
-    pieces = pack_documents(docs, vocabulary)
+    pieces = pack_documents(docs, vocabulary, added_tokens=added_tokens)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": _on(language_digest, "documents"),
     "op3_quality_classifier": _on(quality_digest, "documents", "labels"),
     "op4_jaccard_join": _on(jaccard_digest, "documents"),
-    "op5_packing": _on(packing_digest, "documents"),
+    "op5_packing": _on(partial(packing_digest, added_tokens=True), "documents"),
     "op6_secret_scan": _on(secrets_digest, "documents"),
     "op7_suffix_dedup": _on(suffix_dedup_digest, "documents"),
     "op8_fingerprints": _on(fingerprint_digest, "documents"),

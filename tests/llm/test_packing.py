@@ -9,7 +9,7 @@ pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from ledgerscope.llm.packing import default_vocabulary, pack_documents, packing_digest, piece_lengths  # noqa: E402
-from tests.llm.fixtures import documents, empty, rows  # noqa: E402
+from tests.llm.fixtures import SCHEMA, documents, empty, rows  # noqa: E402
 
 
 def encoder():
@@ -50,3 +50,25 @@ def test_piece_lengths_and_bad_limit(spark):
     assert packing_digest(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         pack_documents(documents(spark), max_length=1000)
+
+
+def test_query_and_pipeline_give_added_tokens_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    from ledgerscope.llm.queries import QUERIES
+
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", f"{end}{end}", f"a  {end}  b {end}", f"{end}\n{end} x", f"é\u00a0{end}\u2003z {end}", "half <|endof", "text|> half",
+             end, f"<|endoftext{end}|>", f"plain text{end}", "no token"]
+    table = [(i, t, None, None, 0, "", "", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(table, SCHEMA).coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(default_vocabulary())
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert want[0] == [31373, 220, 50256, 995, 1]
+    got = {}
+    for p in corpus_pipeline.packing(spark, docs, "").orderBy("start").collect():
+        got.setdefault(p["doc_id"], []).extend(np.frombuffer(p["ids"], "<u4").tolist())
+    assert [got[i] for i in range(len(texts))] == want
+    for p in QUERIES["op5_packing"](spark, str(tmp_path)).collect():
+        ids = want[p["doc_id"]][p["start"]:p["start"] + p["length"]]
+        assert p["doc_tokens"] == len(want[p["doc_id"]]) and p["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
