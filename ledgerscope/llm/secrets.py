@@ -3,9 +3,10 @@
 Three patterns give the base spans. A wider net adds long unquoted tokens that mix
 letters and digits. The value of every candidate is hashed and counted over the whole
 corpus: in how many owners and how many repositories does it occur? A value of at
-least ``common_owners`` owners is a widely copied example, such as one from a manual;
-one that a single owner holds looks live. Base spans always stay; a wide-net token
-becomes a span (kind ``owned``) only if one owner holds it.
+least ``common_owners`` owners or ``common_repos`` repositories is a widely copied
+example, such as one from a manual; another one that a single owner holds looks live.
+Base spans always stay; a wide-net token becomes a span (kind ``owned``) only if it
+looks live.
 
 Everything is DataFrame functions. Counts are partial sums first, so a value that a
 third of all rows hold costs one row per task; texts are scanned once and not shuffled.
@@ -27,6 +28,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 WIDE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
+COMMON_REPOS = 100
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
@@ -67,11 +69,11 @@ def _listed(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "source", keep: tuple[str, ...] = ("doc_id",),
-                 common_owners: int = 3) -> DataFrame:
+                 common_owners: int = 3, common_repos: int = COMMON_REPOS) -> DataFrame:
     """Columns ``keep`` plus ``found``: per row its spans with value, hash, n_owners, n_repos and verdict.
 
-    Each row of ``docs`` is a repository of its ``owner_col``. Verdicts are ``owned`` (one owner),
-    ``copied`` (``common_owners`` or more) and ``shared`` between them.
+    Each row of ``docs`` is a repository of its ``owner_col``. Verdicts are ``copied`` (``common_owners``
+    or ``common_repos`` or more), ``owned`` (otherwise, one owner) and ``shared`` between them.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -84,8 +86,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     owners = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
     each = rows.where(F.size("_spans") > 0).select("_row", F.explode("_spans").alias("s")).select(
         "_row", "s", F.sha2("s.value", 256).alias("hash")).join(owners, "hash")
-    verdict = F.when(F.col("n_owners") >= common_owners, "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
-    judged = each.where((F.col("s.kind") < 3) | (F.col("n_owners") == 1)).groupBy("_row").agg(F.array_sort(F.collect_list(
+    common = (F.col("n_owners") >= common_owners) | (F.col("n_repos") >= common_repos)
+    verdict = F.when(common, "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
+    judged = each.where((F.col("s.kind") < 3) | ((F.col("n_owners") == 1) & ~common)).groupBy("_row").agg(F.array_sort(F.collect_list(
         F.struct("s.start", "s.kind", "s.end", "s.value", "hash", "n_owners", "n_repos", verdict.alias("verdict")))).alias("found"))
     return rows.select("_row", *[plain(c) for c in keep]).join(judged, "_row", "left").drop("_row")
 

@@ -49,6 +49,14 @@ def test_ownership_separates_copied_from_owned(spark):
     assert found["manual123"] == (3, 3)
 
 
+def test_a_value_in_many_rows_of_one_owner_is_copied(spark):
+    table = [(i, "passwd=example42 and Zz0Zz0Zz0Zz0Zz0Zz0Zz0 " + ("passwd=fewrows77 Yy1Yy1Yy1Yy1Yy1Yy1Yy1" if i < 99 else ""), "en", "a", 0, "k", "i", 0)
+             for i in range(100)]
+    by = {r["doc_id"]: r for r in secrets_digest(spark.createDataFrame(table, SCHEMA)).collect()}
+    assert by[99]["spans"] == by[99]["copied_spans"] == "assign:0:16" and by[99]["owned_spans"] == ""
+    assert by[0]["copied_spans"] == "assign:0:16" and by[0]["owned_spans"].count("assign") == by[0]["owned_spans"].count("owned") == 1
+
+
 def test_empty_table(spark):
     assert secrets_digest(empty(spark)).count() == 0
 
