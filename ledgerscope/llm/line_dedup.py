@@ -1,8 +1,8 @@
 """Line dedup: which lines each document keeps, as run-length bitmaps.
 
-Hashes of the lines' keys are range-partitioned with a secondary sort by document
-(largest id first) and position. One pass over each sorted partition counts the
-documents of a key and meets its keeping document first; a key that spans several
+Hashes of the lines' keys are range-partitioned by key and document. A count and the
+largest id per key, its keeping document, replace a pass over sorted partitions; Spark
+drops the sort from the plan, as neither depends on order. A key that spans several
 partitions, such as a line of a third of all documents, leaves one partial count
 per partition. Only hashes, ids and positions are shuffled; the result per
 document is a bitmap of kept lines in run-length form.
