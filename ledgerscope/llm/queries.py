@@ -12,6 +12,7 @@ from ledgerscope.llm import checks
 from ledgerscope.llm.chunk_dedup import chunk_dedup_digest
 from ledgerscope.llm.decontaminate import contamination_digest
 from ledgerscope.llm.fingerprints import fingerprint_digest
+from ledgerscope.llm.hard_negatives import hard_negatives_digest
 from ledgerscope.llm.jaccard_join import jaccard_digest
 from ledgerscope.llm.language import language_digest
 from ledgerscope.llm.line_dedup import line_dedup_digest
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": _on(fingerprint_digest, "documents"),
     "op9_chunk_dedup": _on(chunk_dedup_digest, "documents"),
     "op10_line_dedup": _on(line_dedup_digest, "documents"),
+    "op12_hard_negatives": _on(hard_negatives_digest, "embeddings"),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -47,4 +49,5 @@ SQL: dict[str, str] = {
     "op1_benchmark_decontamination": checks.DECONTAMINATION,
     "op4_jaccard_join": checks.JACCARD_JOIN,
     "op10_line_dedup": checks.LINE_DEDUP,
+    "op12_hard_negatives": checks.HARD_NEGATIVES,
 }
