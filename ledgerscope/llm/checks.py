@@ -73,3 +73,55 @@ found AS (
   FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
   WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3"""
+
+WARC = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+firsts AS (SELECT body, min(page_id) AS first_id FROM payloads GROUP BY body),
+digests AS (
+  SELECT page_id, body, list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha1(body), CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS fives
+  FROM payloads)
+SELECT d.page_id, CAST(strlen(d.body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> b) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+       CASE WHEN d.page_id IS NOT DISTINCT FROM f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+FROM digests d JOIN firsts f ON f.body = d.body"""
+
+_LETTERS = "[A-Za-z\\x{C0}-\\x{FF}]+"
+
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+              ORDER BY i) AS t FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '{_LETTERS}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+hexed AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs),
+bytes AS (
+  SELECT *, list_transform(range(0, strlen(s)), lambda i: CAST('0x' || substr(hex(encode(s)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM hexed),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h
+  FROM bytes, crc_table),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest),
+ranked AS (
+  SELECT a, b, wb.n AS n_b, wa.n AS n_a, count(*) OVER (PARTITION BY a) AS n_near,
+         row_number() OVER (PARTITION BY a ORDER BY wb.n DESC, encode(b)) AS place
+  FROM near JOIN words wa ON wa.word = a JOIN words wb ON wb.word = b),
+forms AS (
+  SELECT a AS word, n_near, CASE WHEN n_b >= 5 * n_a THEN b END AS form, CASE WHEN n_b >= 5 * n_a THEN n_b END AS form_n
+  FROM ranked WHERE place = 1),
+chain(word, reached, hops) AS (
+  SELECT word, word, 0 FROM words
+  UNION ALL SELECT c.word, f.form, c.hops + 1 FROM chain c JOIN forms f ON f.word = c.reached WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(reached, hops) AS root FROM chain GROUP BY word)
+SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, f.form, f.form_n, r.root
+FROM words w LEFT JOIN forms f ON f.word = w.word JOIN roots r ON r.word = w.word"""

@@ -19,7 +19,9 @@ from ledgerscope.llm.line_dedup import line_dedup_digest
 from ledgerscope.llm.packing import packing_digest
 from ledgerscope.llm.quality import quality_digest
 from ledgerscope.llm.secrets import secrets_digest
+from ledgerscope.llm.spelling import spelling_digest
 from ledgerscope.llm.suffix_dedup import suffix_dedup_digest
+from ledgerscope.llm.warc import warc_digest
 
 
 def _on(digest: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -40,7 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": _on(fingerprint_digest, "documents"),
     "op9_chunk_dedup": _on(chunk_dedup_digest, "documents"),
     "op10_line_dedup": _on(line_dedup_digest, "documents"),
+    "op11_warc": _on(warc_digest, "pages"),
     "op12_hard_negatives": _on(hard_negatives_digest, "embeddings"),
+    "op13_spelling_variants": _on(spelling_digest, "documents"),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -49,5 +53,7 @@ SQL: dict[str, str] = {
     "op1_benchmark_decontamination": checks.DECONTAMINATION,
     "op4_jaccard_join": checks.JACCARD_JOIN,
     "op10_line_dedup": checks.LINE_DEDUP,
+    "op11_warc": checks.WARC,
     "op12_hard_negatives": checks.HARD_NEGATIVES,
+    "op13_spelling_variants": checks.SPELLING,
 }
