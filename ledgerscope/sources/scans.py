@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerscope.functions.numbers import to_number
 from ledgerscope.schemas import RAW_COLUMNS, RAW_CONTRACT, require_columns
+from ledgerscope.sources.quoted_csv import read_quoted_csv
 
 # Texts that a delimited source uses for "missing".
 MISSING_TOKENS = [
@@ -17,11 +18,11 @@ MISSING_TOKENS = [
 def load_raw_transactions(spark: SparkSession, path: str, nrows: int | None = None, multi_line: bool = True) -> DataFrame:
     """Raw CSV with a header: the nine required columns, typed; other columns are not parsed.
 
-    A missing file or column raises. ``nrows`` reads the first rows only. Quoted values may
-    hold line breaks; files are then read whole by one task each, so export many files, or
-    set ``multi_line=False`` for large files that are known to have no such value.
+    A missing file or column raises. ``nrows`` reads that many rows only. Quoted values may
+    hold line breaks; large files are read in splits all the same (:mod:`ledgerscope.sources.quoted_csv`).
+    ``multi_line=False`` saves the scan that looks for such values, where they are known not to occur.
     """
-    text = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
+    text = read_quoted_csv(spark, path) if multi_line else spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     require_columns(text.columns, RAW_COLUMNS, "Raw dataset")
     source = text.limit(nrows) if nrows is not None else text
     typed = []
