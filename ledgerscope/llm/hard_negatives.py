@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerscope.llm.texts import plain, small_batches
 from ledgerscope.session import new_folder, write_and_read
 
-ANCHOR_BLOCK, ROW_BLOCK = 8192, 1 << 18
+ANCHOR_BLOCK, ROW_BLOCK, LEAST_BLOCK = 8192, 1 << 18, 4096
 _TILE_ROWS, _TILE_ANCHORS = 512, 2048  # a place in a tile and an exact score fit one signed word
 _BIAS = 1 << 63
 _LOWEST = np.int64(-(1 << 62))
@@ -246,7 +246,8 @@ def mine_hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_i
     counts = items.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(is_anchor, 1)).alias("anchors")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = max(1, -(-counts["anchors"] // anchor_block))
-    down = max(1, -(-counts["rows"] // row_block), -(-tasks // across))
+    # As many row blocks as give each task a cell, but none so small that its best rows are most of it.
+    down = max(1, -(-counts["rows"] // row_block), min(-(-tasks // across), -(-counts["rows"] // LEAST_BLOCK)))
 
     def dealt(df: DataFrame, own: int, others: int) -> tuple[Column, Column]:
         return F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
