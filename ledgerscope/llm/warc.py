@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerscope.llm.texts import plain, small_batches
+from ledgerscope.llm.texts import let, plain, small_batches
 from ledgerscope.session import new_folder, write_and_read
 
 VERSION = "WARC/1.1"
@@ -44,9 +44,10 @@ CENTRES = ("response", "revisit")
 
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 SHA-1: five hex digits are four base32 digits."""
-    hexed = F.sha1(data)
-    parts = [F.lpad(F.conv(F.substring(hexed, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
-    return F.translate(F.upper(F.concat(*parts)), _DIGITS32, BASE32)
+    def digits(hexed: Column) -> Column:
+        return F.concat(*[F.lpad(F.conv(F.substring(hexed, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)])
+
+    return F.translate(let(F.sha1(data), digits), _DIGITS32, BASE32)
 
 
 def _urn(kind: str, *of: Column) -> Column:
@@ -56,11 +57,11 @@ def _urn(kind: str, *of: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def _record(fields: list[tuple[str, Column | str]], block: Column) -> Column:
-    """A record without its last two line breaks; a field whose value is null is left out."""
+def _record(fields: list[tuple[str, Column | str]], *block: Column) -> Column:
+    """A record without its last two line breaks, from the parts of its block; a field whose value is null is left out."""
     lines = [F.concat(F.lit(f"{name}: "), value if isinstance(value, Column) else F.lit(value)) for name, value in fields]
-    lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(block)))
-    return F.concat(F.lit(VERSION + BREAK), F.concat_ws(BREAK, *lines), F.lit(BREAK * 2), block)
+    lines.append(F.concat(F.lit("Content-Length: "), sum((F.octet_length(b) for b in block[1:]), F.octet_length(block[0]))))
+    return F.concat(F.lit(VERSION + BREAK), F.concat_ws(BREAK, *lines), F.lit(BREAK * 2), *block)
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -97,7 +98,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         ("WARC-Profile", F.when(F.col("later"), REVISIT_PROFILE)), ("Content-Type", "application/http; msgtype=response")]
     records = named.select(F.explode(F.array(
         _record(side("request", "application/http; msgtype=request"), asked),
-        _record(centre, F.when(F.col("later"), http).otherwise(F.concat(http, F.col("html")))),
+        _record(centre, http, F.when(F.col("later"), "").otherwise(F.col("html"))),
         _record(side("metadata", "application/warc-fields"), known_id))).alias("value"))
     records.write.option("lineSep", BREAK * 2).option("compression", compression).text(path)
 
