@@ -55,17 +55,22 @@ def global_ntile(df: DataFrame, order: list[Column], buckets: int, name: str) ->
     return numbered.withColumn(name, tile).drop("_position", "_rows")
 
 
-def with_running_total(df: DataFrame, group: str, order: Column, weight: str, name: str) -> DataFrame:
-    """Add, per group, the weight of all rows up to and including this one.
+def with_running_total(df: DataFrame, group: str | list[str], order: Column, weight: str, name: str,
+                       total_name: str | None = None) -> DataFrame:
+    """Add, per group, the weight of all rows up to and including this one, and on request that of the whole group.
 
     Rows are spread over range partitions of (group, order), so even one group
     holding every row is summed in parallel; the part windows stay partition-sized.
     """
-    placed = _sorted_once(df, [F.col(group), order])
-    local = Window.partitionBy("_part", group).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    parts = placed.groupBy(group, "_part").agg(F.sum(weight).alias("_w"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(group, "_part", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"))
+    groups = [group] if isinstance(group, str) else group
+    placed = _sorted_once(df, [*[F.col(g) for g in groups], order])
+    local = Window.partitionBy("_part", *groups).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(*groups, "_part").agg(F.sum(weight).alias("_w"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*groups, "_part", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_w").over(Window.partitionBy(*groups)).alias("_total"))
     summed = placed.withColumn(name, F.sum(weight).over(local))
-    return (summed.join(offsets, [group, "_part"])
-            .withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_place", "_before"))
+    out = summed.join(offsets, [*groups, "_part"]).withColumn(name, F.col(name) + F.col("_before"))
+    if total_name:
+        out = out.withColumn(total_name, F.col("_total"))
+    return out.drop("_part", "_place", "_before", "_total")

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.functions import dates, numbers
-from ledgerscope.operators.frequency import primary_value
-from ledgerscope.operators.keys import hot_keys, small_side
-from ledgerscope.operators.quantiles import group_quantiles, wide_quantiles
+from ledgerscope.operators.runs import medians, modes, run_lengths
 from ledgerscope.schemas import DAYPARTS, FEATURE_COLUMNS, FEATURE_SCHEMA, require_columns
 
 # The input columns of the data contract.
@@ -24,8 +20,7 @@ MEDIANS = {
     "transaction_amount_inr": "median_transaction_amount",
     "account_balance_inr": "median_account_balance",
 }
-# A customer with more rows than this takes the spread-out route.
-HOT_CUSTOMER_ROWS = 500_000
+MODES = {"gender": "gender", "customer_location": "primary_location"}
 
 
 def _mergeable() -> list:
@@ -52,27 +47,6 @@ def _mergeable() -> list:
     ]
 
 
-def _regular(rows: DataFrame) -> DataFrame:
-    """One shuffle on the customer; value sets are bounded by the hot-customer limit."""
-    medians = [F.percentile(c, F.lit(0.5)).alias(name) for c, name in MEDIANS.items()]
-    return rows.groupBy(KEY).agg(
-        *_mergeable(), *medians,
-        F.size(F.collect_set("customer_location")).cast("bigint").alias("distinct_locations"),
-        F.mode("gender", True).alias("gender"),
-        F.mode("customer_location", True).alias("primary_location"),
-    )
-
-
-def _hot(rows: DataFrame) -> DataFrame:
-    """The same columns from operators that spread one customer over many tasks."""
-    base = rows.groupBy(KEY).agg(*_mergeable(), F.count_distinct("customer_location").alias("distinct_locations"))
-    medians = wide_quantiles(group_quantiles(rows, [KEY], list(MEDIANS), [0.5]), [KEY],
-                             {(c, 0.5): name for c, name in MEDIANS.items()})
-    sides = [medians, primary_value(rows, KEY, "gender", "gender"),
-             primary_value(rows, KEY, "customer_location", "primary_location")]
-    return reduce(lambda left, right: left.join(right, KEY, "left"), sides, base)
-
-
 def _derive(agg: DataFrame) -> DataFrame:
     total, count = F.col("total_transaction_amount"), F.col("transaction_count")
     avg_amount, avg_balance = F.col("average_transaction_amount"), F.col("average_account_balance")
@@ -93,17 +67,16 @@ def _derive(agg: DataFrame) -> DataFrame:
     return staged.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FEATURE_SCHEMA])
 
 
-def build_customer_features(clean: DataFrame, hot_rows: int = HOT_CUSTOMER_ROWS) -> DataFrame:
+def build_customer_features(clean: DataFrame) -> DataFrame:
     """35 columns per customer; rows without a customer id do not count.
 
-    Customers above ``hot_rows`` transactions are found first. Without any, the
-    whole table is one aggregation with one shuffle.
+    One route, whatever a customer holds: sums of fixed size per customer, and run-length rows for the
+    medians, modes and numbers of distinct locations. No customer's values are gathered in one buffer.
     """
     require_columns(clean.columns, NEEDED, "Clean transaction table")
     usable = clean.where(F.col(KEY).isNotNull()).select(NEEDED)
-    hot, hot_count = hot_keys(usable, KEY, hot_rows)
-    if not hot_count:
-        return _derive(_regular(usable))
-    hot = small_side(hot, hot_count)
-    regular = _regular(usable.join(hot, KEY, "left_anti"))
-    return _derive(regular.unionByName(_hot(usable.join(hot, KEY, "left_semi"))))
+    sums = usable.groupBy(KEY).agg(*_mergeable())
+    runs = run_lengths(usable, KEY, list(MEDIANS), list(MODES))
+    sides = modes(runs, KEY, MODES, {"customer_location": "distinct_locations"})
+    whole = sums.join(sides, KEY, "left").join(medians(runs, KEY, MEDIANS), KEY, "left")
+    return _derive(whole.withColumn("distinct_locations", F.coalesce("distinct_locations", F.lit(0))))
