@@ -253,8 +253,12 @@ def warc_digest(pages: DataFrame) -> DataFrame:
     records = write_and_read(without_payloads(read_warc(spark, path)), new_folder(spark, "warc-records"))
     captures = assemble_captures(records)
     kind = dict(pages.dtypes)["page_id"]
-    named = captures.select("capture_id", _field(F.col("metadata.text"), "page-id").cast(kind).alias("page_id"), "response.*")
-    first = named.where(F.col("record_type") == "response").groupBy(F.col("capture_id").alias("original")).agg(
-        F.min("page_id").alias("original_page"))
+    named = write_and_read(captures.select("capture_id", _field(F.col("metadata.text"), "page-id").cast(kind).alias("page_id"), "response.*"),
+                           new_folder(spark, "warc-captures"))
+    asked = named.where(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("capture_id")).distinct()
+    first = named.where(F.col("record_type") == "response").join(asked, "capture_id", "left_semi").groupBy(
+        F.col("capture_id").alias("original")).agg(F.min("page_id").alias("original_page"))
+    # Written before it is joined: a join of two plain shuffles can split a payload that very many pages revisit.
+    first = write_and_read(first, new_folder(spark, "warc-originals"))
     return named.join(first, F.col("refers_to") == F.col("original"), "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("original_page").alias("refers_to"))
