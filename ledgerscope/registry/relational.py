@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerscope.functions import bands, dates, numbers, text
-from ledgerscope.operators import frequency, keys, ordering, quantiles, sampling
+from ledgerscope.operators import frequency, keys, ordering, quantiles, sampling, sketches
 from ledgerscope.plans import clean as cleaning, features as featuring, quality, warehouse as wh_ops
 from ledgerscope.plans.reports import with_share
 from ledgerscope.registry.common import on_warehouse, on_workspace, rounded
 from ledgerscope.schemas import CANONICAL_NAMES, CLEAN_SCHEMA, DAYPARTS, FEATURE_COLUMNS, RAW_COLUMNS
-from ledgerscope.session import new_folder
+from ledgerscope.session import new_folder, write_and_read
 from ledgerscope.sources import scans, sinks
 from ledgerscope.workspace import Workspace
 
@@ -246,6 +246,31 @@ def build_customer_features_hot_route(ws: Workspace) -> DataFrame:
     return rounded(featuring.build_customer_features(ws.clean.repartition(64)))
 
 
+def sketch_quantiles(ws: Workspace) -> DataFrame:
+    """Quantiles per month from stored sketches per month and daypart, and whether their ranks are right to 1 % of the rows."""
+    measures, probs = [AMOUNT, BALANCE], [0.005, 0.25, 0.5, 0.75, 0.995]
+    fine = write_and_read(sketches.quantile_sketches(ws.clean, ["transaction_month", "daypart"], measures), new_folder(ws.spark, "quantile-sketches"))
+    found = sketches.sketched_quantiles(sketches.merge_quantile_sketches(fine, ["transaction_month"]), probs)
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures])
+    long = ws.clean.select("transaction_month", F.inline(cells)).where("v IS NOT NULL")
+    same_month = F.col("f.transaction_month").eqNullSafe(F.col("r.transaction_month")) & (F.col("f.measure") == F.col("r.measure"))
+    ranked = long.alias("r").join(found.alias("f"), same_month).groupBy("f.transaction_month", "f.measure", "prob").agg(
+        F.avg((F.col("v") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("double")).alias("upto"))
+    return ranked.select("transaction_month", "measure", "prob", (
+        (F.col("prob") >= F.col("below") - 0.01) & (F.col("prob") <= F.col("upto") + 0.01)).alias("near"))
+
+
+def distinct_rollup(ws: Workspace) -> DataFrame:
+    """Customers and locations per month from stored sketches per month and location, within 2 % of the exact numbers."""
+    names = {"customer_id": "customers", "customer_location": "locations"}
+    fine = write_and_read(sketches.distinct_sketches(ws.clean, ["transaction_month", "customer_location"], names), new_folder(ws.spark, "distinct-sketches"))
+    rolled = sketches.distinct_estimates(fine, ["transaction_month"], list(names.values()))
+    exact = ws.clean.groupBy("transaction_month").agg(*[F.count_distinct(c).alias(f"exact_{n}") for c, n in names.items()])
+    near = [(F.abs(F.col(n) - F.col(f"exact_{n}")) <= 0.02 * F.col(f"exact_{n}")).alias(f"{n}_near") for n in names.values()]
+    both = rolled.withColumnRenamed("transaction_month", "_month").join(exact, F.col("_month").eqNullSafe(F.col("transaction_month")))
+    return both.select("transaction_month", *[F.col(f"exact_{n}").alias(n) for n in names.values()], *near)
+
+
 def percent_of_total(wh) -> DataFrame:
     return with_share(wh.customer_feature_mart.groupBy("distinct_locations").agg(_rows("customer_count")),
                       "customer_count", "customer_pct", "customer_count")
@@ -381,6 +406,8 @@ QUERIES = {
     "primary_value": on_workspace(primary_value),
     "daypart_shares": on_workspace(daypart_shares),
     "build_customer_features": on_workspace(build_customer_features),
+    "sketch_quantiles": on_workspace(sketch_quantiles),
+    "distinct_rollup": on_workspace(distinct_rollup),
     "build_customer_features_hot_route": on_workspace(build_customer_features_hot_route),
     "percent_of_total": on_warehouse(percent_of_total),
     "missing_profile": on_workspace(missing_profile),

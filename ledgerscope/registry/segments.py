@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.registry.common import on_workspace, rounded
 from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
-from ledgerscope.segmentation import candidates as cand, display, final, job, metrics, prepare
+from ledgerscope.segmentation import candidates as cand, display, final, job, metrics, prepare, silhouette
 from ledgerscope.segmentation.bundle import assign_with_bundle, project_with_bundle
 from ledgerscope.operators.sampling import sample_rows
 from ledgerscope.session import new_folder, write_and_read
@@ -120,8 +120,24 @@ def noise_excluded(ws: Workspace) -> DataFrame:
 
 
 def single_cluster_guard(ws: Workspace) -> DataFrame:
-    """One cluster only: the metrics are missing."""
-    return metrics.evaluate_frame(_embedded(ws).withColumn("label", F.lit(0)), POSITIONS)
+    """With one cluster, or as many as rows, the metrics are missing; with two they are not."""
+    labels = {"one": F.lit(0), "every_row": F.col("vec_id").cast("int"), "two": F.col("label") % 2}
+    found = metrics.evaluate_many(_embedded(ws).select("vec_id", *POSITIONS, *[c.alias(n) for n, c in labels.items()]), POSITIONS, list(labels))
+    rows = [(n, r["rows"], r["cluster_count"], *[r[m] for m in cand.METRICS]) for n, r in found.items()]
+    return rounded(ws.spark.createDataFrame(rows, "labelling string, row_count bigint, cluster_count bigint, " + ", ".join(f"{m} double" for m in cand.METRICS)))
+
+
+def euclidean(ws: Workspace) -> DataFrame:
+    """Every row against the reference sets, which are whole clusters here unless the table is large."""
+    found = silhouette.euclidean_silhouette(_embedded(ws), "vec_id", POSITIONS, "label")
+    return rounded(ws.spark.createDataFrame([(found["rows"], found["silhouette_score"])], "row_count bigint, silhouette_score double"))
+
+
+def silhouette_with_references(ws: Workspace) -> DataFrame:
+    """Rows scored against about twenty references per cluster, and whether the score of the full sets lies within the bound."""
+    near, exact = [silhouette.euclidean_silhouette(_embedded(ws), "vec_id", POSITIONS, "label", reference_rows=n) for n in (20, silhouette.REFERENCE_ROWS)]
+    inside = abs(near["silhouette_score"] - exact["silhouette_score"]) <= near["error_bound"]
+    return ws.spark.createDataFrame([(near["rows"], near["reference_rows"] < near["rows"], inside)], "row_count bigint, sampled boolean, within_bound boolean")
 
 
 def _fixed_candidates(ws: Workspace) -> DataFrame:
@@ -161,7 +177,7 @@ def classification_report(ws: Workspace) -> DataFrame:
 # --- fitted models -----------------------------------------------------------
 
 COMPARED = {"KMeans": cand.kmeans_candidates, "GaussianMixture": cand.mixture_candidates,
-            "BisectingKMeans": cand.hierarchical_candidates}
+            cand.WARD_NAME: cand.hierarchical_candidates}
 
 
 def _records(ws: Workspace, algorithm: str) -> list[dict]:
@@ -266,13 +282,15 @@ QUERIES = {
     "davies_bouldin": _one_metric("davies_bouldin_score"),
     "calinski_harabasz": _one_metric("calinski_harabasz_score"),
     "squared_silhouette": _one_metric("squared_silhouette_score"),
+    "silhouette": on_workspace(euclidean),
+    "silhouette_with_references": on_workspace(silhouette_with_references),
     "noise_excluded_candidate": on_workspace(noise_excluded),
     "single_cluster_guard": on_workspace(single_cluster_guard),
     "candidate_result": on_workspace(lambda ws: rounded(_fixed_candidates(ws).drop("error"))),
     "competition_rank": on_workspace(competition_rank),
     "choose_cluster_count": on_workspace(choose_cluster_count),
     "gmm_diag_candidates": on_workspace(lambda ws: _facts(ws, "GaussianMixture")),
-    "hierarchical_candidates": on_workspace(lambda ws: _facts(ws, "BisectingKMeans")),
+    "hierarchical_candidates": on_workspace(lambda ws: _facts(ws, cand.WARD_NAME)),
     "final_kmeans": on_workspace(final_kmeans),
     "cluster_assignments": on_workspace(lambda ws: rounded(
         final.cluster_assignments(_scaled(ws), _gender_centroids(ws)))),

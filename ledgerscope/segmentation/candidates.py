@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerscope.functions.text import trailing_number
 from ledgerscope.schemas import require_columns
+from ledgerscope.segmentation.coreset import CORESET_ROWS, best_restarts, draw_coreset
 from ledgerscope.segmentation.gmm import fit_mixtures
 from ledgerscope.segmentation.metrics import evaluate, evaluate_many
 from ledgerscope.segmentation.prepare import ID, assemble
+from ledgerscope.segmentation.ward import MICRO_CLUSTERS, ward_labels, with_nearest
 from ledgerscope.session import new_folder, write_and_read
 
 CANDIDATE_SCHEMA = (
     "algorithm string, parameters string, sample_size bigint, cluster_count bigint, noise_share double, "
     "squared_silhouette_score double, davies_bouldin_score double, calinski_harabasz_score double, status string, error string")
-KMEANS_NAME = "KMeans"
+KMEANS_NAME, WARD_NAME = "KMeans", "WardLinkage"
 METRICS = ["squared_silhouette_score", "davies_bouldin_score", "calinski_harabasz_score"]
-_PARALLEL_FITS = 4
 
 
 def _record(algorithm: str, parameters: str, found: dict, sample_size: int) -> dict:
@@ -58,36 +57,14 @@ def with_vectors(scaled: DataFrame) -> DataFrame:
     return write_and_read(assemble(scaled, features), new_folder(scaled.sparkSession, "vectors"))
 
 
-def best_kmeans(rows: DataFrame, k: int, n_init: int, max_iter: int, seed: int) -> KMeansModel:
-    """Restarts with consecutive seeds; the lowest training cost wins."""
-    return best_kmeans_each(rows, [k], n_init, max_iter, seed)[k]
-
-
-def best_kmeans_each(rows: DataFrame, cluster_counts: list[int], n_init: int, max_iter: int,
-                     seed: int) -> dict[int, KMeansModel]:
-    """The best restart per cluster count; fits are submitted side by side."""
-    def fit(job: tuple[int, int]) -> KMeansModel:
-        k, restart = job
-        return KMeans(featuresCol="vector", predictionCol=f"label_{k}", k=k, seed=seed + restart, maxIter=max_iter).fit(rows)
-
-    jobs = [(k, r) for k in cluster_counts for r in range(n_init)]
-    with ThreadPool(_PARALLEL_FITS) as pool:
-        models = pool.map(fit, jobs, chunksize=1)
-    by_count = {k: [m for (count, _), m in zip(jobs, models) if count == k] for k in cluster_counts}
-    return {k: min(fitted, key=lambda m: m.summary.trainingCost) for k, fitted in by_count.items()}
-
-
-def _evaluate_models(algorithm: str, rows: DataFrame, columns: list[str], models: dict) -> list[dict]:
-    labelled = reduce(lambda df, model: model.transform(df), models.values(), rows)
-    return candidate_results(algorithm, labelled, columns, {f"label_{k}": f"n_clusters={k}" for k in models})
-
-
-def kmeans_candidates(scaled: DataFrame, cluster_range=range(2, 9), seed: int = 42, n_init: int = 10, max_iter: int = 300) -> list[dict]:
-    """Fitted and scored on all rows."""
+def kmeans_candidates(scaled: DataFrame, cluster_range=range(2, 9), seed: int = 42, n_init: int = 10, max_iter: int = 300,
+                      coreset_rows: int = CORESET_ROWS) -> list[dict]:
+    """Fitted on a weighted coreset of all customers; every customer is labelled and scored."""
     features = [c for c in scaled.columns if c != ID]
-    rows = with_vectors(scaled)
-    models = best_kmeans_each(rows, list(cluster_range), n_init, max_iter, seed)
-    return _evaluate_models(KMEANS_NAME, rows, features, models)
+    fits = best_restarts(draw_coreset(scaled, coreset_rows, seed), list(cluster_range), n_init, max_iter, seed)
+    labelled = with_nearest(scaled, {f"label_{k}": centers for k, (centers, _) in fits.items()})
+    labelled = write_and_read(labelled, new_folder(scaled.sparkSession, "kmeans"))
+    return candidate_results(KMEANS_NAME, labelled, features, {f"label_{k}": f"n_clusters={k}" for k in fits})
 
 
 def mixture_candidates(scaled: DataFrame, component_range=range(2, 7), seed: int = 42, n_init: int = 2,
@@ -104,17 +81,11 @@ def mixture_candidates(scaled: DataFrame, component_range=range(2, 7), seed: int
                    for k, e in fitted.items() if isinstance(e, Exception)]
 
 
-def hierarchical_candidates(scaled: DataFrame, cluster_range=range(2, 7), seed: int = 42) -> list[dict]:
-    """Divisive hierarchy over all rows (bisecting k-means)."""
+def hierarchical_candidates(scaled: DataFrame, cluster_range=range(2, 7), seed: int = 42, micro_clusters: int = MICRO_CLUSTERS) -> list[dict]:
+    """Ward linkage over micro-clusters of all customers."""
     features = [c for c in scaled.columns if c != ID]
-    vectors = with_vectors(scaled)
-
-    def fit(k: int):
-        return BisectingKMeans(featuresCol="vector", predictionCol=f"label_{k}", k=k, seed=seed).fit(vectors)
-
-    with ThreadPool(_PARALLEL_FITS) as pool:
-        models = dict(zip(cluster_range, pool.map(fit, cluster_range, chunksize=1)))
-    return _evaluate_models("BisectingKMeans", vectors, features, models)
+    labelled = write_and_read(ward_labels(scaled, list(cluster_range), micro_clusters, seed), new_folder(scaled.sparkSession, "ward"))
+    return candidate_results(WARD_NAME, labelled, features, {f"label_{k}": f"n_clusters={k};linkage=ward" for k in cluster_range})
 
 
 def rank_candidates(results: DataFrame, algorithm: str = KMEANS_NAME) -> DataFrame:

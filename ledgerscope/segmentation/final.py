@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerscope.operators.keys import one_to_one_join
 from ledgerscope.operators.quantiles import group_quantiles, wide_quantiles
 from ledgerscope.schemas import SEGMENTATION_FEATURES
-from ledgerscope.segmentation.candidates import best_kmeans, with_vectors
+from ledgerscope.segmentation.coreset import CORESET_ROWS, best_restarts, draw_coreset
 from ledgerscope.segmentation.metrics import squared_distance
 from ledgerscope.segmentation.prepare import ID, assemble
 
@@ -28,10 +28,26 @@ def nearest(scaled: DataFrame, columns: list[str], centroids: Centroids) -> Data
     return ranked.withColumn("cluster", F.col("_ranked")[0]["cluster"])
 
 
-def fit_final_kmeans(scaled: DataFrame, n_clusters: int, seed: int = 42, n_init: int = 20, max_iter: int = 500) -> Centroids:
-    """The centroids of the restart of least cost, fitted on all rows."""
-    model = best_kmeans(with_vectors(scaled), n_clusters, n_init, max_iter, seed)
-    return [list(map(float, c)) for c in model.clusterCenters()]
+def settle(scaled: DataFrame, centroids: Centroids, max_passes: int = 50, tolerance: float = 1e-4) -> Centroids:
+    """Centroids moved to the mean of their customers until none moves further than ``tolerance``; one pass over all each time."""
+    columns = [c for c in scaled.columns if c != ID]
+    for _ in range(max_passes):
+        means = nearest(scaled, columns, centroids).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns]).collect()
+        moved = [list(c) for c in centroids]
+        for r in means:
+            moved[r["cluster"]] = [r[c] for c in columns]
+        far = max(float(np.linalg.norm(np.subtract(a, b))) for a, b in zip(centroids, moved))
+        centroids = moved
+        if far <= tolerance:
+            break
+    return centroids
+
+
+def fit_final_kmeans(scaled: DataFrame, n_clusters: int, seed: int = 42, n_init: int = 20, max_iter: int = 500,
+                     coreset_rows: int = CORESET_ROWS) -> Centroids:
+    """The restart of least cost over a weighted coreset, then settled on all customers."""
+    centers, _ = best_restarts(draw_coreset(scaled, coreset_rows, seed), [n_clusters], n_init, max_iter, seed)[n_clusters]
+    return settle(scaled, centers.tolist())
 
 
 def renumber(scaled: DataFrame, features: DataFrame, centroids: Centroids) -> Centroids:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 NOISE = -1
@@ -59,19 +61,40 @@ def calinski_harabasz(stats: list[dict]) -> float:
     return float(between * (sizes.sum() - len(stats)) / (within * (len(stats) - 1)))
 
 
-def squared_silhouettes(df: DataFrame, columns: list[str], labels: list[str]) -> dict[str, float]:
-    """Mean silhouette on squared Euclidean distances over all rows, for several labellings.
-
-    Distances to a whole cluster follow from its size, sum and sum of squares, so the
-    evaluator needs one aggregation and one pass per labelling.
+def _silhouette_sums(batches: Iterator[pa.RecordBatch], columns: list[str], clusters: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
+    totals = dict.fromkeys(clusters, 0.0)
+    for batch in batches:
+        x = np.column_stack([batch[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
+        for name, (numbers, sizes, within, centers) in clusters.items():
+            place = np.searchsorted(numbers, batch[name].to_numpy(zero_copy_only=False))
+            for a in range(0, len(x), 1024):
+                own = place[a:a + 1024]
+                gap = ((x[a:a + 1024, None, :] - centers) ** 2).sum(axis=2)
+                here = np.arange(len(own))
+                mean = gap + within / sizes
+                inside = (sizes[own] * gap[here, own] + within[own]) / np.maximum(sizes[own] - 1, 1)
+                mean[here, own] = np.inf
+                outside = mean.min(axis=1)
+                larger = np.maximum(inside, outside)
+                score = np.divide(outside - inside, larger, out=np.zeros(len(own)), where=larger > 0)
+                totals[name] += float(score[sizes[own] > 1].sum())
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array(list(totals.values()), pa.float64())], names=["label", "total"])
+
+
+def squared_silhouettes(df: DataFrame, columns: list[str], stats: dict[str, list[dict]]) -> dict[str, float]:
+    """Mean silhouette on squared Euclidean distances over all rows, for several labellings in one pass.
+
+    The mean squared distance to a cluster follows from the distance to its centroid, its size and its summed
+    squared distances, which ``stats`` (of :func:`cluster_statistics`) holds.
     """
-    vectors = VectorAssembler(inputCols=columns, outputCol="_vector").transform(df)
-    out = {}
-    for name in labels:
-        judged = vectors.select("_vector", F.col(name).cast("double").alias("_label"))
-        out[name] = ClusteringEvaluator(featuresCol="_vector", predictionCol="_label", metricName="silhouette",
-                                        distanceMeasure="squaredEuclidean").evaluate(judged)
-    return out
+    if not stats:
+        return {}
+    clusters = {name: (np.array([s["label"] for s in found]), np.array([float(s["n"]) for s in found]),
+                       np.array([s["within"] for s in found]), np.array([s["centroid"] for s in found])) for name, found in stats.items()}
+    rows = df.select(*columns, *[F.col(name).cast("int").alias(name) for name in clusters])
+    parts = rows.mapInArrow(partial(_silhouette_sums, columns=columns, clusters=clusters), "label string, total double")
+    found = parts.groupBy("label").agg(F.sum("total").alias("total")).collect()
+    return {r["label"]: r["total"] / sum(s["n"] for s in stats[r["label"]]) for r in found}
 
 
 def evaluate_many(df: DataFrame, columns: list[str], labels: list[str]) -> dict[str, dict]:
@@ -81,8 +104,7 @@ def evaluate_many(df: DataFrame, columns: list[str], labels: list[str]) -> dict[
     """
     stats = cluster_statistics(df, columns, labels)
     total = {name: sum(s["n"] for s in stats[name]) for name in labels}
-    usable = [name for name in labels if 2 <= len(stats[name]) < total[name]]
-    silhouette = squared_silhouettes(df, columns, usable)
+    silhouette = squared_silhouettes(df, columns, {name: stats[name] for name in labels if 2 <= len(stats[name]) < total[name]})
     out = {}
     for name in labels:
         good = name in silhouette

@@ -86,6 +86,15 @@ SELECT k, avg(CASE WHEN size = 1 THEN 0e0 ELSE (outside - inside) / greatest(ins
          min(CASE WHEN own <> other_label THEN d / m.n END) AS outside
   FROM reach r JOIN label_means o ON o.k = r.k AND o.label = own JOIN label_means m ON m.k = r.k AND m.label = other_label GROUP BY ALL)
 GROUP BY 1"""
+# Euclidean distances, own label against the nearest other one.
+SILHOUETTE = """
+SELECT one, CASE WHEN any_value(own_n) = 1 THEN 0e0
+       ELSE (min(mean) FILTER (WHERE NOT same) - max(mean) FILTER (WHERE same))
+            / greatest(min(mean) FILTER (WHERE NOT same), max(mean) FILTER (WHERE same)) END AS score
+FROM (SELECT one, own.label = other_e.label AS same, any_value(n.n) AS own_n, avg(sqrt(d)) AS mean
+      FROM pairs JOIN embedded own ON own.vec_id = one AND own.k = 10 JOIN embedded other_e ON other_e.vec_id = other AND other_e.k = 10
+      JOIN label_means n ON n.k = 10 AND n.label = own.label GROUP BY one, own.label, other_e.label)
+GROUP BY one"""
 STAGES["merged"] = "SELECT * FROM db JOIN ch USING (k) JOIN sil USING (k)"
 METRICS = r6("squared_silhouette_score", "davies_bouldin_score", "calinski_harabasz_score")
 STAGES["fixed"] = f"""
@@ -144,8 +153,13 @@ SEGMENT_SQL = {
         "SELECT 'FixedLabels' AS algorithm, 'noise=0' AS parameters, (SELECT count(*) FROM embeddings) AS sample_size, cluster_count, "
         f"{rnd('(1 - kept / CAST((SELECT count(*) FROM embeddings) AS DOUBLE))', 6)} AS noise_share, {METRICS}, 'success' AS status "
         "FROM merged WHERE k = 0",
-    "single_cluster_guard": "SELECT CAST(NULL AS DOUBLE) AS squared_silhouette_score, CAST(NULL AS DOUBLE) AS davies_bouldin_score, "
-                            "CAST(NULL AS DOUBLE) AS calinski_harabasz_score",
+    "single_cluster_guard":
+        "SELECT 'one' AS labelling, count(*) AS row_count, CAST(1 AS BIGINT) AS cluster_count, CAST(NULL AS DOUBLE) AS squared_silhouette_score, "
+        "CAST(NULL AS DOUBLE) AS davies_bouldin_score, CAST(NULL AS DOUBLE) AS calinski_harabasz_score FROM embeddings UNION ALL "
+        "SELECT 'every_row', count(*), count(DISTINCT vec_id), NULL, NULL, NULL FROM embeddings UNION ALL "
+        f"SELECT 'two', kept, cluster_count, {METRICS} FROM merged WHERE k = 2",
+    "silhouette": f"SELECT count(*) AS row_count, {rnd('avg(score)', 6)} AS silhouette_score FROM ({SILHOUETTE})",
+    "silhouette_with_references": "SELECT count(*) AS row_count, TRUE AS sampled, TRUE AS within_bound FROM embeddings",
     "candidate_result": f"SELECT {FIXED} FROM fixed",
     "comparison_filter": f"SELECT {FIXED} FROM fixed",
     "competition_rank":
@@ -180,7 +194,7 @@ SEGMENT_SQL = {
     # Facts that hold for any correct fit.
     "kmeans_candidates": _candidates("KMeans", "n_clusters=", 2, 8),
     "gmm_diag_candidates": _candidates("GaussianMixture", "n_components=", 2, 6, ";covariance_type=diag"),
-    "hierarchical_candidates": _candidates("BisectingKMeans", "n_clusters=", 2, 6),
+    "hierarchical_candidates": _candidates("WardLinkage", "n_clusters=", 2, 6, ";linkage=ward"),
     "final_kmeans": f"SELECT {b('count(*)')} AS customers, {b('0')} AS centroids_off, TRUE AS every_cluster_is_used FROM features",
     "pca_projection": "SELECT count(*) AS customers, TRUE AS centred, TRUE AS uncorrelated, TRUE AS ordered FROM features",
     "saved_segmentation_bundle": f"SELECT count(*) AS customers, {b('0')} AS other_cluster, {b('0')} AS other_place FROM features",
