@@ -1,19 +1,14 @@
-"""Registered queries against their SQL at the smallest scale. ``tests/compare.py`` runs all of them."""
+"""Every registered query of the library against its SQL, at the smallest scale."""
 
 from __future__ import annotations
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracle import statements
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = [
-    "clean_transactions", "build_customer_features", "build_customer_features_hot_route", "quality_report",
-    "integrity_gate", "vw_customer_360", "customer_ntile", "median_per_group", "sorted_positions", "robust_scale",
-    "cluster_assignments", "cluster_profile", "kruskal_wallis", "candidate_result", "location_filter", "coverage_long",
-    *[f"report_{n:02d}" for n in (1, 4, 9, 16, 18, 20, 24, 29, 31)],
-]
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +21,9 @@ def test_registry_is_complete():
     assert sum(name.startswith("report_") and name[7:9].isdigit() for name in queries()) >= 32
 
 
-@pytest.mark.parametrize("prefix", CHOSEN)
-def test_query_matches_sql(spark, con, prefix):
-    name = next(n for n in queries() if n == prefix or n.startswith(prefix + "_"))
-    assert difference(queries()[name](spark, SF), con, oracle_sql()[name]) is None
+@pytest.mark.parametrize("name", sorted(statements()))
+def test_query_matches_sql(spark, con, name):
+    assert difference(queries()[name](spark, SF), con, statements()[name]) is None
 
 
 def test_entry(spark):
