@@ -12,9 +12,10 @@ from ledgerscope.llm.packing import default_vocabulary, pack_documents, packing_
 from tests.llm.fixtures import SCHEMA, documents, empty, rows  # noqa: E402
 
 
-def encoder():
+def encoder(added_tokens: bool = False):
+    """Ids by the file's own library; added tokens spelled out, or with the ids of their own that it gives by default."""
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added_tokens
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
