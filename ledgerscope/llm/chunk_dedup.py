@@ -10,7 +10,8 @@ than the smallest chunk belongs to the chunk before it, so a common ending alone
 
 Defined results: a null or empty text has no chunks. Rows that share an id count as
 one document. A null id keeps a chunk only if no other id has it. Cuts lie between
-characters, so what is left is a text.
+characters, so what is left is a text. Other columns may have any names and come back
+as they were.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.texts import mix, plain, row_key, text_chunks
+from ledgerscope.llm.texts import mix, packed, plain, row_key, text_chunks, unpacked
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 32, 5, 256
 _REACH = 32
@@ -160,25 +161,24 @@ def removal_udf():
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int]) -> DataFrame:
+    """(row, left, n_removed, n_spans): all columns of ``docs`` in a struct, and what is left of the text."""
     lost = repeated_chunks(docs, id_col, text_col, sizes).select(
-        F.col("id").alias("_cd_id"), F.col("key").alias("_cd_key"), F.transform("lost", lambda s: s["start"]).alias("_cd_starts"),
-        F.transform("lost", lambda s: s["start"] + s["length"]).alias("_cd_ends"))
-    keyed = docs.withColumn("_cd_row", row_key(plain(text_col)))
-    found = keyed.join(lost, (F.col("_cd_row") == F.col("_cd_key")) & plain(id_col).eqNullSafe(F.col("_cd_id")), "left")
-    return found.withColumn("_cd", removal_udf()(plain(text_col), F.col("_cd_starts"), F.col("_cd_ends")))
+        F.col("id").alias("other_id"), F.col("key").alias("other_key"), F.transform("lost", lambda s: s["start"]).alias("starts"),
+        F.transform("lost", lambda s: s["start"] + s["length"]).alias("ends"))
+    keyed = docs.select(packed(docs), plain(text_col).alias("text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
+    found = keyed.join(lost, (F.col("key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), "left")
+    return found.select("row", removal_udf()("text", "starts", "ends").alias("cut")).select("row", "cut.left", "cut.n_removed", "cut.n_spans")
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  sizes: tuple[int, int, int] = (MIN_CHUNK, MASK_BITS, MAX_CHUNK)) -> DataFrame:
     """The documents without repeated chunks; null texts and all other columns as they were."""
-    left = F.when(plain(text_col).isNotNull(), F.decode("_cd.left", "UTF-8"))
-    out = [left.alias(c) if c == text_col else plain(c) for c in docs.columns]
-    return _joined(docs, id_col, text_col, sizes).select(*out)
+    left = F.when(F.col("row").getField(text_col).isNotNull(), F.decode("left", "UTF-8"))
+    return _joined(docs, id_col, text_col, sizes).select(*unpacked(docs, **{text_col: left}))
 
 
 def chunk_dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document."""
     found = _joined(docs.select("doc_id", "text"), "doc_id", "text", (MIN_CHUNK, MASK_BITS, MAX_CHUNK))
-    return found.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
-                        F.col("_cd.n_removed").alias("n_removed"), F.col("_cd.n_spans").alias("n_spans"),
-                        F.sha2("_cd.left", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", F.octet_length(F.coalesce("row.text", F.lit(""))).cast("bigint").alias("n_bytes"),
+                        "n_removed", "n_spans", F.sha2("left", 256).alias("kept_sha256"))

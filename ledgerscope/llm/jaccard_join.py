@@ -20,7 +20,7 @@ one row per linked node.
 
 Defined results: texts of one to four words are one shingle; texts without words, null included,
 are classes of their own. Rows of one id are documents of their own. A class of null ids
-only has a null id.
+only has a null id. Other columns may have any names and come back as they were.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.texts import combine, mix, plain, row_key, scan_words, small_batches, text_chunks
+from ledgerscope.llm.texts import combine, mix, packed, plain, row_key, scan_words, small_batches, text_chunks, unpacked
 from ledgerscope.session import new_folder, write_and_read
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.97
@@ -312,17 +312,15 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
     first = classes.where(F.col("node").isNotNull()).groupBy("label").agg(F.min(place).alias("p"))
     wordless = classes.where(F.col("node").isNull()).select("id", "key").distinct()
-    keep = first.select(F.col("p.id").alias("_jj_id"), F.col("p.key").alias("_jj_key"), F.lit(True).alias("_jj_one")).union(
+    keep = first.select(F.col("p.id").alias("kept_id"), F.col("p.key").alias("kept_key"), F.lit(True).alias("one")).union(
         wordless.select("id", "key", F.lit(False)))
     # One hash of id and text deals both sides out, so copies spread and repeats of a row meet where they were joined.
-    keep = keep.withColumn("_jj_to", F.xxhash64("_jj_key", F.col("_jj_id").isNull(), "_jj_id"))
-    keyed = docs.withColumn("_jj_row", row_key(plain(text_col)))
-    keyed = keyed.withColumn("_jj_from", F.xxhash64("_jj_row", plain(id_col).isNull(), plain(id_col)))
-    kept = keyed.join(keep, (F.col("_jj_from") == F.col("_jj_to")) & (F.col("_jj_row") == F.col("_jj_key"))
-                      & plain(id_col).eqNullSafe(F.col("_jj_id")))
-    again = F.when(F.col("_jj_one"), F.lit(0)).otherwise(F.monotonically_increasing_id())  # wordless rows all differ
-    return kept.withColumn("_jj_again", again).dropDuplicates(["_jj_from", "_jj_row", "_jj_id", "_jj_again"]).select(
-        *[plain(c) for c in docs.columns])
+    keep = keep.withColumn("to", F.xxhash64("kept_key", F.col("kept_id").isNull(), "kept_id"))
+    keyed = docs.select(packed(docs), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
+    keyed = keyed.withColumn("from", F.xxhash64("key", F.col("id").isNull(), "id"))
+    kept = keyed.join(keep, (F.col("from") == F.col("to")) & (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    again = F.when(F.col("one"), F.lit(0)).otherwise(F.monotonically_increasing_id())  # wordless rows all differ
+    return kept.withColumn("again", again).dropDuplicates(["from", "key", "kept_id", "again"]).select(*unpacked(docs))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.texts import mix, plain, powers, prefix_hash, scan_words, text_chunks
+from ledgerscope.llm.texts import check_free, mix, packed, plain, powers, prefix_hash, scan_words, text_chunks, unpacked
 
 TRAIN_TEXTS = 400
 ROUNDS = 3
@@ -258,15 +258,16 @@ def predictor(model: LanguageModel):
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred",
                        score_name: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
-    text = plain(text_col)
+    """``docs`` with the predicted language and its score, in columns that are new."""
+    check_free(docs, lang_name, score_name)
     if not model.languages:
-        return docs.withColumn(lang_name, F.lit(NO_LANGUAGE)).withColumn(score_name, F.lit(0.0))
-    some = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("_language", predictor(model)(F.lower(F.when(some, text))))
-    out = [(lang_name, F.when(some, F.col("_language.lang")).otherwise(NO_LANGUAGE)),
-           (score_name, F.when(some, F.col("_language.score")).otherwise(0.0))]
-    return found.select(*[plain(c) for c in docs.columns], *[c.alias(n) for n, c in out])
+        return docs.withColumns({lang_name: F.lit(NO_LANGUAGE), score_name: F.lit(0.0)})
+    rows = docs.select(packed(docs), plain(text_col).alias("text"))
+    some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = rows.withColumn("language", predictor(model)(F.lower(F.when(some, F.col("text")))))
+    out = [(lang_name, F.when(some, F.col("language.lang")).otherwise(NO_LANGUAGE)),
+           (score_name, F.when(some, F.col("language.score")).otherwise(0.0))]
+    return found.select(*unpacked(docs), *[c.alias(n) for n, c in out])
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.texts import WORD_BYTES, mix, plain, scan_words, small_batches, text_chunks
+from ledgerscope.llm.texts import WORD_BYTES, check_free, mix, packed, plain, scan_words, small_batches, text_chunks, unpacked
 from ledgerscope.session import new_folder, write_and_read
 
 TRAIN_ROWS = 6000
@@ -207,8 +207,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     place = F.pmod(F.xxhash64(F.lit(23), "_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = one.where(place < train_rows / max(n, 1))  # about train_rows short rows, whatever the size of the table
     split = F.pmod(F.xxhash64(F.lit(29), "_id"), F.lit(5)) == 0
-    sample = docs.join(F.broadcast(chosen), plain(id_col) == F.col("_id")).select(
-        plain(text_col).alias("text"), "_y", split.alias("_hold"))
+    texts = docs.select(plain(id_col).alias("id"), plain(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("text", "_y", split.alias("_hold"))
     sample = write_and_read(sample, new_folder(docs.sparkSession, "quality-sample"))
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     if len(sizes) < 2:
@@ -245,6 +245,7 @@ def score_column(model: QualityModel, text: Column) -> Column:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
+    check_free(docs, name)
     return docs.withColumn(name, score_column(model, plain(text_col)))
 
 
@@ -256,8 +257,8 @@ def learnable(id_col: Column) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of at least ``threshold``; their columns as they were."""
     model = fit_quality(docs, labels.where(learnable(F.col("doc_id"))))
-    scored = docs.withColumn("_quality_score", score_column(model, F.col("text")))
-    return scored.where(F.col("_quality_score") >= threshold).select(*[plain(c) for c in docs.columns]) if model.network else docs
+    rows = docs.select(packed(docs), F.col("text"))
+    return rows.where(score_column(model, F.col("text")) >= threshold).select(*unpacked(docs)) if model.network else docs
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

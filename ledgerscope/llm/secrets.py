@@ -12,14 +12,15 @@ Everything is DataFrame functions. Counts are partial sums first, so a value tha
 third of all rows hold costs one row per task; texts are scanned once and not shuffled.
 
 Defined results: a null text is empty and has no spans. A null owner counts as one
-owner of its own. Repeated rows are repositories of their own.
+owner of its own. Repeated rows are repositories of their own. Kept columns may have any name
+but that of the output, ``found``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.texts import plain
+from ledgerscope.llm.texts import packed, plain
 from ledgerscope.session import new_folder, write_and_read
 
 # The base patterns, in the order in which kinds are listed.
@@ -76,9 +77,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     or ``common_repos`` or more), ``owned`` (otherwise, one owner) and ``shared`` between them.
     """
     spark = docs.sparkSession
+    if "found" in [c.lower() for c in keep]:
+        raise ValueError("the input has columns of the output's names: ['found']")
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), plain(owner_col).cast("string").alias("_owner"),
-        candidate_spans(plain(text_col)).alias("_spans"), *[plain(c) for c in keep])
+        candidate_spans(plain(text_col)).alias("_spans"), packed(docs.select(*[plain(c) for c in keep])))
     rows = write_and_read(rows, new_folder(spark, "secret-candidates"))  # fixes the row numbers
     hashed = lambda s: F.sha2(s["value"], 256)
     held = rows.select("_owner", F.explode(F.array_distinct(F.transform("_spans", hashed))).alias("hash"))
@@ -90,7 +93,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
     verdict = F.when(common, "copied").when(F.col("n_owners") == 1, "owned").otherwise("shared")
     judged = each.where((F.col("s.kind") < 3) | ((F.col("n_owners") == 1) & ~common)).groupBy("_row").agg(F.array_sort(F.collect_list(
         F.struct("s.start", "s.kind", "s.end", "s.value", "hash", "n_owners", "n_repos", verdict.alias("verdict")))).alias("found"))
-    return rows.select("_row", *[plain(c) for c in keep]).join(judged, "_row", "left").drop("_row")
+    return rows.select("_row", "row").join(judged, "_row", "left").select(
+        *[F.col("row").getField(c).alias(c) for c in keep], "found")
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
