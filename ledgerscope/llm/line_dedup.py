@@ -1,22 +1,23 @@
 """Line dedup: which lines each document keeps, as run-length bitmaps.
 
-Hashes of the lines' keys are range-partitioned by key and document. A count and the
-largest id per key, its keeping document, replace a pass over sorted partitions; Spark
-drops the sort from the plan, as neither depends on order. A key that spans several
-partitions, such as a line of a third of all documents, leaves one partial count
-per partition. Only hashes, ids and positions are shuffled; the result per
-document is a bitmap of kept lines in run-length form.
+Hashes of the lines' keys are range-partitioned and sorted by key, then by document (falling) and
+position. A window streams over each sorted key: its first row names the keeping document, and a
+row whose document differs from the one before is a document's first occurrence. A key is cut into
+salts by document, so a line of a third of all documents fills many ranges; each salt leaves one
+small row, and these are added up per key. Only hashes, ids and positions are shuffled; the result
+per document is a bitmap of kept lines in run-length form.
 
 Defined results: a null or empty text is one empty line. Rows that share id and
 text count as one document and get the same bitmap. A null id sorts below all
-others. Lines with short keys and keys of few documents always stay.
+others. Lines with short keys and keys of few documents always stay. Other columns may have any
+names and come back as they were.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerscope.llm.texts import let, plain, row_key
+from ledgerscope.llm.texts import let, packed, plain, row_key, unpacked
 from ledgerscope.session import new_folder, write_and_read
 
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -41,10 +42,14 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "id", "key", "pos", line_key(F.col("col")).alias("line")).where(F.length("line") >= min_chars)
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "id", "key", "pos")
     hashed = write_and_read(hashed, new_folder(docs.sparkSession, "line-hashes"))  # the texts are split once
-    order = ["h1", "h2", F.col("id").desc_nulls_last(), "key"]
-    placed = hashed.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
-    per_document = placed.groupBy("h1", "h2", "id", "key").agg(F.lit(1).alias("one"))
-    shared = per_document.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = hashed.withColumn("salt", F.pmod(F.xxhash64(F.col("id").isNull(), "id", "key"), F.lit(salts)))
+    document = [F.col("id").desc_nulls_last(), "key"]
+    placed = salted.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", *document, "pos")
+    falling = Window.partitionBy("h1", "h2", "salt").orderBy(*document, "pos")
+    before = F.lag(F.struct("id", "key")).over(falling)
+    streamed = placed.select("h1", "h2", F.first("id").over(falling).alias("keeper"), before.eqNullSafe(F.struct("id", "key")).alias("again"))
+    shared = streamed.groupBy("h1", "h2").agg(F.count_if(~F.col("again")).alias("docs"), F.max("keeper").alias("keeper")).where(
         F.col("docs") >= min_docs)
     # The counts are written before they are joined: a join of two plain shuffles can split a hot line.
     shared = write_and_read(shared, new_folder(docs.sparkSession, "line-counts"))
@@ -68,42 +73,36 @@ def kept_text(text: Column, keep: Column) -> Column:
         F.flatten(F.transform(keep, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n"))
 
 
+def _attach(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """(row, text, n_lines, n_dropped, keep): all columns of ``docs`` in a struct, and the bitmap."""
+    lost = dropped_positions(docs, id_col, text_col, min_chars, min_docs).toDF("other_id", "other_key", "dropped")
+    rows = docs.select(packed(docs), plain(text_col).alias("text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"),
+                       F.size(split_lines(plain(text_col))).alias("n_lines"))
+    found = rows.join(lost, (F.col("key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), "left")
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return found.select("row", "text", "id", "key", "n_lines", F.size(dropped).alias("n_dropped"), keep_runs(dropped, F.col("n_lines")).alias("keep"))
+
+
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
                       min_docs: int = 5) -> DataFrame:
     """(id, key, n_lines, n_dropped, keep) per row; ``key`` is :func:`row_key` of the text."""
-    text = plain(text_col)
-    rows = docs.select(plain(id_col).alias("id"), row_key(text).alias("key"),
-                       F.size(split_lines(text)).alias("n_lines"))
-    return _attach(rows, dropped_positions(docs, id_col, text_col, min_chars, min_docs), "id", "key", F.col("n_lines"))
-
-
-def _attach(rows: DataFrame, lost: DataFrame, id_col: str, key_col: str, n_lines: Column, count: str = "n_dropped",
-            bitmap: str = "keep") -> DataFrame:
-    lost = lost.select(F.col("id").alias("_ld_id"), F.col("key").alias("_ld_key"), F.col("dropped").alias("_ld_dropped"))
-    found = rows.join(lost, (plain(key_col) == F.col("_ld_key")) & plain(id_col).eqNullSafe(F.col("_ld_id")), "left")
-    dropped = F.coalesce("_ld_dropped", F.array().cast("array<int>"))
-    return found.withColumn(count, F.size(dropped)).withColumn(bitmap, keep_runs(dropped, n_lines)).drop(
-        "_ld_id", "_ld_key", "_ld_dropped")
+    return _attach(docs.select(plain(id_col), plain(text_col)), id_col, text_col, min_chars, min_docs).select(
+        "id", "key", "n_lines", "n_dropped", "keep")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
                 min_docs: int = 5) -> DataFrame:
     """The documents with the bitmaps applied to their text, all other columns as they were."""
-    text = plain(text_col)
-    rows = docs.withColumn("_ld_row", row_key(text)).withColumn("_ld_lines", F.size(split_lines(text)))
-    found = _attach(rows, dropped_positions(docs, id_col, text_col, min_chars, min_docs), id_col, "_ld_row",
-                    F.col("_ld_lines"), "_ld_lost", "_ld_keep")
-    left = F.when(F.col("_ld_lost") == 0, text).otherwise(kept_text(text, F.col("_ld_keep")))
-    return found.select(*[left.alias(c) if c == text_col else plain(c) for c in docs.columns])
+    left = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(kept_text(F.col("text"), F.col("keep")))
+    return _attach(docs, id_col, text_col, min_chars, min_docs).select(*unpacked(docs, **{text_col: left}))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256, keep: the bitmaps of :func:`dropped_positions` applied to each text."""
-    rows = docs.select("doc_id", "text", row_key(F.col("text")).alias("_key"), F.size(split_lines(F.col("text"))).alias("n_lines"))
-    marked = _attach(rows, dropped_positions(docs), "doc_id", "_key", F.col("n_lines"))
+    marked = _attach(docs.select("doc_id", "text"), "doc_id", "text", 40, 5)
     whole = F.coalesce("text", F.lit(""))
     left = F.when(F.col("n_dropped") == 0, whole).otherwise(kept_text(F.col("text"), F.col("keep")))
-    return marked.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"),
+    return marked.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("bigint").alias("n_lines"),
                          F.col("n_dropped").cast("bigint").alias("n_dropped"),
                          F.sha2(left, 256).alias("kept_sha256"),
                          F.array_join(F.transform("keep", lambda r: F.concat(r["start"], F.lit("+"), r["length"])), ",").alias("keep_runs"))
