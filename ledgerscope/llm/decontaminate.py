@@ -7,12 +7,17 @@ far the cursor may jump when a block ends at it, and a block with shift 0 select
 by the hash of a pattern's last block, the bucket of patterns to test. Hashes of
 whole windows thin a bucket out; a comparison of the words themselves confirms.
 
+The shift table has sixteen slots for each block of its patterns, so most blocks of a clean
+text find an empty one and jump a whole pattern.
+
 Many cursors advance together, one per stretch of a batch of documents. Benchmarks
 are the stated query set: patterns come in blocks of at most ``block_bytes``, one
-pass over the documents each, so what a task holds does not grow with them.
+pass over the documents each, so what a task holds does not grow with them. Between passes only
+the hits of contaminated texts are kept, under two hashes of the text.
 
 Defined results: a null or empty text has no words and no hits. Rows are judged one
-by one, so repeated rows agree. An item with a null id marks words but is not listed.
+by one, so repeated rows agree. An item with a null id marks words but is not listed. Other
+columns may have any names and come back as they were.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerscope.llm.texts import combine, plain, scan_words, small_batches, text_chunks
-from ledgerscope.session import cut_lineage
+from ledgerscope.llm.texts import check_free, combine, packed, plain, scan_words, small_batches, text_chunks, unpacked
+from ledgerscope.session import cut_lineage, new_folder, write_and_read
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 STRETCH = 64
-_SLOTS = 1 << 16
+_SLOTS_PER_BLOCK, _FEWEST_SLOTS, _MOST_SLOTS = 16, 1 << 12, 1 << 24
 HITS = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -75,9 +80,11 @@ class Patterns:
         step = min(2, size)
         blocks = combine(words, step)
         heads = np.arange(len(ids)) * size
-        shift = np.full(_SLOTS, size - step + 1, np.int64)
+        wanted = _SLOTS_PER_BLOCK * len(np.unique(blocks))
+        slots = min(max(1 << (wanted - 1).bit_length(), _FEWEST_SLOTS), _MOST_SLOTS)
+        shift = np.full(slots, size - step + 1, np.int32)
         for j in range(size - step + 1):  # the block that ends j words before the last possible place
-            slot = (blocks[heads + j] % np.uint64(_SLOTS)).astype(np.int64)
+            slot = (blocks[heads + j] % np.uint64(slots)).astype(np.int64)
             np.minimum.at(shift, slot, size - step - j)
         last, whole = blocks[heads + size - step], combine(words, size)[heads]
         order = np.lexsort((whole, last))
@@ -95,7 +102,7 @@ class Patterns:
             limit = np.minimum(cursor + STRETCH, n)
             while len(cursor):
                 block = blocks[cursor - step + 1]
-                jump = table["shift"][(block % np.uint64(_SLOTS)).astype(np.int64)]
+                jump = table["shift"][(block % np.uint64(len(table["shift"]))).astype(np.int64)]
                 tested = jump == 0
                 if tested.any():
                     found += self._confirm(words, doc_of, size, table, cursor[tested], block[tested])
@@ -126,83 +133,103 @@ class Patterns:
         return out
 
 
-def _mark(texts: pa.Array, before: pa.Array | None, patterns: Patterns) -> pa.Array:
-    """Hits of one block of patterns, joined to those of earlier blocks."""
-    known = before.to_pylist() if before is not None else None
-    out, row0 = [], 0
-    for data, bounds in text_chunks(texts):
-        words = scan_words(data, bounds)
-        n_rows = len(bounds) - 1
-        doc_of = np.repeat(np.arange(n_rows), np.diff(words.first))
-        spans, items = defaultdict(set), defaultdict(set)
-        for a, size, pattern in patterns.search(words, doc_of):
-            row = int(doc_of[a])
-            spans[row].add((a - int(words.first[row]), a - int(words.first[row]) + size))
-            items[row].update(patterns.items[pattern])
-        for row in range(n_rows):
-            old = known[row0 + row] if known else None
-            if old:
-                spans[row].update((h["start"], h["end"]) for h in old["hits"])
-                items[row].update(old["items"])
-            runs: list[list[int]] = []
-            for a, b in sorted(spans[row]) if row in spans else ():
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
-                else:
-                    runs.append([a, b])
-            out.append({"n_words": int(words.first[row + 1] - words.first[row]), "n_hit": sum(b - a for a, b in runs),
-                        "hits": [{"start": a, "end": b} for a, b in runs], "items": sorted(items[row]) if row in items else []})
-        row0 += n_rows
-    return pa.array(out, _HITS_ARROW)
+def _runs_of(spans) -> list[list[int]]:
+    """Maximal runs of the union of (start, end) spans."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def _hit(n_words: int, spans, items) -> dict:
+    runs = _runs_of(spans)
+    return {"n_words": n_words, "n_hit": sum(b - a for a, b in runs), "hits": [{"start": a, "end": b} for a, b in runs], "items": sorted(items)}
+
+
+def _marker(patterns: Patterns):
+    """Column function: the hits of one block of patterns in a text."""
+    def mark(texts: pa.Array) -> pa.Array:
+        out = []
+        for data, bounds in text_chunks(texts):
+            words = scan_words(data, bounds)
+            n_rows = len(bounds) - 1
+            doc_of = np.repeat(np.arange(n_rows), np.diff(words.first))
+            spans, items = defaultdict(set), defaultdict(set)
+            for a, size, pattern in patterns.search(words, doc_of):
+                row = int(doc_of[a])
+                spans[row].add((a - int(words.first[row]), a - int(words.first[row]) + size))
+                items[row].update(patterns.items[pattern])
+            out += [_hit(int(words.first[row + 1] - words.first[row]), spans.get(row, ()), items.get(row, ())) for row in range(n_rows)]
+        return pa.array(out, _HITS_ARROW)
+
+    return F.arrow_udf(mark, HITS)
+
+
+def _merger():
+    """Column function: hits of one block joined with those of the others."""
+    def merge(marks: pa.Array, hits: pa.Array, items: pa.Array) -> pa.Array:
+        out = []
+        for mark, more, names in zip(marks.to_pylist(), hits.to_pylist(), items.to_pylist()):
+            if more:
+                spans = {(h["start"], h["end"]) for h in [*mark["hits"], *more]}
+                mark = _hit(mark["n_words"], spans, {*mark["items"], *names})
+            out.append(mark)
+        return pa.array(out, _HITS_ARROW)
+
+    return F.arrow_udf(merge, HITS)
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
                        item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
                        name: str = "_bench") -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, n_hit, hits (word runs covered by windows), items.
+    """``docs`` with a new struct column ``name``: n_words, n_hit, hits (word runs covered by windows), items.
 
     The patterns of one block are collected and sent to the tasks: at most about ``block_bytes``
     of them, plus one pattern.
     """
-    small_batches(docs.sparkSession)
+    check_free(docs, name)
+    spark = docs.sparkSession
+    small_batches(spark)
     windows = cut_lineage(item_windows(benchmark, window, item_id, item_text).withColumn(
         "bytes", F.octet_length("pattern") + F.octet_length(F.array_join("items", ",")) + 16))
     total = windows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes))
-    for block in range(blocks):
+
+    def marked(texts: DataFrame, block: int) -> DataFrame:
         part = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block) if blocks > 1 else windows
         patterns = Patterns([(r["pattern"], r["items"]) for r in part.select("pattern", "items").orderBy("pattern").collect()])
-        if block == 0:
-            docs = docs.withColumn(name, _first_block(patterns)(plain(text_col)))
-        else:
-            docs = cut_lineage(docs).withColumn(name, _next_block(patterns)(plain(text_col), F.col(name)))
-    return docs
-
-
-def _first_block(patterns: Patterns):
-    def mark(texts: pa.Array) -> pa.Array:
-        return _mark(texts, None, patterns)
-
-    return F.arrow_udf(mark, HITS)
-
-
-def _next_block(patterns: Patterns):
-    def mark(texts: pa.Array, before: pa.Array) -> pa.Array:
-        return _mark(texts, before, patterns)
-
-    return F.arrow_udf(mark, HITS)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+        return texts.withColumn("marks", _marker(patterns)("text"))
+
+    text = plain(text_col).alias("text")
+    rows = marked(docs.select(packed(docs), text), 0)
+    if blocks > 1:
+        key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+        later = None
+        for block in range(1, blocks):
+            found = marked(docs.select(text), block).where("marks.n_hit > 0").select(*key, "marks").groupBy("k1", "k2").agg(
+                F.first("marks").alias("marks"))  # one row per distinct text that this block hits
+            found = write_and_read(found, new_folder(spark, "bench-block"))
+            later = found if later is None else later.unionByName(found)
+        merged = later.groupBy("k1", "k2").agg(F.flatten(F.collect_list("marks.hits")).alias("hits"), F.flatten(F.collect_list("marks.items")).alias("items"))
+        merged = write_and_read(merged, new_folder(spark, "bench-hits"))
+        joined = rows.select("row", "marks", *key).join(merged, ["k1", "k2"], "left")
+        rows = joined.select("row", _merger()("marks", "hits", "items").alias("marks"))
+    return rows.select(*unpacked(docs), F.col("marks").alias(name))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without a word inside an occurrence of any window; their columns as they were."""
-    marked = mark_contamination(docs, benchmark, name="_bench", **options)
-    return marked.where(F.col("_bench.n_hit") == 0).select(*[plain(c) for c in docs.columns])
+    marked = mark_contamination(docs.select(packed(docs), plain(text_col).alias("text")), benchmark, name="marks", **options)
+    return marked.where("marks.n_hit = 0").select(*unpacked(docs))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the hit runs."""
-    marked = mark_contamination(docs.select("doc_id", "text"), benchmark, name="_bench")
-    hit = F.col("_bench")
+    marked = mark_contamination(docs.select("doc_id", "text"), benchmark, name="marks")
+    hit = F.col("marks")
     return marked.select(
         "doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"),
         F.size(hit["items"]).cast("bigint").alias("n_items"),
