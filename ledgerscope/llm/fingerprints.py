@@ -7,26 +7,31 @@ same filled bins borrow alike. The low-order byte of each bin is stored, 128 byt
 hexadecimal. Equal bytes are corrected for chance: two unlike bins agree in 1 of 256 cases.
 
 Everything is DataFrame functions; a fingerprint needs no shuffle. To compare each document
-with the next by id, texts are dealt once into slots of neighbouring ids.
+with the next by id, texts are dealt once into slots of neighbouring ids, as many as the bytes of
+the table ask for.
 
 Defined results: a text without words, null included, has the empty fingerprint; two empty
 ones have likeness 1, an empty and another one 0. A text of one to four words is one
-shingle. Rows of one id follow each other by the hash of their text; a null id comes last. A
-single row is its own successor.
+shingle. Ids may be of any type that Spark orders. Rows of one id, null ids included, follow
+each other by the hash of their text; null ids come last. A single row is its own successor.
+Other columns may have any names but those of the output.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerscope.llm.texts import let, plain, row_key
+from ledgerscope.llm.texts import check_free, let, packed, plain, row_key
+from ledgerscope.session import new_folder, write_and_read
 
 SHINGLE = 5
 BINS, BITS = 128, 8
 _BIN_BITS = BINS.bit_length() - 1
 _TRIES = 8
+SLOT_BYTES = 16 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,40 +116,65 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(some, F.greatest(F.lit(0.0), estimate)).when(F.length(a) == F.length(b), 1.0).otherwise(0.0)
 
 
+def _slot(cuts: Column, rows_id: Column, rows_key: Column) -> Column:
+    """How many cuts are at or before a row, less one; among every 64th cut first, then among the 64 from there."""
+    def reached(c: Column) -> Column:
+        same = c["id"].eqNullSafe(rows_id) & (c["key"] <= rows_key)
+        return F.coalesce(c["id"] > rows_id, F.lit(False)) | same | (c["id"].isNotNull() & rows_id.isNull())
+
+    coarse = F.size(F.filter(F.filter(cuts, lambda c, i: i % 64 == 0), reached)) - 1
+    return coarse * 64 + F.size(F.filter(F.slice(cuts, coarse * 64 + 1, F.lit(64)), reached)) - 1
+
+
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", slots: int | None = None,
-              prefix: str = "next_", prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+              prefix: str = "next_", extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Add ``columns`` of the next row by falling id; after the last row comes the first.
 
-    ``prepare`` adds columns to the rows before they are dealt out, once per row.
+    ``extra`` (name -> function of the text) adds columns that are computed once per row, before rows are dealt out;
+    ``columns`` may name them too.
 
-    Ids are cut at quantiles into slots, and each slot also gets the first row of the following
-    one, so no task orders more than a slot and every text is shuffled once.
+    Ids and hashes of texts alone are sorted first; the first row of each range cuts the order into slots. Each slot also
+    gets the first row of the following one, so no task orders more than a slot and every text is shuffled once.
+    A slot holds about ``SLOT_BYTES`` of text, whatever the size of the table.
     """
-    spark = docs.sparkSession
-    slots = slots or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.approxQuantile([id_col], [i / slots for i in range(1, slots)], 0.2 / slots)[0] if slots > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    above = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= plain(id_col))) if cuts else F.lit(0)
-    slot = F.when(plain(id_col).isNull(), -1).otherwise(above)
-    names = {"_nx_id": plain(id_col), "_nx_key": row_key(plain(text_col)), "_nx_slot": slot.cast("int")}
-    placed = docs.withColumns(names)
-    lowest = placed.groupBy("_nx_slot").agg(F.max("_nx_id").alias("i"))
-    heads = lowest.withColumnRenamed("_nx_slot", "s").join(
-        placed.select(*names), (F.col("_nx_slot") == F.col("s")) & F.col("_nx_id").eqNullSafe(F.col("i"))).groupBy("s", "i").agg(
-        F.min("_nx_key").alias("k"))
-    found = sorted(((r["s"], r["i"], r["k"]) for r in heads.collect()), reverse=True)  # one row per slot
+    spark, extra = docs.sparkSession, extra or {}
+    check_free(docs, *extra, *[prefix + c for c in columns])
+    names = {"id": plain(id_col), "key": row_key(plain(text_col))}
+    narrow = docs.select(*[c.alias(n) for n, c in names.items()], F.coalesce(F.octet_length(plain(text_col)), F.lit(0)).alias("bytes"))
+    narrow = write_and_read(narrow, new_folder(spark, "next-order"))
+    if not slots:
+        size = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        slots = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLOT_BYTES))
+    order = [F.col("id").desc_nulls_last(), F.col("key")]
+    ranged = narrow.select("id", "key").repartitionByRange(slots, *order).sortWithinPartitions(*order).select(
+        "id", "key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    found = ranged.groupBy("part").agg(F.min(F.struct("place", "id", "key")).alias("first")).orderBy("part").collect()  # one row per slot
+    wanted = [*docs.columns, *extra]
     if not found:
-        return prepare(docs).withColumns({prefix + c: F.lit(None).cast("string") for c in columns})
-    before = [found[i - 1][0] for i in range(len(found))]
-    guests = F.broadcast(spark.createDataFrame(
-        [(i, k, s) for (_, i, k), s in zip(found, before)],
-        f"_nx_i {placed.schema['_nx_id'].dataType.simpleString()}, _nx_k bigint, _nx_s int"))
-    visiting = placed.join(guests, (F.col("_nx_key") == F.col("_nx_k")) & F.col("_nx_id").eqNullSafe(F.col("_nx_i"))).dropDuplicates(
-        ["_nx_id", "_nx_key"]).withColumn("_nx_slot", F.col("_nx_s")).drop("_nx_i", "_nx_k", "_nx_s")
-    both = prepare(placed).withColumn("_nx_guest", F.lit(False)).unionByName(prepare(visiting).withColumn("_nx_guest", F.lit(True)))
-    order = Window.partitionBy("_nx_slot").orderBy("_nx_guest", F.col("_nx_id").desc_nulls_last(), "_nx_key")
-    ahead = both.withColumns({prefix + c: F.lead(plain(c)).over(order) for c in columns})
-    return ahead.where(~F.col("_nx_guest")).drop(*names, "_nx_guest")
+        return docs.withColumns({n: F.lit(None).cast("string") for n in [*extra, *[prefix + c for c in columns]]})
+    kind = narrow.schema["id"].dataType.simpleString()
+    listed = [{"id": r["first"]["id"], "key": r["first"]["key"]} for r in found]
+    # One constant, folded from text, instead of a column expression per cut.
+    cuts = F.from_json(F.lit(json.dumps(listed, default=str)), f"array<struct<id:{kind},key:bigint>>")
+    rows = docs.select(packed(docs), *[c.alias(n) for n, c in names.items()])
+    placed = rows.withColumn("slot", _slot(cuts, F.col("id"), F.col("key")))
+    guests = F.broadcast(spark.createDataFrame([(c["id"], c["key"], (i - 1) % len(listed)) for i, c in enumerate(listed)],
+                                               f"g_id {kind}, g_key bigint, g_slot int"))
+    visiting = rows.join(guests, (F.col("key") == F.col("g_key")) & F.col("id").eqNullSafe(F.col("g_id"))).dropDuplicates(
+        ["id", "key"]).select("row", "id", "key", F.col("g_slot").alias("slot"))
+    text = F.col("row").getField(text_col)
+
+    def computed(df: DataFrame, guest: bool) -> DataFrame:
+        return df.select("row", "id", "key", "slot", F.lit(guest).alias("guest"), F.struct(
+            F.lit(0).alias("none"), *[f(text).alias(n) for n, f in extra.items()]).alias("extra"))
+
+    both = computed(placed, False).unionByName(computed(visiting, True)).repartition(len(listed), "slot")
+    following = Window.partitionBy("slot").orderBy("guest", *order)
+    value = {c: F.col("extra" if c in extra else "row").getField(c) for c in wanted}
+    ahead = both.select("guest", *[value[c].alias(f"own_{i}") for i, c in enumerate(wanted)],
+                        *[F.lead(value[c]).over(following).alias(f"next_{i}") for i, c in enumerate(columns)])
+    return ahead.where(~F.col("guest")).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(wanted)],
+                                               *[F.col(f"next_{i}").alias(prefix + c) for i, c in enumerate(columns)])
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -155,13 +185,14 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
-    """``docs`` with their fingerprints."""
+    """``docs`` with their fingerprints, in a column that is new."""
+    check_free(docs, name)
     return docs.withColumn(name, fingerprint(plain(text_col)))
 
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    ahead = with_next(docs.select("doc_id", "text"), ["text", "fingerprint"], prepare=fingerprint_documents)
+    ahead = with_next(docs.select("doc_id", "text"), ["text", "fingerprint"], extra={"fingerprint": fingerprint})
     edited = ahead.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "fingerprint",
                           "next_fingerprint", edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     final = edited.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
