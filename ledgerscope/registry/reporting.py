@@ -30,7 +30,11 @@ def report_catalogue_runner(ws: Workspace) -> DataFrame:
 def run_manifest(ws: Workspace) -> DataFrame:
     folder, _ = _written_catalogue(ws)
     record = ws.spark.read.json(f"{folder}/query_manifest", multiLine=True)
-    return record.select("query_count", "successful_queries", "failed_queries")
+    each = record.select("query_count", "successful_queries", "failed_queries", F.explode("queries").alias("q"))
+    return each.groupBy("query_count", "successful_queries", "failed_queries").agg(
+        F.sum("q.row_count").alias("exported_rows"), F.sum("q.column_count").alias("exported_columns"),
+        F.max(F.struct("q.row_count", "q.name")).alias("m")).select(
+        "query_count", "successful_queries", "failed_queries", "exported_rows", "exported_columns", F.col("m.name").alias("largest_report"))
 
 
 def query_catalog(ws: Workspace) -> DataFrame:

@@ -286,8 +286,9 @@ SQL = {
     "table_counts": tables_count(),
     "report_catalogue_runner": catalogue(),
     "query_catalog": catalogue(),
-    "run_manifest": "SELECT " + ", ".join(f"{b(v)} AS {n}" for n, v in (
-        ("query_count", str(len(REPORTS))), ("successful_queries", str(len(REPORTS))), ("failed_queries", "0"))),
+    "run_manifest": f"SELECT count(*) AS query_count, count(*) FILTER (WHERE status = 'success') AS successful_queries, "
+        f"count(*) FILTER (WHERE status <> 'success') AS failed_queries, {b('sum(row_count)')} AS exported_rows, "
+        f"{b('sum(column_count)')} AS exported_columns, max_by(name, (row_count, name)) AS largest_report FROM ({catalogue()})",
     "exported_report": REPORTS["03_customer_transaction_frequency"],
     "parameterised_query": "SELECT daypart, count(*) AS transaction_count, "
         f"{rnd('max(transaction_amount_inr)', 6)} AS largest_amount FROM fact WHERE transaction_amount_inr >= 250 "
