@@ -23,20 +23,29 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
     return key_problems(df, key).select("duplicate_rows")
 
 
+def _refuse(key: str, null_keys: int, duplicate_rows: int) -> None:
+    if null_keys:
+        raise ValueError(f"{key} contains missing values ({null_keys} rows)")
+    if duplicate_rows:
+        raise ValueError(f"{key} must be unique ({duplicate_rows} surplus rows)")
+
+
 def assert_unique_key(df: DataFrame, key: str) -> DataFrame:
     """Return ``df`` when ``key`` is never null and unique, else raise."""
     found = key_problems(df, key).first()
-    if found["null_keys"]:
-        raise ValueError(f"{key} contains missing values ({found['null_keys']} rows)")
-    if found["duplicate_rows"]:
-        raise ValueError(f"{key} must be unique ({found['duplicate_rows']} surplus rows)")
+    _refuse(key, found["null_keys"], found["duplicate_rows"])
     return df
 
 
 def one_to_one_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on a key that both sides must hold at most once."""
-    assert_unique_key(left, key)
-    assert_unique_key(right, key)
+    """Join on a key that both sides must hold at most once; one pass over the keys checks both."""
+    sides = left.select(key, F.lit(0).alias("_side")).union(right.select(key, F.lit(1)))
+    per_key = sides.groupBy(key).agg(*[F.count_if(F.col("_side") == s).alias(f"n{s}") for s in (0, 1)])
+    found = per_key.agg(*[c for s in (0, 1) for c in (
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col(f"n{s}"))), F.lit(0)).alias(f"null{s}"),
+        F.coalesce(F.sum(F.greatest(F.col(f"n{s}") - 1, F.lit(0))), F.lit(0)).alias(f"more{s}"))]).first()
+    for s in (0, 1):
+        _refuse(key, found[f"null{s}"], found[f"more{s}"])
     return left.join(right, key, how)
 
 
