@@ -163,29 +163,6 @@ def plain(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-FILTER_BITS = 1 << 23
-
-
-def maybe_among(keys: DataFrame, name: str):
-    """Column function of a hash: false only if it is not among the column ``name`` of ``keys``.
-
-    A bitmap of ``FILTER_BITS`` (1 MB) that tasks receive, whatever the number of keys; with very many keys it
-    lets everything pass. It spares rows a shuffle that a join would not keep; the join decides.
-    """
-    place = F.pmod(F.col(name), F.lit(FILTER_BITS))
-    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in words.collect():  # FILTER_BITS / 64 rows at most
-        bitmap[r["word"]] = np.uint64(r["bits"] & _MASK)
-
-    def test(hashes: pa.Array) -> pa.Array:
-        at = hashes.to_numpy() % FILTER_BITS
-        return pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return F.arrow_udf(test, "boolean")
-
-
 def packed(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that no internal column can clash with them; see :func:`unpacked`."""
     return F.struct(*[plain(c) for c in df.columns]).alias("row")
