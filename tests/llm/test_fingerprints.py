@@ -63,3 +63,56 @@ def test_likeness_estimates_jaccard(spark):
 def test_no_python_on_the_executors(spark):
     plan = fingerprint_digest(documents(spark).where("doc_id is not null"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_fingerprint(text):
+    """One-permutation MinHash in plain Python: the smallest hash per bin, borrowed along the bin's probes, lowest byte."""
+    import re
+
+    import xxhash
+
+    def of_long(x, seed):
+        return xxhash.xxh64_intdigest((x & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed)
+
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    hashed = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded) if w]
+    if not hashed:
+        return ""
+    if len(hashed) >= 5:
+        found = []
+        for i in range(len(hashed) - 4):
+            h = 42
+            for x in hashed[i:i + 5]:
+                h = of_long(x, h)
+            found.append(h)
+    else:
+        blank = 42
+        for x in hashed:
+            blank = of_long(x, blank)
+        found = [blank]
+    least = {}
+    for h in found:
+        signed = h - (1 << 64) if h >> 63 else h
+        least[(signed >> 57) + 64] = min(least.get((signed >> 57) + 64, signed), signed)
+    out = []
+    for b in range(128):
+        at, t, step = b, 0, (b + 1) * 0x9E3779B97F4A7C15 >> 20
+        while at not in least:
+            at = ((step >> 7) + t * (step | 1)) % 128
+            t += 1
+        out.append(f"{least[at] & 0xFF:02X}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_plain_minhash(spark):
+    got = documents(spark).select("text", fingerprint(F.col("text")).alias("f")).collect()
+    assert len(got) > 30 and all(r["f"] == brute_fingerprint(r["text"]) for r in got)
+
+
+def test_ids_of_any_type_and_many_rows_of_one_id(spark):
+    table = [(None if i % 3 else f"id {i % 20:03d}", f"text {i} " + "w" * (i % 7)) for i in range(200)]
+    docs = spark.createDataFrame(table, "name string, text string")
+    found = [sorted(((r["name"], r["text"], r["next_text"]) for r in with_next(docs, ["text"], id_col="name", slots=n).collect()), key=repr) for n in (1, 7, 90)]
+    assert found[0] == found[1] == found[2] and len({x[2] for x in found[0]}) == 200
+    named = [x for x in found[0] if x[0] is not None]
+    assert sum(dict((t, n) for n, t in table)[x[2]] is None for x in named) == 1  # only the last named row is followed by a null id

@@ -50,13 +50,21 @@ def test_ownership_separates_copied_from_owned(spark):
 
 
 def test_a_value_in_many_rows_of_one_owner_is_copied(spark):
-    table = [(i, "passwd=example42 and Zz0Zz0Zz0Zz0Zz0Zz0Zz0 " + ("passwd=fewrows77 Yy1Yy1Yy1Yy1Yy1Yy1Yy1" if i < 99 else ""), "en", "a", 0, "k", "i", 0)
+    table = [(i, "passwd=example42 and Zz0Zz0Zz0Zz0Zz0Zz0Zz0 " + ("passwd=fewrows77 Yy1Yy1Yy1Yy1Yy1Yy1Yy1" if i < 99 else "") + f" text {i}", "en", "a", 0, "k", "i", 0)
              for i in range(100)]
     by = {r["doc_id"]: r for r in secrets_digest(spark.createDataFrame(table, SCHEMA)).collect()}
     assert by[99]["spans"] == by[99]["copied_spans"] == "assign:0:16" and by[99]["owned_spans"] == ""
     assert by[0]["copied_spans"] == "assign:0:16" and by[0]["owned_spans"].count("assign") == by[0]["owned_spans"].count("owned") == 1
 
 
+def test_copies_of_one_document_do_not_make_its_values_copied(spark):
+    table = [(i, "passwd=reallive1 and Zz0Zz0Zz0Zz0Zz0Zz0Zz0", "en", "a", 0, "k", "i", 0) for i in range(200)]
+    for r in secrets_digest(spark.createDataFrame(table, SCHEMA)).collect():
+        assert r["copied_spans"] == "" and r["spans"] == r["owned_spans"] and r["spans"].count("owned") == 1
+    found = scan_secrets(spark.createDataFrame(table, SCHEMA)).first()["found"]
+    assert {(s["n_owners"], s["n_repos"], s["verdict"]) for s in found} == {(1, 1, "owned")}
+
+
 def test_empty_table(spark):
     assert secrets_digest(empty(spark)).count() == 0
 
