@@ -46,9 +46,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[sc.applicationId]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """What this application writes lies below one folder."""
+    return f"{shared_folder(spark).rstrip('/')}/ledgerscope-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_intermediates(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder; call it once its results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

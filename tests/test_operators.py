@@ -110,3 +110,23 @@ def test_first_row_takes_missing_orders_last(spark):
 
     df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("b", None, 3)], "k string, o int, v int")
     assert sorted(tuple(r) for r in first_row_per_key(df, "k", ["o", "v"]).collect()) == [("a", 5, 2), ("b", None, 3)]
+
+
+def test_intermediates_are_removed_on_request(tmp_path):
+    """In an application of its own, as the folder belongs to the whole application."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import os
+from ledgerscope.session import build_session, new_folder, remove_intermediates, write_and_read
+spark = build_session("cleanup", master="local[1]", shuffle_partitions=1)
+assert write_and_read(spark.range(3), new_folder(spark, "kept")).count() == 3
+own = lambda: sum(n.startswith("ledgerscope-") for n in os.listdir({str(tmp_path)!r}))
+print(own(), remove_intermediates(spark), own())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["1", "True", "0"], done.stderr[-2000:]
