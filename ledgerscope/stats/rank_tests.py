@@ -53,7 +53,7 @@ def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster",
     """Tie-corrected H and p-value per feature, smallest p first. Values are ranked at ``tie_digits`` decimals, or as they are (None).
 
     Rows are reduced to counts per (feature, value, cluster); a distributed
-    running total over the distinct values gives mid-ranks. Features seen in
+    running total over the distinct values gives mid-ranks, and one aggregation of these all sums. Features seen in
     fewer than two clusters are left out; a constant feature has no statistic.
     """
     require_columns(df.columns, [cluster], "Segmented table")
@@ -66,14 +66,13 @@ def kruskal_wallis(df: DataFrame, features: list[str], cluster: str = "cluster",
         F.sum("n").alias("ties"), F.map_from_entries(F.collect_list(F.struct("_cluster", "n"))).alias("by_cluster"))
     ranked = with_running_total(packed, "feature", F.col("v"), "ties", "upto")
     ranked = ranked.withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2.0)
-    ties = F.col("ties").cast("double")
-    whole = ranked.groupBy("feature").agg(
-        F.sum("ties").alias("total"), F.sum(ties * ties * ties - ties).alias("tied"))
-    groups = ranked.select("feature", "rank", F.explode("by_cluster").alias("_cluster", "n")).groupBy(
-        "feature", "_cluster").agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n")).alias("rank_sum"))
-    squares = groups.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("cluster_count"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("squares"))
-    both = squares.join(whole, "feature").where(F.col("cluster_count") >= 2)
+    # A value shared by t rows adds t**3 - t to the tie correction; each of its rows carries t**2 - 1 of that.
+    each = ranked.select("feature", "rank", (F.col("ties").cast("double") * F.col("ties") - 1).alias("tied"), F.explode("by_cluster").alias("_cluster", "n"))
+    groups = each.groupBy("feature", "_cluster").agg(
+        F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n")).alias("rank_sum"), F.sum(F.col("tied") * F.col("n")).alias("tied"))
+    both = groups.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("cluster_count"), F.sum("n").alias("total"), F.sum("tied").alias("tied"),
+        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("squares")).where(F.col("cluster_count") >= 2)
     size = F.col("total").cast("double")
     raw = F.lit(12.0) / (size * (size + 1)) * F.col("squares") - 3 * (size + 1)
     correction = 1 - F.col("tied") / (size * size * size - size)
