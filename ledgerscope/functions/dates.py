@@ -13,9 +13,10 @@ DAYS_PER_YEAR = 365.2425
 _LAST_REPRESENTABLE_DAY = "2262-04-11"
 
 
-# One pass of one pattern each; text of any other shape leaves no digits and fails the cast.
+# Text of any other shape leaves no digits and fails the cast.
 _SHORT_DATE = r"^(?:(\d{1,2})/(\d{1,2})/(\d\d)|(?s:.*))$"
-_BIRTH_DATE = r"^(?:(\d{1,2})/(\d{1,2})/(?:(?:00)?(\d\d)|([1-9]\d{3}))|(?s:.*))$"
+_SHORT_BIRTH_YEAR = r"^(?<day>\d{1,2}/\d{1,2}/)(?:00)?(?<year>\d\d)$"
+_BIRTH_DATE = r"^(?:(\d{1,2})/(\d{1,2})/([1-9]\d{3})|(?s:.*))$"
 
 
 def parse_transaction_date(c: Column) -> Column:
@@ -26,10 +27,8 @@ def parse_transaction_date(c: Column) -> Column:
 
 def dob_candidate(c: Column) -> Column:
     """``d/m/yy`` or ``d/m/yyyy`` as a date; years below 100 belong to the 1900s."""
-    # '#yy-m-d' for short years, 'yyyy#-m-d' for full ones.
-    marked = F.regexp_replace(strip_blank(c), _BIRTH_DATE, "$4#$3-$2-$1")
-    full = F.replace(marked, F.lit("#-"), F.lit("-"))
-    return F.replace(full, F.lit("#"), F.lit("19")).try_cast("date")
+    full_year = F.regexp_replace(strip_blank(c), _SHORT_BIRTH_YEAR, "${day}19${year}")
+    return F.regexp_replace(full_year, _BIRTH_DATE, "$3-$2-$1").try_cast("date")
 
 
 def resolve_dob(born: Column, reference_date: Column) -> Column:

@@ -29,6 +29,7 @@ FEATURE_DOUBLES = [
     "weekend_transaction_share", *[f"{p}_transaction_share" for p in DAYPARTS], "balance_to_total_spend_ratio",
     "log_total_transaction_amount", "log_average_transaction_amount", "log_average_account_balance",
 ]
+# The features of the segmentation.
 SEGMENTATION = [
     "customer_age", "log_total_transaction_amount", "log_average_transaction_amount", "log_average_account_balance",
     "transaction_count", "transaction_amount_cv", "account_balance_cv", "active_days", "average_transaction_hour",
