@@ -303,9 +303,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, passages: bool = False,
         F.first("starts", True).alias("starts"), F.first("ends", True).alias("ends"), F.sum("n_shared").alias("n_shared"))
     ranges = write_and_read(ranges, new_folder(spark, "suffix-ranges"))
     other = ranges.withColumnsRenamed({"id": "other_id", "key": "other_key"})
-    keyed = docs.select(packed(docs), plain(text_col).alias("text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
+    keyed = docs.select(packed(docs), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
     met = keyed.join(other, (F.col("key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), "left")
-    cut = met.select("row", removal_udf()("text", "starts", "ends").alias("cut"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    cut = met.select("row", removal_udf()(F.col("row").getField(text_col), "starts", "ends").alias("cut"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
     return cut.select("row", "cut.left", "cut.n_removed", "cut.n_spans", "n_shared")
 
 
