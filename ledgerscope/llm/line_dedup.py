@@ -76,11 +76,11 @@ def kept_text(text: Column, keep: Column) -> Column:
 def _attach(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """(row, text, n_lines, n_dropped, keep): all columns of ``docs`` in a struct, and the bitmap."""
     lost = dropped_positions(docs, id_col, text_col, min_chars, min_docs).toDF("other_id", "other_key", "dropped")
-    rows = docs.select(packed(docs), plain(text_col).alias("text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"),
+    rows = docs.select(packed(docs), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"),
                        F.size(split_lines(plain(text_col))).alias("n_lines"))
     found = rows.join(lost, (F.col("key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return found.select("row", "text", "id", "key", "n_lines", F.size(dropped).alias("n_dropped"), keep_runs(dropped, F.col("n_lines")).alias("keep"))
+    return found.select("row", F.col("row").getField(text_col).alias("text"), "id", "key", "n_lines", F.size(dropped).alias("n_dropped"), keep_runs(dropped, F.col("n_lines")).alias("keep"))
 
 
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
