@@ -32,5 +32,6 @@ def counts(*hidden: str) -> list[int]:
 def test_without_the_subpackage_or_what_it_needs():
     found, operators, orphans, warned = counts("ledgerscope.llm")
     assert found > 190 and operators == 0 and orphans == 0 and warned == 0
-    assert counts("xxhash")[:3] == [found, 0, 0] and counts("numpy_is_never_hidden")[0] >= found
-    assert counts("xxhash")[3] >= 1 or counts("xxhash")[0] > found
+    there = os.path.isdir(os.path.join(ROOT, "ledgerscope", "llm"))
+    assert counts("xxhash") == [found, 0, 0, int(there)]
+    assert (counts("no_such_module")[0] > found) == there
