@@ -33,5 +33,6 @@ def test_without_the_subpackage_or_what_it_needs():
     found, operators, orphans, warned = counts("ledgerscope.llm")
     assert found > 190 and operators == 0 and orphans == 0 and warned == 0
     there = os.path.isdir(os.path.join(ROOT, "ledgerscope", "llm"))
-    assert counts("xxhash") == [found, 0, 0, int(there)]
+    *names, warned = counts("xxhash")
+    assert names == [found, 0, 0] and (warned > 0) == there
     assert (counts("no_such_module")[0] > found) == there
