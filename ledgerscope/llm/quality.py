@@ -1,15 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled, then a two-layer network.
 
 Every token owns a sparse random vector that its hash determines. A token's word vector is
-the sum of the random vectors of its neighbours and its own, over the fitting texts. Tokens are words,
+the sum of the random vectors of its neighbours and its own, over all documents. Tokens are words,
 runs of punctuation, and marks for a word's shape and for a word that repeats one just
 before; word and punctuation hashes share 2**15 places. A document is the mean of its
 tokens' vectors. A network with one hidden layer of tanh units maps it to a log-odds, which a
 temperature, fitted on labelled rows that the network has not seen, calibrates.
 
-Fitting takes about ``TRAIN_ROWS`` labelled rows chosen by hash (all, where there are fewer).
-Word vectors are summed in tasks; only tables of fixed size and the pooled vectors of the
-fitting rows reach the driver. Every text is then scored whole.
+Word vectors need no labels and are summed in tasks over the whole corpus; their table has a fixed size. The
+network takes about ``TRAIN_ROWS`` labelled rows chosen by hash (all, where there are fewer). Only that table and the
+pooled vectors of the fitting rows reach the driver. Every text is then scored whole.
 
 Defined results: a null or empty text has the zero vector and the score of one. Without
 labelled rows every score is 0.5. Several labels of one id count as their mean, rounded up
@@ -35,7 +35,6 @@ MARKS = 6  # lower, title, upper and other shapes; a word equal to the last one,
 REACH = 2
 HIDDEN = 32
 THRESHOLD = 0.7
-_FIT_TASKS = 12
 _SEED = 20240607
 PUNCTUATION = np.where((np.arange(256) > 0x20) & (np.arange(256) < 0x7F) & (WORD_BYTES == 0), np.arange(256), 0).astype(np.uint8)
 _UPPER = (np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A)
@@ -126,13 +125,13 @@ def _sum_contexts(batches):
     places = np.flatnonzero(met)
     for low in range(0, len(places), 4096):
         part = places[low:low + 4096]
-        values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * DIMENSIONS, pa.int32()), pa.array(total[part].ravel().astype(np.float64)))
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * DIMENSIONS, pa.int32()), pa.array(total[part].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(part), values], names=["place", "v"])
 
 
 def word_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit vectors per token place; places that no text holds keep their random vector."""
-    parts = texts.select(plain(text_col)).repartition(_FIT_TASKS).mapInArrow(_sum_contexts, "place bigint, v array<double>")
+    parts = texts.select(plain(text_col)).mapInArrow(_sum_contexts, "place bigint, v array<float>")
     summed = parts.groupBy("place").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIMENSIONS)])
     found = summed.toPandas()  # at most PLACES + MARKS rows
     out = random_vectors()
@@ -213,7 +212,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         return QualityModel(None, None)
-    vectors = word_vectors(sample)
+    vectors = word_vectors(docs, text_col)
     rows = sample.select(_pool(vectors)(F.col("text")).alias("x"), "_y", "_hold").toPandas()  # fixed-size vectors of the sample
     rows = rows.sort_values("x", key=lambda c: c.map(bytes), kind="stable")
     x = np.stack([np.frombuffer(v) for v in rows["x"]])
@@ -257,8 +256,8 @@ def learnable(id_col: Column) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of at least ``threshold``; their columns as they were."""
     model = fit_quality(docs, labels.where(learnable(F.col("doc_id"))))
-    rows = docs.select(packed(docs), F.col("text"))
-    return rows.where(score_column(model, F.col("text")) >= threshold).select(*unpacked(docs)) if model.network else docs
+    rows = docs.select(packed(docs))
+    return rows.where(score_column(model, F.col("row.text")) >= threshold).select(*unpacked(docs)) if model.network else docs
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
