@@ -140,8 +140,9 @@ def leaves_of(nodes: DataFrame, depth: int, leaf_rows: int) -> DataFrame:
     level, found = spread(nodes, 0), None
     for k in range(depth):
         level = write_and_read(level, new_folder(spark, "paths"))
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        held = level.join(sizes, "path")
+        # Written before they are joined, at every size by sorting: such a join can split a path that very many nodes share.
+        sizes = write_and_read(level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), new_folder(spark, "path-sizes"))
+        held = level.join(sizes.hint("merge"), "path")
         done = F.lit(True) if k == depth - 1 else F.col("size") <= leaf_rows
         leaves = held.where(done).select(F.col("path").alias("leaf"), "node", "size")
         found = leaves if found is None else found.unionByName(leaves)
@@ -156,7 +157,8 @@ def distinct_leaves(leaves: DataFrame) -> DataFrame:
     content = leaves.groupBy("leaf", "size").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s1"),
                                                  F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("s2"))
     kept = content.groupBy("size", "s1", "s2").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return leaves.join(kept, "leaf", "left_semi")
+    kept = write_and_read(kept, new_folder(leaves.sparkSession, "leaf-names"))
+    return leaves.join(kept.hint("merge"), "leaf", "left_semi")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
