@@ -7,6 +7,8 @@ occurrence, every other occurrence is removed. Repeats inside a document are fou
 where it is cut, so each document sends a digest at most once and a digest that many
 documents hold is counted by partial sums; the join back splits its rows. A tail shorter
 than the smallest chunk belongs to the chunk before it, so a common ending alone stays.
+Neighbouring chunks that go form a run; a run of fewer than ``least_run`` bytes stays unless it is
+the whole text, so that documents which happen to share a short phrase are left alone.
 
 Defined results: a null or empty text has no chunks. Rows that share an id count as
 one document. A null id keeps a chunk only if no other id has it. Cuts lie between
@@ -24,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.texts import mix, packed, plain, row_key, text_chunks, unpacked
+from ledgerscope.llm.texts import mix, packed, plain, row_key, small_batches, text_chunks, unpacked
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 32, 5, 256
+LEAST_RUN = 64
 _REACH = 32
 _BLOCK = 1 << 20
 _CHUNKS = "start bigint, length int, d1 bigint, d2 bigint, again boolean"
@@ -125,8 +128,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lost.groupBy("id", "key").agg(F.collect_set(F.struct("start", "length")).alias("lost"))
 
 
-def cut_out(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[pa.Array, list[int], list[int]]:
-    """Texts as bytes without the given ranges, with the bytes and the maximal runs removed. Ranges are lists per row."""
+def cut_out(texts: pa.Array, starts: pa.Array, ends: pa.Array, least: int = 0) -> tuple[pa.Array, list[int], list[int]]:
+    """Texts as bytes without the given ranges, with the bytes and the maximal runs removed. Ranges are lists per row.
+
+    Runs of fewer than ``least`` bytes stay unless they are the whole text.
+    """
     left, removed, runs, row0 = [], [], [], 0
     starts, ends = starts.to_pylist(), ends.to_pylist()
     for data, bounds in text_chunks(texts):
@@ -137,6 +143,7 @@ def cut_out(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[pa.Array
                     merged[-1][1] = max(merged[-1][1], e)
                 else:
                     merged.append([s, e])
+            merged = [m for m in merged if m[1] - m[0] >= min(least, len(piece))]
             at, parts = 0, []
             for s, e in merged:
                 parts.append(piece[at:s].tobytes())
@@ -149,10 +156,10 @@ def cut_out(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> tuple[pa.Array
     return left, removed, runs
 
 
-def removal_udf():
+def removal_udf(least: int = 0):
     """Column function (text, starts, ends) -> struct of the bytes left, the bytes removed and the removed runs."""
     def remove(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        left, removed, runs = cut_out(texts, starts, ends)
+        left, removed, runs = cut_out(texts, starts, ends, least)
         return pa.StructArray.from_arrays(
             [pa.array(left, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
             ["left", "n_removed", "n_spans"])
@@ -160,25 +167,26 @@ def removal_udf():
     return F.arrow_udf(remove, "left binary, n_removed bigint, n_spans bigint")
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int]) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int], least_run: int) -> DataFrame:
     """(row, left, n_removed, n_spans): all columns of ``docs`` in a struct, and what is left of the text."""
+    small_batches(docs.sparkSession)
     lost = repeated_chunks(docs, id_col, text_col, sizes).select(
         F.col("id").alias("other_id"), F.col("key").alias("other_key"), F.transform("lost", lambda s: s["start"]).alias("starts"),
         F.transform("lost", lambda s: s["start"] + s["length"]).alias("ends"))
-    keyed = docs.select(packed(docs), plain(text_col).alias("text"), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
+    keyed = docs.select(packed(docs), plain(id_col).alias("id"), row_key(plain(text_col)).alias("key"))
     found = keyed.join(lost, (F.col("key") == F.col("other_key")) & F.col("id").eqNullSafe(F.col("other_id")), "left")
-    return found.select("row", removal_udf()("text", "starts", "ends").alias("cut")).select("row", "cut.left", "cut.n_removed", "cut.n_spans")
+    return found.select("row", removal_udf(least_run)(F.col("row").getField(text_col), "starts", "ends").alias("cut")).select("row", "cut.left", "cut.n_removed", "cut.n_spans")
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 sizes: tuple[int, int, int] = (MIN_CHUNK, MASK_BITS, MAX_CHUNK)) -> DataFrame:
+                 sizes: tuple[int, int, int] = (MIN_CHUNK, MASK_BITS, MAX_CHUNK), least_run: int = LEAST_RUN) -> DataFrame:
     """The documents without repeated chunks; null texts and all other columns as they were."""
     left = F.when(F.col("row").getField(text_col).isNotNull(), F.decode("left", "UTF-8"))
-    return _joined(docs, id_col, text_col, sizes).select(*unpacked(docs, **{text_col: left}))
+    return _joined(docs, id_col, text_col, sizes, least_run).select(*unpacked(docs, **{text_col: left}))
 
 
 def chunk_dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document."""
-    found = _joined(docs.select("doc_id", "text"), "doc_id", "text", (MIN_CHUNK, MASK_BITS, MAX_CHUNK))
+    found = _joined(docs.select("doc_id", "text"), "doc_id", "text", (MIN_CHUNK, MASK_BITS, MAX_CHUNK), LEAST_RUN)
     return found.select("row.doc_id", F.octet_length(F.coalesce("row.text", F.lit(""))).cast("bigint").alias("n_bytes"),
                         "n_removed", "n_spans", F.sha2("left", 256).alias("kept_sha256"))
