@@ -2,7 +2,8 @@
 
 Three patterns give the base spans. A wider net adds long unquoted tokens that mix
 letters and digits. The value of every candidate is hashed and counted over the whole
-corpus: in how many owners and how many repositories does it occur? A value of at
+corpus: in how many owners and how many repositories does it occur? Equal texts of an owner
+are one repository, so copies of a document say nothing. A value of at
 least ``common_owners`` owners or ``common_repos`` repositories is a widely copied
 example, such as one from a manual; another one that a single owner holds looks live.
 Base spans always stay; a wide-net token becomes a span (kind ``owned``) only if it
@@ -12,7 +13,7 @@ Everything is DataFrame functions. Counts are partial sums first, so a value tha
 third of all rows hold costs one row per task; texts are scanned once and not shuffled.
 
 Defined results: a null text is empty and has no spans. A null owner counts as one
-owner of its own. Repeated rows are repositories of their own. Kept columns may have any name
+owner of its own. Kept columns may have any name
 but that of the output, ``found``.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.texts import packed, plain
+from ledgerscope.llm.texts import packed, plain, row_key
 from ledgerscope.session import new_folder, write_and_read
 
 # The base patterns, in the order in which kinds are listed.
@@ -73,7 +74,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
                  common_owners: int = 3, common_repos: int = COMMON_REPOS) -> DataFrame:
     """Columns ``keep`` plus ``found``: per row its spans with value, hash, n_owners, n_repos and verdict.
 
-    Each row of ``docs`` is a repository of its ``owner_col``. Verdicts are ``copied`` (``common_owners``
+    Each different text is a repository of its ``owner_col``. Verdicts are ``copied`` (``common_owners``
     or ``common_repos`` or more), ``owned`` (otherwise, one owner) and ``shared`` between them.
     """
     spark = docs.sparkSession
@@ -81,11 +82,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "sour
         raise ValueError("the input has columns of the output's names: ['found']")
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), plain(owner_col).cast("string").alias("_owner"),
-        candidate_spans(plain(text_col)).alias("_spans"), packed(docs.select(*[plain(c) for c in keep])))
+        row_key(plain(text_col)).alias("_text"), candidate_spans(plain(text_col)).alias("_spans"), packed(docs.select(*[plain(c) for c in keep])))
     rows = write_and_read(rows, new_folder(spark, "secret-candidates"))  # fixes the row numbers
     hashed = lambda s: F.sha2(s["value"], 256)
-    held = rows.select("_owner", F.explode(F.array_distinct(F.transform("_spans", hashed))).alias("hash"))
-    per_owner = held.groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("repos"))
+    held = rows.select("_owner", "_text", F.explode(F.array_distinct(F.transform("_spans", hashed))).alias("hash"))
+    per_owner = held.groupBy("hash", "_owner", "_text").agg(F.lit(1).alias("one")).groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("repos"))
     owners = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
     each = rows.where(F.size("_spans") > 0).select("_row", F.explode("_spans").alias("s")).select(
         "_row", "s", F.sha2("s.value", 256).alias("hash")).join(owners, "hash")
