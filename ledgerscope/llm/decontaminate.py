@@ -26,7 +26,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerscope.llm.texts import check_free, combine, packed, plain, scan_words, small_batches, text_chunks, unpacked
 from ledgerscope.session import cut_lineage, new_folder, write_and_read
@@ -198,32 +198,37 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     total = windows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes))
 
-    def marked(texts: DataFrame, block: int) -> DataFrame:
+    def marked(texts: DataFrame, block: int, text: Column) -> DataFrame:
         part = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block) if blocks > 1 else windows
         patterns = Patterns([(r["pattern"], r["items"]) for r in part.select("pattern", "items").orderBy("pattern").collect()])
-        return texts.withColumn("marks", _marker(patterns)("text"))
+        return texts.withColumn("marks", _marker(patterns)(text))
 
-    text = plain(text_col).alias("text")
-    rows = marked(docs.select(packed(docs), text), 0)
+    own = F.col("row").getField(text_col)
+    rows = marked(docs.select(packed(docs)), 0, own)
     if blocks > 1:
-        key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+        def key(text: Column) -> list[Column]:
+            return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
         later = None
         for block in range(1, blocks):
-            found = marked(docs.select(text), block).where("marks.n_hit > 0").select(*key, "marks").groupBy("k1", "k2").agg(
+            found = marked(docs.select(plain(text_col).alias("text")), block, F.col("text")).where("marks.n_hit > 0").select(*key(F.col("text")), "marks").groupBy("k1", "k2").agg(
                 F.first("marks").alias("marks"))  # one row per distinct text that this block hits
             found = write_and_read(found, new_folder(spark, "bench-block"))
             later = found if later is None else later.unionByName(found)
         merged = later.groupBy("k1", "k2").agg(F.flatten(F.collect_list("marks.hits")).alias("hits"), F.flatten(F.collect_list("marks.items")).alias("items"))
         merged = write_and_read(merged, new_folder(spark, "bench-hits"))
-        joined = rows.select("row", "marks", *key).join(merged, ["k1", "k2"], "left")
+        joined = rows.select("row", "marks", *key(own)).join(merged, ["k1", "k2"], "left")
         rows = joined.select("row", _merger()("marks", "hits", "items").alias("marks"))
     return rows.select(*unpacked(docs), F.col("marks").alias(name))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without a word inside an occurrence of any window; their columns as they were."""
-    marked = mark_contamination(docs.select(packed(docs), plain(text_col).alias("text")), benchmark, name="marks", **options)
-    return marked.where("marks.n_hit = 0").select(*unpacked(docs))
+    name = "marks"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    marked = mark_contamination(docs, benchmark, text_col=text_col, name=name, **options)
+    return marked.where(F.col(name)["n_hit"] == 0).select(*[plain(c) for c in docs.columns])
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
