@@ -262,9 +262,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     check_free(docs, lang_name, score_name)
     if not model.languages:
         return docs.withColumns({lang_name: F.lit(NO_LANGUAGE), score_name: F.lit(0.0)})
-    rows = docs.select(packed(docs), plain(text_col).alias("text"))
-    some = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = rows.withColumn("language", predictor(model)(F.lower(F.when(some, F.col("text")))))
+    rows, text = docs.select(packed(docs)), F.col("row").getField(text_col)
+    some = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    found = rows.withColumn("language", predictor(model)(F.lower(F.when(some, text))))
     out = [(lang_name, F.when(some, F.col("language.lang")).otherwise(NO_LANGUAGE)),
            (score_name, F.when(some, F.col("language.score")).otherwise(0.0))]
     return found.select(*unpacked(docs), *[c.alias(n) for n, c in out])
