@@ -40,3 +40,17 @@ def test_other_columns_stay_and_empty_table(spark):
     out = dedup_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert line_dedup_digest(empty(spark)).count() == 0 and dedup_lines(empty(spark)).count() == 0
+
+
+def test_a_window_streams_over_the_sorted_ranges(spark, monkeypatch):
+    """The sort stays in the plan, and the window takes the range partitions as they are."""
+    from ledgerscope.llm import line_dedup
+
+    plans, write = [], line_dedup.write_and_read
+    monkeypatch.setattr(line_dedup, "write_and_read", lambda df, path: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or write(df, path))
+    assert line_dedup_digest(documents(spark)).count() == len(rows())
+    streamed = next(p for p in plans if "Window" in p)
+    assert "first(id" in streamed and "lag(" in streamed and "Sort [h1" in streamed
+    assert "rangepartitioning(h1" in streamed and "salt" not in "".join(x for x in streamed.splitlines() if "hashpartitioning" in x)
+    assert not any("Python" in p or "Arrow" in p for p in plans)
