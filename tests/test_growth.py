@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerscope.operators import ordering
 from ledgerscope.plans.clean import clean_transactions
+from ledgerscope.plans import features
 from ledgerscope.plans.features import build_customer_features
 from ledgerscope.registry.common import rounded
-from ledgerscope.segmentation import candidates as cand, gmm
-from ledgerscope.session import spread_rows
+from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
+from ledgerscope.segmentation import candidates as cand, final, gmm, job
+from ledgerscope.session import new_folder, spread_rows
 from ledgerscope.stats import surrogate
 from tests.test_clusters_at_scale import points, table
 from tests.test_features import _clean
@@ -45,6 +47,19 @@ def test_features_take_one_shuffle(spark):
     assert text.count("Exchange hashpartitioning(") == 1
 
 
+def test_features_sort_no_rows_per_measure(spark, monkeypatch):
+    """Lists instead of a window, and so a sort of all rows, per measure; a task's rows are bounded."""
+    monkeypatch.setattr(features, "ROWS_PER_TASK", 20)
+    plan = features.build_customer_features(_bank(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning(customer_id" in plan and ", 30), REPARTITION_BY_NUM" in plan
+
+
+def test_modes_of_lists(spark):
+    lists = spark.createDataFrame([(0, ["b", "b", "a"]), (1, ["b", "a"]), (2, []), (3, ["z"]), (4, ["c", "a", "c", "b", "b"])], "n int, v array<string>")
+    got = [r[0] for r in lists.orderBy("n").select(features._mode(F.sort_array("v"))).collect()]
+    assert got == ["b", "a", None, "z", "b"]
+
+
 def test_large_customers_get_the_same_features(spark):
     few, many = [build_customer_features(_bank(spark), n).orderBy("customer_id").toPandas() for n in (1000, 50)]
     assert len(few) == 41 and (few["customer_id"] == "HOT").any()
@@ -74,3 +89,35 @@ def test_forest_is_fitted_by_many_tasks(spark, monkeypatch):
     labels = rows.select("customer_id", (F.col("f0") > 0).cast("int").alias("cluster"))
     found = surrogate.surrogate_importance(rows, labels, trees=3, depth=3)
     assert seen == [surrogate.FIT_TASKS] and found.fitted_rows + found.scored_rows == 400
+
+
+def test_nearest_centroids_are_those_of_brute_force(spark):
+    """In batches, without functions evaluated per row; missing values have no distance, ties go to the smaller number."""
+    x = points(300)
+    rows = table(spark, x).unionByName(spark.createDataFrame([("none", None, 1.0, 2.0)], table(spark, x[:1]).schema))
+    columns = rows.columns[1:]
+    centers = [x[0].tolist(), x[1].tolist(), x[1].tolist(), x[2].tolist()]
+    found = final.cluster_assignments(rows, centers)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "aggregate(" not in text
+    got = {r["customer_id"]: r for r in found.collect()}
+    assert got["none"]["cluster"] == 0 and got["none"]["distance_to_centroid"] is None and got["none"]["assignment_confidence"] == 1.0
+    for r in rows.where(F.col(columns[0]).isNotNull()).collect():
+        d = np.sqrt(((np.array([r[c] for c in columns]) - np.array(centers)) ** 2).sum(axis=1))
+        two = np.sort(d)[:2]
+        mine = got[r["customer_id"]]
+        assert mine["cluster"] == d.argmin() and mine["distance_to_centroid"] == pytest.approx(two[0], abs=1e-12)
+        assert mine["assignment_confidence"] == pytest.approx(1 - two[0] / two[1] if two[1] > 0 else 1, abs=1e-9)
+
+
+def test_the_run_does_not_join_customers(spark, monkeypatch):
+    """Clusters, scores and the customer's own features lie in one row; only the fitted rows are taken out by id."""
+    rng = np.random.default_rng(1)
+    rows = [(f"C{i}", *[float(v) for v in rng.normal(size=len(FEATURES))]) for i in range(120)]
+    people = spark.createDataFrame(rows, ", ".join(["customer_id string", *[f"{f} double" for f in FEATURES]]))
+    seen, real = [], type(people).join
+    monkeypatch.setattr(type(people), "join", lambda self, other, on=None, how=None: seen.append((on, how)) or real(self, other, on, how))
+    settings = job.SegmentationSettings(cluster_range=range(2, 3), kmeans_restarts=1, final_restarts=1, trees=3, depth=2, extended=False)
+    found = job.run_segmentation(people, new_folder(spark, "joins"), settings)
+    assert [s for s in seen if s[0] == "customer_id"] == [("customer_id", "left_anti")]
+    assert found.tables["cluster_profile"].agg(F.sum("customer_count")).first()[0] == 120
