@@ -14,7 +14,7 @@ from ledgerscope.plans import features
 from ledgerscope.plans.features import build_customer_features
 from ledgerscope.registry.common import rounded
 from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
-from ledgerscope.segmentation import candidates as cand, final, gmm, job
+from ledgerscope.segmentation import candidates as cand, coreset as coresets, final, gmm, job, metrics, prepare, ward
 from ledgerscope.session import new_folder, spread_rows
 from ledgerscope.stats import surrogate
 from tests.test_clusters_at_scale import points, table
@@ -31,6 +31,76 @@ def test_generated_code_of_cleaning_is_compiled(spark, raw, tmp_path):
     assert sizes and max(sizes) <= 8000
 
 
+def test_generated_code_of_scaling_is_compiled(spark, tmp_path):
+    """Also beside the customer's own features, as the run writes them."""
+    numbers = spark.range(50).select(F.concat(F.lit("C"), "id").alias("customer_id"), *[(F.col("id") * (i + 1) % 17).cast("double").alias(f) for i, f in enumerate(FEATURES)])
+    numbers.write.parquet(f"{tmp_path}/features")
+    rows = spark.read.parquet(f"{tmp_path}/features")
+    params = prepare.ScalingParams({f: (0.5, 15.5) for f in FEATURES}, *[dict.fromkeys(FEATURES, v) for v in (8.0, 8.0, 4.0)])
+    plan = prepare.scale(rows.withColumn(prepare.OWN, F.struct(*FEATURES)), params)._jdf.queryExecution()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan.explainString(mode))]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_scaling_is_clipping_then_filling_then_scaling(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), -3.0, 0.25, 1.0, 99.0]
+    rows = spark.createDataFrame([(f"C{i}", v) for i, v in enumerate(values)], "customer_id string, x double")
+    params = prepare.ScalingParams({"x": (0.0, 2.0)}, {"x": 0.75}, {"x": 0.5}, {"x": 0.3})
+    steps = prepare.impute(prepare.winsorize(prepare.segmentation_features(rows, ["x"]), params.bounds), params.medians)
+    wanted = [(r["x"] - 0.5) / 0.3 for r in steps.orderBy("customer_id").collect()]
+    assert [r["x"] for r in prepare.scale(rows, params).orderBy("customer_id").collect()] == wanted
+
+
+def test_run_takes_what_was_made_before(spark, monkeypatch):
+    """Scaling parameters and coreset are not made again, and the results are those of a run that makes them."""
+    numbers = spark.range(120).select(F.concat(F.lit("C"), "id").alias("customer_id"),
+                                      *[(F.col("id") * (i + 3) % 23 + F.when(F.col("id") < 50, 100 * (i + 1)).otherwise(0)).cast("double").alias(f) for i, f in enumerate(FEATURES)])
+    numbers = numbers.withColumn("transaction_count", F.col("transaction_count").cast("bigint"))
+    settings = job.SegmentationSettings(cluster_range=range(2, 4), kmeans_restarts=1, final_restarts=1, trees=3, depth=3, extended=False)
+    first = job.run_segmentation(numbers, new_folder(spark, "whole"), settings)
+    params = first.extra["params"]
+    coreset = coresets.draw_coreset(first.extra["scaled"])
+    records = [r.asDict() for r in first.tables["clustering_model_comparison"].collect()]
+
+    def refuse(*_, **__):
+        raise AssertionError("made again")
+
+    for module, name in ((job, "fit_scaling"), (job, "draw_coreset"), (cand, "draw_coreset"), (final, "draw_coreset")):
+        monkeypatch.setattr(module, name, refuse)
+    again = job.run_segmentation(numbers, new_folder(spark, "shared"), settings, compared=records, params=params, coreset=coreset)
+    both = [r.tables["customer_segment_assignments"].orderBy("customer_id").collect() for r in (first, again)]
+    assert both[0] == both[1]
+
+
+def test_ward_looks_for_the_nearest_group_once(spark, monkeypatch):
+    monkeypatch.setattr(ward, "_nearest", lambda *_: pytest.fail("a second search"))
+    rows = table(spark, points(60)).withColumn("_micro", F.lit(1))
+    columns = [c for c in rows.columns if c not in ("customer_id", "_micro")]
+    used, sizes, _ = ward.nearest_means(rows, columns, np.zeros((2, len(columns))), "_micro")
+    assert used.tolist() == [1] and sizes.sum() == rows.count()
+
+
+def test_expectation_of_all_mixtures_at_once(spark):
+    """One product for all models against each model by itself."""
+    x = points(400)
+    rows = table(spark, x)
+    columns = [c for c in rows.columns if c != "customer_id"]
+    x = rows.select(columns).toPandas().to_numpy()
+    rng = np.random.default_rng(4)
+    models = {n: gmm.Mixture(np.full(k, 1 / k), rng.normal(size=(k, len(columns))), rng.uniform(0.5, 2, size=(k, len(columns))), columns) for n, k in ((0, 2), (3, 4))}
+    found = gmm._expectation(rows, columns, models)
+    for n, m in models.items():
+        share, norm = gmm._responsibilities(x, m.weights, m.means, m.variances)
+        assert np.allclose(found[n], np.concatenate([gmm._moments(x, share), [norm.sum(), len(x)]]))
+
+
+def test_sums_by_label_with_unknown_and_unending_values(spark):
+    rows = [(0, 1.0, None), (0, 3.0, 2.0), (1, float("inf"), 4.0), (1, 1.0, 6.0), (None, 5.0, 5.0), (200, 7.0, 7.0)]
+    found = metrics.cluster_statistics(spark.createDataFrame(rows, "label int, x double, y double"), ["x", "y"], ["label"])["label"]
+    assert [(s["label"], s["n"], *s["centroid"].tolist()) for s in found] == [(0, 2, 2.0, 2.0), (1, 2, float("inf"), 5.0), (200, 1, 7.0, 7.0)]
+
+
 def test_rows_are_dealt_whatever_the_splits(spark):
     parts = spread_rows(spark.range(1000).coalesce(1), 1000, 100).rdd.glom().map(len).collect()
     assert len(parts) == 10 and max(parts) == 100
