@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from ledgerscope.plans.features import build_customer_features
 from ledgerscope.registry.common import rounded
 from ledgerscope.schemas import SEGMENTATION_FEATURES as FEATURES
 from ledgerscope.segmentation import candidates as cand, coreset as coresets, final, gmm, job, metrics, prepare, ward
-from ledgerscope.session import new_folder, spread_rows
+from ledgerscope.session import new_folder, side_by_side, spread_rows
 from ledgerscope.stats import surrogate
 from tests.test_clusters_at_scale import points, table
 from tests.test_features import _clean
@@ -191,3 +192,28 @@ def test_the_run_does_not_join_customers(spark, monkeypatch):
     found = job.run_segmentation(people, new_folder(spark, "joins"), settings)
     assert [s for s in seen if s[0] == "customer_id"] == [("customer_id", "left_anti")]
     assert found.tables["cluster_profile"].agg(F.sum("customer_count")).first()[0] == 120
+
+
+def test_pieces_of_work_run_side_by_side(spark):
+    meet = threading.Barrier(3)
+    wait = lambda i: lambda: meet.wait(30) * 0 + spark.range(i).count()
+    assert side_by_side(spark, [wait(i) for i in (3, 1, 2)]) == [3, 1, 2] and side_by_side(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1, lambda: 1 / 0])
+
+
+def test_the_run_does_not_wait_for_the_forest(spark, monkeypatch):
+    """Tables that need no forest are made while it grows, and the run's tables keep their names and order."""
+    meet = threading.Barrier(4)
+    for name in ("surrogate_of", "kruskal_wallis", "profile_of", "fit_pca"):
+        monkeypatch.setattr(job, name, lambda *a, real=getattr(job, name): (meet.wait(60), real(*a))[1])
+    rng = np.random.default_rng(1)
+    rows = [(f"C{i}", *[float(v) for v in rng.normal(size=len(FEATURES))]) for i in range(120)]
+    people = spark.createDataFrame(rows, ", ".join(["customer_id string", *[f"{f} double" for f in FEATURES]]))
+    settings = job.SegmentationSettings(cluster_range=range(2, 3), n_clusters=9, kmeans_restarts=1, final_restarts=1, trees=3, depth=2, extended=False)
+    found = job.run_segmentation(people, new_folder(spark, "together"), settings)
+    assert list(found.tables) == [
+        "clustering_model_comparison", "cluster_profile", "cluster_standardized_profile", "cluster_distribution", "cluster_kruskal_wallis_tests",
+        "cluster_effect_ranges", "cluster_feature_importance", "pca_customer_projection", "customer_segment_assignments"]
+    assert {r["parameters"] for r in found.tables["clustering_model_comparison"].collect()} == {"n_clusters=2", "n_clusters=9"}
+    assert spark.read.csv(f"{found.out_dir}/csv/customer_segment_assignments", header=True).count() == 120
