@@ -217,3 +217,30 @@ def test_the_run_does_not_wait_for_the_forest(spark, monkeypatch):
         "cluster_effect_ranges", "cluster_feature_importance", "pca_customer_projection", "customer_segment_assignments"]
     assert {r["parameters"] for r in found.tables["clustering_model_comparison"].collect()} == {"n_clusters=2", "n_clusters=9"}
     assert spark.read.csv(f"{found.out_dir}/csv/customer_segment_assignments", header=True).count() == 120
+
+
+@pytest.mark.parametrize("shift", [0.02, 3.0])
+def test_settling_reads_few_customers_again(spark, monkeypatch, shift):
+    """The centroids are those of full passes; a pass over all is made only after a large move. Unused and equal centroids stay."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(300, 3)) + 5, rng.normal(size=(300, 3)) * 2 - 6])
+    rows = table(spark, x)
+    for start in ([x[:300].mean(0) + shift, x[300:600].mean(0), x[600:].mean(0) - shift], [x[:300].mean(0) + shift]):
+        want = np.array(start)
+        for _ in range(50):
+            near = ((x[:, None, :] - want) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.array([x[near == i].mean(axis=0) for i in range(len(want))])
+            far, want = np.linalg.norm(moved - want, axis=1).max(), moved
+            if far <= 1e-4:
+                break
+        read, whole, real, write = [], [], final.nearest_means, final.write_and_read
+        with monkeypatch.context() as m:
+            m.setattr(final, "nearest_means", lambda df, *a: read.append(df.count()) or real(df, *a))
+            m.setattr(final, "write_and_read", lambda *a: whole.append(1) or write(*a))
+            got = final.settle(rows, [list(map(float, c)) for c in start])
+        assert np.allclose(got, want, atol=1e-12)
+        assert max(read) < 300 and len(whole) <= len(read) and (shift > 1 or len(whole) == 1)
+    far_off = [1e6] * 3
+    assert final.settle(rows, [x.mean(0).tolist(), far_off])[1] == far_off
+    same = final.settle(rows, [x.mean(0).tolist()] * 2)
+    assert np.allclose(same, [x.mean(0)] * 2)
