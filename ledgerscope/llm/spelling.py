@@ -15,7 +15,9 @@ verified by edit distance.
 A prefix is extended to the first five places of its last bigram: one edit adds at most two bigrams, so a
 pivot among the first three equal bigrams of its word is among the first five of the other.
 
-The order comes from the counts of 2**16 hashed bigrams, a table of fixed size that tasks receive.
+The order comes from the counts of 2**16 hashed bigrams, a table of fixed size that tasks receive. All else grows with the
+vocabulary and is joined by sorting: Spark sizes a table by its compressed files and takes no note of the rows that an explode
+adds, so without the hint it would gather on the driver many times what it may broadcast.
 
 Defined results: null words are left out, words that come in several rows are counted together, words shorter than
 ``least_chars`` take no part. Extra columns of any name are ignored. Forms only lead to words at least ``ratio`` times as
@@ -129,7 +131,7 @@ def near_words(words: DataFrame) -> DataFrame:
                                 new_folder(spark, "spelling-signatures"))
     pivots = _keys(signatures, "pivots", _SHIFTS, True).toDF("key", "last_a", "a")
     prefixes = _keys(signatures, "prefix", [(0, d) for d in (-1, 0, 1)], False).toDF("key", "last_b", "b")
-    met = pivots.join(prefixes, "key").where((F.col("last_a") <= F.col("last_b")) & (F.col("a") != F.col("b")))
+    met = pivots.join(prefixes.hint("merge"), "key").where((F.col("last_a") <= F.col("last_b")) & (F.col("a") != F.col("b")))
     near = met.where(F.levenshtein("a", "b", 1) == 1).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     return near.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")),
                                          F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("p")).select("p.a", "p.b")
@@ -141,7 +143,7 @@ def follow_forms(edges: DataFrame) -> DataFrame:
     roots = write_and_read(edges.select("word", F.col("form").alias("root")), new_folder(spark, "spelling-roots"))
     while True:
         step = roots.select(F.col("word").alias("at"), F.col("root").alias("next"))
-        moved = roots.join(step, F.col("root") == F.col("at"), "left").select(
+        moved = roots.join(step.hint("merge"), F.col("root") == F.col("at"), "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         moved = write_and_read(moved, new_folder(spark, "spelling-roots"))
         if not moved.where("moved").limit(1).count():
@@ -164,12 +166,12 @@ def group_variants(words: DataFrame, word_col: str = "word", count_col: str = "n
     pairs = write_and_read(near_words(vocabulary), new_folder(spark, "spelling-pairs"))
     other = vocabulary.select(F.col("word").alias("b"), F.col("n").alias("n_b"))
     own = vocabulary.select(F.col("word").alias("a"), F.col("n").alias("n_a"))
-    counted = pairs.join(other, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("n_b"), "b")).alias("first"))
-    chosen = counted.join(own, "a").select("a", "n_near", F.when(-F.col("first.col1") >= ratio * F.col("n_a"), F.struct(
+    counted = pairs.join(other.hint("merge"), "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("n_b"), "b")).alias("first"))
+    chosen = counted.join(own.hint("merge"), "a").select("a", "n_near", F.when(-F.col("first.col1") >= ratio * F.col("n_a"), F.struct(
         F.col("first.b").alias("form"), (-F.col("first.col1")).alias("form_n"))).alias("f"))
     chosen = write_and_read(chosen.select(F.col("a").alias("word"), "n_near", "f.form", "f.form_n"), new_folder(spark, "spelling-forms"))
     roots = follow_forms(chosen.where("form IS NOT NULL").select("word", "form"))
-    return vocabulary.join(chosen, "word", "left").join(roots, "word", "left").select(
+    return vocabulary.join(chosen.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 

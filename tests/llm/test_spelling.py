@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ledgerscope.llm import spelling
 from ledgerscope.llm.spelling import SLOTS, cheapest_disjoint, follow_forms, group_variants, near_words, signature, slot, spelling_digest
 from tests.llm.fixtures import SCHEMA, collected, documents, empty, rows
 
@@ -108,3 +109,23 @@ def test_long_chains_and_bad_parameters(spark):
     assert 0 <= slot("é÷") < SLOTS and near_words(spark.createDataFrame([("abcdef",)], "word string")).count() == 0
     with pytest.raises(ValueError):
         group_variants(chain, "word", "form", least_chars=3)
+
+
+def test_no_join_broadcasts_the_vocabulary(spark, monkeypatch):
+    """Not even a small one: Spark takes the exploded keys for no larger than the compressed file they come from."""
+    plans, write = [], spelling.write_and_read
+
+    def plan(df) -> str:
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, path):
+        df.collect()
+        plans.append(plan(df))
+        return write(df, path)
+
+    monkeypatch.setattr(spelling, "write_and_read", seen)
+    counts = vocabulary(3, 100, "abc")
+    found = group_variants(spark.createDataFrame(list(counts.items()), "word string, n int"))
+    assert collected(found) == brute_forms(counts)
+    joined = [p for p in [*plans, plan(found)] if "Join" in p]
+    assert len(joined) >= 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joined)
